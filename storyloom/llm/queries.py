@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, neardup, quality
+from storyloom.llm import decontam, neardup, quality, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,5 +35,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window of an earlier document covers."""
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup)}

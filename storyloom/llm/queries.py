@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, neardup, quality, substring
+from storyloom.llm import decontam, langid, neardup, quality, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,5 +41,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda c: F.coalesce(F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
+    found = langid.identify(docs, docs.filter(~fold("doc_id")))
+    return found.select("doc_id", fold("doc_id").alias("held_out"), "lang_pred", "score", "languages")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup, op10_language_id)}

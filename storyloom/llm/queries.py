@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, langid, neardup, quality, substring
+from storyloom.llm import decontam, hilbert, langid, mixing, neardup, quality, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,5 +49,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold("doc_id").alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document in the mixture."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup, op10_language_id, op2_hilbert_sharding, op6_temperature_mixing)}

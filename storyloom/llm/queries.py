@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, hilbert, langid, mixing, neardup, quality, substring
+from storyloom.llm import chat, decontam, hilbert, langid, lines, mixing, neardup, quality, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    return quality.quality_report(table(spark, sf_dir, "documents"))
+    return quality.quality_report(table(spark, sf_dir, "documents")).withColumn("broken_rules", F.array_join("broken_rules", ","))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,25 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of every page, by its host."""
+    pages = table(spark, sf_dir, "pages")
+    found = lines.drop_boilerplate(pages, lines.host_of(F.col("url")), lines.html_lines(F.col("html")))
+    return found.select("page_id", "host", "host_pages", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered for each of its participants."""
+    found = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return found.select("conv_id", "piece", "participant", "n_turns", "rendered", spans.alias("mask_spans"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it was read back from its WARC record."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup, op10_language_id, op2_hilbert_sharding, op6_temperature_mixing)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup, op10_language_id, op2_hilbert_sharding, op6_temperature_mixing, op1_line_dedup, op9_perspective_rotation, op8_warc_round_trip)}

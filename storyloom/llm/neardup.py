@@ -31,6 +31,10 @@ _seeds = np.random.default_rng(20240229)
 FACTORS = _seeds.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _seeds.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
 
+#: Bits of the finer sketch of those sets that are still to be told apart.
+FINE = 1024
+FINE_FACTORS = (_seeds.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _seeds.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2))
+
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of the 5-word shingles of each text; of all its words if it has fewer."""
@@ -79,6 +83,21 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of each of FINE further MinHashes of packed sets."""
+    factors, offsets = FINE_FACTORS
+    for batch in batches:
+        out = []
+        for packed in batch.column("items").to_pylist():
+            items, best = np.frombuffer(packed, np.uint64), np.full(FINE, np.uint64(0xFFFFFFFFFFFFFFFF))
+            for k in range(0, len(items), 128):
+                best = np.minimum(best, (items[k : k + 128, None] * factors + offsets).min(axis=0))
+            out.append(np.packbits((tokens.mix(best) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), FINE // 64).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "fine"])
+
+
 def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [x.tobytes() for x in shingle_sets(batch.column(1))]
@@ -115,6 +134,27 @@ def alike(percent: int):
     return (bits <= SKETCH_BITS) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent)
 
 
+def fine_limit(percent: int) -> int:
+    """Bits in which the fine sketches of two sets of this similarity differ, with 5.5 standard deviations more."""
+    p = (100 - percent) / 200
+    return int(FINE * p + 5.5 * (FINE * p * (1 - p)) ** 0.5) + 1
+
+
+def close(percent: int):
+    """Column: the sizes and fine sketches of the structs p and q allow a similarity of ``percent`` or more."""
+    p, q = F.col("p"), F.col("q")
+    bits = F.lit(0)
+    for k in range(FINE // 64):
+        bits = bits + F.bit_count(F.get(p["fine"], F.lit(k)).bitwiseXOR(F.get(q["fine"], F.lit(k))))
+    return (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent) & (bits <= fine_limit(percent))
+
+
+def first_meeting():
+    """Column: i is the first band of the first collection that p and q share, and they share one of the second."""
+    same = F.zip_with("p.bands", "q.bands", lambda x, y: x == y)
+    return (F.array_position(same, True) == F.col("i") + 1) & F.array_contains(F.slice(same, GROUPS + 1, GROUPS), True)
+
+
 def meetings(classes: DataFrame) -> DataFrame:
     """(key, q): the tables' rows whose key at least two classes share; q is the class with its size and sketch.
 
@@ -133,20 +173,21 @@ def meetings(classes: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("u.i", "u.h", "v.i", "v.h").alias("key"), "q")
 
 
-def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> DataFrame | None:
-    """Verified links that connect whatever is connected between classes of different shingle sets; None without any.
+def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
+    """Verified links that connect whatever is connected between classes of different shingle sets.
 
-    1. In every table, each class is compared with the smallest class of its key. 2. Again with the class that a hash
-    puts first. 3. In keys that still hold several components, every class outside the key's largest component is
-    compared with all classes of other components. No link between classes that meet is lost, and members of a large
-    group of copies, connected by steps 1 and 2, are not compared with each other.
+    First, in every table, each class is compared with the smallest class of its key. Then, where classes of several
+    components still share a band, every class outside the band's largest component is compared with the classes of
+    other components that it meets in some table, each pair once, if their finer sketches allow it. So no link between
+    classes that meet is lost, members of a large group of copies are not compared with each other, and of classes that
+    are only somewhat alike few pairs leave the join.
     """
     least = -(-percent // (100 - percent))
     classes = sk.filter((F.col("n") >= least) & F.col("id").isNotNull()).groupBy("high", "low")
     classes = classes.agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("bands").alias("bands"))
     classes = saved(classes.select("id", "n", "s1", "s2", "bands"), "classes")
     keys = meetings(classes)
-    often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("q").alias("p"), F.min(F.struct(F.xxhash64("q.id", "key").alias("h"), "q")).getField("q").alias("r")).filter("c > 1").drop("c")
+    often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("q").alias("p")).filter("c > 1").drop("c")
     met = saved(keys.join(often, "key"), "met")
     pair = [F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")]
     involved = met.filter(F.col("p.id") != F.col("q.id")).select(F.explode(F.array("p.id", "q.id")).alias("id")).distinct()
@@ -154,26 +195,30 @@ def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> DataFrame | None:
     sets = saved(texts.mapInArrow(packed_sets, "id long, items binary").dropDuplicates(["id"]), "sets")
 
     links = saved(verified(met.filter((F.col("p.id") != F.col("q.id")) & alike(percent)).select(*pair).distinct(), sets, percent), "links")
-    for step in (2, 3):
-        if links.isEmpty():
-            labelled = met.withColumn("component", F.col("q.id"))
-        else:
-            labels = components(links)
-            labelled = met.join(labels.select(F.col("node").alias("id"), "component"), F.col("q.id") == F.col("id"), "left")
-            labelled = labelled.drop("id").withColumn("component", F.coalesce("component", "q.id"))
-        if step == 2:
-            first = labelled.filter(F.col("q.id") == F.col("r.id")).select("key", F.col("component").alias("other"))
-            open_ = labelled.join(first, "key").filter(F.col("component") != F.col("other"))
-            fresh = open_.withColumn("p", F.col("r")).filter(alike(percent) & (F.col("p.id") != F.col("q.id"))).select(*pair)
-        else:
-            sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1")
-            still = labelled.select("key", "q", "component").join(largest.select("key", F.col("m.component").alias("largest")), "key")
-            outside = still.filter(F.col("component") != F.col("largest")).select("key", F.col("q").alias("p"), F.col("component").alias("other"))
-            fresh = outside.join(still.select("key", "q", "component"), "key").filter((F.col("component") != F.col("other")) & alike(percent)).select(*pair)
-        more = saved(verified(fresh.distinct().join(links, ["a", "b"], "left_anti"), sets, percent), "links")
-        links = links.unionByName(more)
-    return links
+    known = classes.join(involved, "id")
+    if links.isEmpty():
+        known = known.withColumn("component", F.col("id"))
+    else:
+        known = known.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = saved(known.select("id", "n", "component", "bands"), "known")
+    spread = known.select("id", "component", F.posexplode(F.slice("bands", 1, GROUPS)).alias("i", "h"))
+    sizes = spread.groupBy("i", "h", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("i", "h").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    mixed = saved(mixed, "mixed")
+    open_ids = spread.join(mixed, ["i", "h"]).select("id").distinct()
+    fine = sets.join(open_ids, "id").select("id", "items").mapInArrow(fine_sketches, "id long, fine array<long>")
+    open_ = saved(known.join(fine, "id"), "open")
+    rows = open_.select(F.struct("id", "n", "component", "bands", "fine").alias("q"), F.posexplode(F.slice("bands", 1, GROUPS)).alias("i", "h")).join(mixed, ["i", "h"])
+    rows = saved(rows, "rows")
+    outside = rows.filter(F.col("q.component") != F.col("largest")).select("i", "h", F.col("q").alias("p"))
+    fresh = outside.join(rows, ["i", "h"]).filter(
+        (F.col("p.component") != F.col("q.component"))
+        & ((F.col("q.component") == F.col("largest")) | (F.col("p.id") < F.col("q.id")))
+        & close(percent)
+        & first_meeting()
+    )
+    more = saved(verified(fresh.select(*pair).distinct(), sets, percent), "links")
+    return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

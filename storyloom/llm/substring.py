@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,15 @@ WINDOW = 13
 #: A fingerprint has 48 bits of one hash, by which runs are sorted, and 24 bits of another, by which matches are verified.
 KEY_BITS, CHECK_BITS = 48, 24
 
+#: Stands for all documents of the history, which come before those of any batch.
+HISTORY = np.iinfo(np.int64).min
+
 #: Windows for which one task is planned.
 TASK_WINDOWS = 1_000_000
 
+#: Bytes of text of one run of history.
+TASK_BYTES = 6 * TASK_WINDOWS
+
 RUN = "grp long, part long, size long, keys binary, checks binary, docs binary, ids binary"
 
 
@@ -118,20 +125,40 @@ def cuts(run: Run, parts: int) -> np.ndarray:
 
 
 def emit(parts: int):
+    """One group's run, cut by range."""
+
     def run(table: pa.Table) -> pa.Table:
-        group = table.column("grp")[0].as_py()
         ids = column(table, "id").to_numpy(zero_copy_only=False).astype(np.int64)
-        made = GroupWindows.of(ids, column(table, "t")).run
-        edges, rows = cuts(made, parts), []
-        for k in range(parts):
-            a, b = edges[k], edges[k + 1]
-            if b > a:
-                rows.append((group, k, *Run(made.keys[a:b], made.checks[a:b], made.docs[a:b]).row()))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, RUN_TYPES, strict=True)], names=RUN_NAMES)
+        return cut_run(table.column("grp")[0].as_py(), GroupWindows.of(ids, column(table, "t")).run, parts)
+
+    return run
+
+
+def emit_history(parts: int):
+    """Runs of the texts as they lie in the input, of windows only: history needs no documents and no answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False))
+            part_of = sizes // TASK_BYTES
+            for at in np.unique(part_of):
+                a, b = np.searchsorted(part_of, at), np.searchsorted(part_of, at, "right")
+                texts = batch.column(0).slice(a, b - a)
+                made = GroupWindows.of(np.full(len(texts), HISTORY), texts).run
+                yield from cut_run(-1, made, parts).combine_chunks().to_batches()
 
     return run
 
 
+def cut_run(group: int, made: Run, parts: int) -> pa.Table:
+    edges, rows = cuts(made, parts), []
+    for k in range(parts):
+        a, b = edges[k], edges[k + 1]
+        if b > a:
+            rows.append((group, k, *Run(made.keys[a:b], made.checks[a:b], made.docs[a:b]).row()))
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, RUN_TYPES, strict=True)], names=RUN_NAMES)
+
+
 RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
 RUN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -247,10 +274,9 @@ class FingerprintIndex:
         out = "id long, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept_text string"
         return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(mark, out)
 
-    def add(self, docs: DataFrame, groups: int) -> None:
-        """Appends the batch's windows as one more run, marked as history."""
-        runs = self.grouped(docs, groups).groupBy("grp").applyInArrow(emit(self.parts), RUN)
-        self.write(runs)
+    def add(self, docs: DataFrame) -> None:
+        """Appends the windows of the batch's (id, t) as one more run; they are history for all later batches."""
+        self.write(docs.select("t").mapInArrow(emit_history(self.parts), RUN))
 
     def write(self, runs: DataFrame) -> None:
         path = f"{self.path}/run-{len(self.runs)}-{hashlib.md5(str(self.runs).encode()).hexdigest()[:8]}"
@@ -270,7 +296,7 @@ def plan_tasks(n_windows: int) -> int:
     return max(1, math.ceil(n_windows / max(TASK_WINDOWS, math.sqrt(n_windows * 512))))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, first_share: float = 0.25) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, first_share: float = 0.2) -> DataFrame:
     """One row per row of ``docs``: the id, n_words, n_removed, removed word ranges and kept_text.
 
     A word is removed when a 13-word window that covers it also starts in a document with a smaller id. Documents go
@@ -297,7 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         groups = plan_tasks(windows)
         done = index.dedup(batch, groups)
         if k < len(bounds) - 2:
-            index.add(batch, groups)
+            index.add(batch)
         out = done if out is None else out.unionByName(done)
     top = F.lit(np.iinfo(np.int64).max)
     return out.withColumn("id", F.when(F.col("id") != top, F.col("id"))).withColumnRenamed("id", id_col)

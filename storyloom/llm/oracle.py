@@ -178,7 +178,14 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM ranked
 """
 
-OP6 = """
+
+def op6(entropy: float = 0.95, repetition: float = 4.0, keep_all: bool = False) -> str:
+    """Copies of every document; see ``mixing.mixed``."""
+    spread = "ln(sum(pow(p, {0}))) - sum(pow(p, {0}) * ln(pow(p, {0}))) / sum(pow(p, {0}))"
+    most = "max(pow(p, {0}) / p) / sum(pow(p, {0}))"
+    e, r = "(e + (1 << (19 - step))) / 1048576.0", "(r + (1 << (19 - step))) / 1048576.0"
+    budget = "greatest(max(total) OVER (), ceil(max(available * z / w) OVER () * (1 + 1e-9)))::BIGINT" if keep_all else "total"
+    return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source AS said, coalesce(source, '') AS source, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens,
     md5('7:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
@@ -188,14 +195,15 @@ share AS (SELECT source, available, available / sum(available) OVER () AS p, (su
 grid AS (SELECT 0 AS step, 0 AS e, 0 AS r
   UNION ALL
   SELECT step + 1,
-    CASE WHEN (SELECT ln(sum(pow(p, (e + (1 << (19 - step))) / 1048576.0))) - sum(pow(p, (e + (1 << (19 - step))) / 1048576.0) * ln(pow(p, (e + (1 << (19 - step))) / 1048576.0))) / sum(pow(p, (e + (1 << (19 - step))) / 1048576.0)) >= ln(max(k)) * 0.95 FROM share) THEN e + (1 << (19 - step)) ELSE e END,
-    CASE WHEN (SELECT max(pow(p, (r + (1 << (19 - step))) / 1048576.0) / p) / sum(pow(p, (r + (1 << (19 - step))) / 1048576.0)) > 4.0 FROM share) THEN r + (1 << (19 - step)) ELSE r END
+    CASE WHEN (SELECT {spread.format(e)} >= ln(max(k)) * {entropy} FROM share) THEN e + (1 << (19 - step)) ELSE e END,
+    CASE WHEN (SELECT {most.format(r)} > {repetition} FROM share) THEN r + (1 << (19 - step)) ELSE r END
   FROM grid WHERE step < 20),
 alpha AS (
   SELECT greatest(
-    CASE WHEN (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) >= ln(max(k)) * 0.95 FROM share) THEN 1048576 ELSE e END,
-    CASE WHEN (SELECT max(1 / p) / max(k) <= 4.0 FROM share) THEN 0 ELSE r + 1 END) / 1048576.0 AS a FROM grid WHERE step = 20),
-goal AS (SELECT source, available, floor(pow(p, a) / sum(pow(p, a)) OVER () * total + 0.5)::BIGINT AS target FROM share, alpha),
+    CASE WHEN (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) >= ln(max(k)) * {entropy} FROM share) THEN 1048576 ELSE e END,
+    CASE WHEN (SELECT max(1 / p) / max(k) <= {repetition} FROM share) THEN 0 ELSE r + 1 END) / 1048576.0 AS a FROM grid WHERE step = 20),
+weight AS (SELECT source, available, total, pow(p, a) AS w, sum(pow(p, a)) OVER () AS z FROM share, alpha),
+goal AS (SELECT source, available, floor(w / z * ({budget}) + 0.5)::BIGINT AS target FROM weight),
 blocks AS (SELECT source, block, sum(tokens)::BIGINT AS tokens FROM b GROUP BY source, block),
 plan AS (
   SELECT x.*, coalesce(target // available, 0) AS epochs, coalesce(target % available, 0) AS rest FROM blocks x LEFT JOIN goal USING (source)),
@@ -211,6 +219,20 @@ FROM docs
 """
 
 
+def pipeline(entropy: float) -> str:
+    """The stages of the corpus pipeline, each over the rows that the one before keeps."""
+    over = lambda sql, name: sql.replace("FROM documents", f"FROM {name}")
+    return f"""
+WITH good AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({OP3}) WHERE kept)),
+single AS MATERIALIZED (SELECT * FROM good WHERE doc_id IN (SELECT doc_id FROM ({over(OP5, "good")}) WHERE kept)),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM ({over(OP4, "single")}) WHERE contaminated)),
+blend AS MATERIALIZED (
+  SELECT c.* FROM clean c JOIN ({over(op6(entropy, keep_all=True), "clean")}) m USING (doc_id), LATERAL (SELECT unnest(range(0, m.copies))) u)
+SELECT s.doc_id, s.size, s.text_crc32, s.law, s.shard, s.slot, s.grown_shard, s.hilbert, c.text, c.lang, c.source, c.n_chars
+FROM ({over(OP2, "blend")}) s JOIN clean c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1,
@@ -218,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": OP3,
         "op4_decontamination": OP4,
         "op5_near_duplicates": OP5,
-        "op6_temperature_mixing": OP6,
+        "op6_temperature_mixing": op6(),
         "op7_substring_dedup": OP7,
         "op8_warc_round_trip": OP8,
         "op9_perspective_rotation": OP9,

@@ -1,8 +1,61 @@
-"""Corpus preparation in stages."""
+"""Corpus preparation in five stages, each over all rows that the one before kept.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
+the next. All but the last return the columns of ``documents``; extra columns pass through. Null and empty texts fail
+the quality rules. Empty tables give empty results at every stage.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from storyloom.llm import decontam, hilbert, mixing, neardup, oracle, quality
+from storyloom.llm.shared import saved
+
+#: Share of the entropy of equal source weights that the mixture has at least.
+ENTROPY = 0.9
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base checks and every rule."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every near-duplicate group."""
+    return neardup.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a notable share of benchmark words."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture needs; the budget is the least at which every document stays."""
+    return mixing.realised(docs, entropy=ENTROPY, keep_all=True)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row, with its text and metadata."""
+    placed = hilbert.hilbert_shards(docs, whole_rows=True)
+    return placed.select(*[c for c in placed.columns if c != "row"], "row.text", "row.lang", "row.source", "row.n_chars")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", sharding),
+]
+
+ORACLE_SQL = oracle.pipeline(ENTROPY)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

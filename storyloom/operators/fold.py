@@ -40,4 +40,5 @@ def capped_starts(lengths: Column, cap: int, joint: int = 1) -> Column:
 def groups(items: Column, starts: Column) -> Column:
     """The items between one start and the next, as an array of arrays."""
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(items)))
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(items, s["a"] + 1, s["b"] - s["a"]))
+    spans = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: s["a"].isNotNull())
+    return F.transform(spans, lambda s: F.slice(items, s["a"] + 1, s["b"] - s["a"]))

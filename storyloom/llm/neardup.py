@@ -38,6 +38,11 @@ FINE_FACTORS = (_seeds.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of the 5-word shingles of each text; of all its words if it has fewer."""
+    for part in tokens.row_slices(column):
+        yield from shingle_sets_of(part)
+
+
+def shingle_sets_of(column: pa.Array) -> Iterator[np.ndarray]:
     data, offs = tokens.text_buffer(column)
     found = tokens.words(data, offs, lower=True)
     hashed, at = tokens.windows(found, SHINGLE)

@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,11 +138,7 @@ def emit_history(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False))
-            part_of = sizes // TASK_BYTES
-            for at in np.unique(part_of):
-                a, b = np.searchsorted(part_of, at), np.searchsorted(part_of, at, "right")
-                texts = batch.column(0).slice(a, b - a)
+            for texts in tokens.row_slices(batch.column(0), TASK_BYTES):
                 made = GroupWindows.of(np.full(len(texts), HISTORY), texts).run
                 yield from cut_run(-1, made, parts).combine_chunks().to_batches()
 

@@ -6,6 +6,7 @@ bounded by PIECE bytes of text, also inside one very long text; only what is kep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +75,15 @@ def pieces(data: np.ndarray, offs: np.ndarray, limit: int = PIECE):
         at = end
 
 
+def row_slices(column: pa.Array, limit: int = 4 * PIECE) -> Iterator[pa.Array]:
+    """The column in slices of about ``limit`` bytes of text, so that what is kept per word stays small for a batch of
+    long texts; a row is never cut."""
+    place = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+    edges = np.flatnonzero(np.diff(place)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(column)], strict=True):
+        yield column.slice(a, b - a)
+
+
 @dataclass
 class Words:
     """Words of a batch: byte ranges, hashes and, per row, the index of its first word (one entry more than rows)."""

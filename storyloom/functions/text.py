@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: Sequences left by UTF-8 read as Windows-1252, with what was meant, in the order of replacement.
 MOJIBAKE = (
-    ("\u00e2\u20ac\u2122", "'"),
-    ("\u00e2\u20ac\u02dc", "'"),
-    ("\u00e2\u20ac\u0153", '"'),
-    ("\u00e2\u20ac\u009d", '"'),
-    ("\u00e2\u20ac\u201d", "\u2014"),
-    ("\u00e2\u20ac\u201c", "\u2013"),
-    ("\u00e2\u20ac\u00a6", "..."),
+    ("â€™", "'"),
+    ("â€˜", "'"),
+    ("â€œ", '"'),
+    ("â€\x9d", '"'),
+    ("â€”", "—"),
+    ("â€“", "–"),
+    ("â€¦", "..."),
 )
 
 NARRATOR = "NARRATOR"

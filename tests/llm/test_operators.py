@@ -268,6 +268,20 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(p.limit(0)).count() == 0
 
 
+def test_archives_by_compression(spark, tmp_path):
+    import gzip
+
+    p = pages(spark)
+    whole = ordered(tuple(r)[1:] for r in warc.round_trip(p).collect())
+    warc.write(p, f"file://{tmp_path}/plain", compression="none")
+    assert ordered(tuple(r)[1:] for r in warc.read(spark, f"file://{tmp_path}/plain").collect()) == whole
+    one, two = b"WARC/1.1\r\nA: b\r\n" * 9000, b"tail" * 50000
+    both = gzip.compress(one) + gzip.compress(two)
+    assert warc.inflated(both) == one + two and warc.inflated(one) == one and warc.inflated(b"") == b""
+    assert (one + two).startswith(warc.inflated(both[:-20])) and len(warc.inflated(both[:-20])) >= len(one)
+    assert warc.inflated(gzip.compress(one) + b"\x1f\x8b broken") == one
+
+
 def test_chain_keeps_reachable_records_only():
     at = np.array([0, 10, 15, 30, 99])
     assert warc.reached(at, np.array([10, 30, 30, 50, 120])).tolist() == [True, True, False, True, False]

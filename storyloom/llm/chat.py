@@ -18,7 +18,7 @@ def prefix(role: Column, me: Column) -> Column:
     return F.when(role == SYSTEM, F.lit(f"{OPEN}system\n")).when(role == me, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), role, F.lit("\n")))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_turns: int = PIECE_TURNS) -> DataFrame:
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_turns: int = PIECE_TURNS, whole: bool = False) -> DataFrame:
     """One row per conversation, piece and participant: conv_id, piece, participant, n_turns, rendered and mask.
 
     The piece is rendered with the participant as assistant, other participants as named users and system turns as they
@@ -26,6 +26,10 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     closing mark. Conversations are cut into pieces of ``piece_turns`` turn numbers, so a conversation of any length
     stays in bounded rows; each piece is rendered for those who speak in it, and one of system turns only for nobody.
 
+    With ``whole``, every piece is rendered for everyone who speaks anywhere in its conversation, so a participant's
+    pieces in order are the whole dialogue; nothing is repeated, and a silent piece has an empty mask. A conversation of
+    system turns only is rendered once, for the participant null. One row lists a conversation's pieces and speakers.
+
     Turns are ordered by number, role and text; repeated rows count once. A null role is ``unknown``, a null text is
     empty, a null turn number is 0; null conversation ids form one conversation. Other columns are not read.
     """
@@ -37,14 +41,23 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         ).alias("said"),
     )
-    pieces = rows.groupBy("conv", "piece").agg(F.array_sort(F.collect_set("said")).alias("said"))
     who = F.array_sort(F.array_distinct(F.transform(F.filter("said", lambda s: s["role"] != SYSTEM), lambda s: s["role"])))
-    views = pieces.select("conv", "piece", "said", F.explode(who).alias("me"))
+    if whole:
+        # Speakers travel as rows of their own, so that texts are shuffled once only.
+        role = F.col("said.role")
+        cast = rows.groupBy("conv").agg(F.collect_set("piece").alias("pieces"), F.collect_set(F.when(role != SYSTEM, role)).alias("cast"))
+        cast = cast.filter(F.size("pieces") > 1).select("conv", F.explode("pieces").alias("piece"), "cast")
+        rows = rows.unionByName(cast, allowMissingColumns=True)
+        pieces = rows.groupBy("conv", "piece").agg(F.array_sort(F.collect_set("said")).alias("said"), F.max("cast").alias("cast"))
+        views = pieces.select("conv", "piece", "said", F.explode_outer(F.coalesce(F.array_sort("cast"), who)).alias("me"))
+    else:
+        pieces = rows.groupBy("conv", "piece").agg(F.array_sort(F.collect_set("said")).alias("said"))
+        views = pieces.select("conv", "piece", "said", F.explode(who).alias("me"))
     parts = F.transform(
         "said",
         lambda s: F.struct(
             prefix(s["role"], F.col("me")).alias("open"), F.concat(s["text"], F.lit(CLOSE)).alias("body"),
-            ((s["role"] == F.col("me")) & (s["role"] != SYSTEM)).alias("mine"),
+            (s["role"].eqNullSafe(F.col("me")) & (s["role"] != SYSTEM)).alias("mine"),
         ),
     )
     views = views.withColumn("parts", parts)

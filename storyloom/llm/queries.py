@@ -68,7 +68,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered for each of its participants."""
-    found = chat.rotate(table(spark, sf_dir, "conversations"))
+    found = chat.rotate(table(spark, sf_dir, "conversations"), whole=True)
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
     return found.select("conv_id", "piece", "participant", "n_turns", "rendered", spans.alias("mask_spans"))
 

@@ -1,6 +1,6 @@
 """Whole jobs: no participant, document or record is left out because of its size, its key or its neighbours."""
 
-from storyloom.llm import chat
+from storyloom.llm import chat, warc
 
 
 def test_every_participant_gets_the_whole_dialogue(spark):
@@ -19,3 +19,21 @@ def test_every_participant_gets_the_whole_dialogue(spark):
     assert chat.rotate(df.limit(0), whole=True).count() == 0
     short = df.filter("turn < 64 and role <> 'system'")
     assert sorted(map(repr, chat.rotate(short, whole=True).collect())) == sorted(map(repr, chat.rotate(short).collect()))
+
+
+def test_records_with_long_headers(spark, tmp_path):
+    rows = [(i, f"https://a.example/{i}" + ("x" * 100_000 if i == 2 else ""), f"page {i}") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.id: r for r in warc.round_trip(pages).collect()}
+    assert set(got) == set(range(5)) and got[2].url == rows[2][1]
+
+
+def test_a_chain_that_stops_is_reported(spark, tmp_path):
+    record = lambda n: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % n
+    files = {"whole": record(1) + record(2), "cut": record(1) + record(2)[:-9], "none": b"no archive", "empty": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    path = f"file://{tmp_path}"
+    assert sorted((r.file.rsplit("/", 1)[1], r.id) for r in warc.read(spark, path).collect()) == [("cut", 1), ("whole", 1), ("whole", 2)]
+    found = sorted((r.file.rsplit("/", 1)[1], r["at"], r["size"]) for r in warc.breaks(spark, path).collect())
+    assert found == [("cut", len(record(1)), len(files["cut"])), ("none", 0, 10)]

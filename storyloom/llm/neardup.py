@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm import tokens
@@ -66,14 +66,20 @@ def signature(items: np.ndarray) -> np.ndarray:
     return best
 
 
+def digest(items: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that name a set."""
+    return tokens.mix(items).sum(dtype=np.uint64), tokens.mix(items ^ np.uint64(tokens.BASES[0])).sum(dtype=np.uint64)
+
+
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fold = tokens.powers(tokens.BASES[0], ROWS)
     for batch in batches:
         n, high, low, bands, s1, s2 = [], [], [], [], [], []
         for items in shingle_sets(batch.column(1)):
             n.append(len(items))
-            high.append(tokens.mix(items).sum(dtype=np.uint64))
-            low.append(tokens.mix(items ^ np.uint64(tokens.BASES[0])).sum(dtype=np.uint64))
+            h, l = digest(items)  # noqa: E741
+            high.append(h)
+            low.append(l)
             mins = tokens.mix(signature(items))
             bands.append(tokens.mix((mins.reshape(2 * GROUPS, ROWS) * fold).sum(axis=1, dtype=np.uint64)))
             bits = np.packbits((mins & np.uint64(1)).astype(np.uint8)).view(np.uint64)
@@ -83,8 +89,8 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), 2 * GROUPS).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), u64(high), u64(low), lists, u64(s1), u64(s2)],
-            ["id", "n", "high", "low", "bands", "s1", "s2"],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), u64(high), u64(low), lists, u64(s1), u64(s2)],
+            ["id", "k", "n", "high", "low", "bands", "s1", "s2"],
         )
 
 
@@ -105,8 +111,12 @@ def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [x.tobytes() for x in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "items"])
+        names, sets = [], []
+        for items in shingle_sets(batch.column("t")):
+            names.append(digest(items))
+            sets.append(items.tobytes())
+        high, low = (pa.array(np.array([x[j] for x in names], np.uint64).view(np.int64)) for j in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("k"), high, low, pa.array(sets, pa.binary())], ["k", "high", "low", "items"])
 
 
 def linked(percent: int):
@@ -178,8 +188,10 @@ def meetings(classes: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("u.i", "u.h", "v.i", "v.h").alias("key"), "q")
 
 
-def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
-    """Verified links that connect whatever is connected between classes of different shingle sets.
+def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links that connect whatever is connected between classes of different shingle sets, and these classes.
+
+    A class is named by a number of its own, so that it does not matter whether its documents' ids are null or reused.
 
     First, in every table, each class is compared with the smallest class of its key. Then, where classes of several
     components still share a band, every class outside the band's largest component is compared with the classes of
@@ -188,19 +200,21 @@ def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
     are only somewhat alike few pairs leave the join.
     """
     least = -(-percent // (100 - percent))
-    classes = sk.filter((F.col("n") >= least) & F.col("id").isNotNull()).groupBy("high", "low")
-    classes = classes.agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("bands").alias("bands"))
-    classes = saved(classes.select("id", "n", "s1", "s2", "bands"), "classes")
+    classes = sk.filter(F.col("n") >= least).groupBy("high", "low")
+    classes = classes.agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("bands").alias("bands"))
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("id"), "k", "high", "low", "n", "s1", "s2", "bands"), "classes")
     keys = meetings(classes)
     often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("q").alias("p")).filter("c > 1").drop("c")
     met = saved(keys.join(often, "key"), "met")
     pair = [F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")]
     involved = met.filter(F.col("p.id") != F.col("q.id")).select(F.explode(F.array("p.id", "q.id")).alias("id")).distinct()
-    texts = docs.join(involved, "id", "left_semi")
-    sets = saved(texts.mapInArrow(packed_sets, "id long, items binary").dropDuplicates(["id"]), "sets")
+    named = saved(classes.join(involved, "id").select("id", "k", "high", "low"), "named")
+    texts = docs.join(named.select("k").distinct(), "k", "left_semi").select("k", "t")
+    found = texts.mapInArrow(packed_sets, "k long, high long, low long, items binary").dropDuplicates(["k", "high", "low"])
+    sets = saved(found.join(named, ["k", "high", "low"]).select("id", "items"), "sets")
 
     links = saved(verified(met.filter((F.col("p.id") != F.col("q.id")) & alike(percent)).select(*pair).distinct(), sets, percent), "links")
-    known = classes.join(involved, "id")
+    known = classes.join(named.select("id"), "id")
     if links.isEmpty():
         known = known.withColumn("component", F.col("id"))
     else:
@@ -223,7 +237,29 @@ def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
         & first_meeting()
     )
     more = saved(verified(fresh.select(*pair).distinct(), sets, percent), "links")
-    return links.unionByName(more)
+    return links.unionByName(more), classes
+
+
+def text_key(id_: Column, text: Column) -> Column:
+    """64 bits that tell the texts of one id apart."""
+    return F.xxhash64(id_.cast("long"), text)
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows; and of each class of equal sets that are not empty, by (high, low), the first document
+    of its group as the struct ``lead``: the smallest id, nulls last, then the smallest key and digest."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), text_key(F.col(id_col), F.col(text_col)).alias("k"))
+    sk = saved(slim.mapInArrow(sketches, "id long, k long, n long, high long, low long, bands array<long>, s1 long, s2 long"), "sketches")
+    links, classes = links_of(slim, sk, percent)
+    leaders = sk.filter("n > 0").groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k")).alias("m"))
+    leaders = leaders.select("high", "low", F.struct("m.nameless", "m.id", "m.k", "high", "low").alias("lead"))
+    if not links.isEmpty():
+        labels = components(links).withColumnRenamed("node", "id").join(classes.select("id", "high", "low"), "id")
+        joined = saved(leaders.join(labels.select("high", "low", "component"), ["high", "low"]), "joined")
+        best = joined.groupBy("component").agg(F.min("lead").alias("best"))
+        moved = joined.join(best, "component").select("high", "low", "best")
+        leaders = leaders.join(moved, ["high", "low"], "left").select("high", "low", F.coalesce("best", "lead").alias("lead"))
+    return sk, leaders
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -231,26 +267,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked when 100 * intersection >= percent * union of their sets of lower-cased 5-word shingles (of all
     words as one, if there are fewer than five). Null or empty texts have empty sets and are linked with nothing. Equal
-    sets are one class from the start. Rows with a null id join the class of their set but never lead it and are not
-    kept, unless the class has null ids only; then their component is null and they are kept. Repeated rows get equal
-    results. Other columns are not read; an empty table gives an empty result.
+    sets are one class from the start. Rows with a null id are linked like others but never lead a group and are not
+    kept, unless the group has null ids only; then its component is null and the rows of one of its classes are kept. Of
+    a reused id, each text is judged by itself. Repeated rows get equal results. Other columns are not read; an empty
+    table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    sk = saved(slim.mapInArrow(sketches, "id long, n long, high long, low long, bands array<long>, s1 long, s2 long"), "sketches")
-    links = links_of(slim, sk, percent)
-    leaders = sk.filter("n > 0").groupBy("high", "low").agg(F.min("id").alias("leader"))
-    if not links.isEmpty():
-        labels = components(links).select(F.col("node").alias("leader"), "component")
-        leaders = leaders.join(labels, "leader", "left").select("high", "low", F.coalesce("component", "leader").alias("leader"))
-    some = sk.filter("n > 0").select("id", "n", "high", "low").join(leaders, ["high", "low"]).select("id", "n", "leader")
-    none = sk.filter("n = 0").select("id", "n", F.col("id").alias("leader"))
-    return some.unionByName(none).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("leader").alias("component_id"),
-        F.col("id").eqNullSafe(F.col("leader")).alias("kept"),
-    )
+    sk, leaders = judged(docs, id_col, text_col, percent)
+    kept = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("high") == F.col("lead.high")) & (F.col("low") == F.col("lead.low"))
+    some = sk.filter("n > 0").select("id", "n", "high", "low").join(leaders, ["high", "low"]).select("id", "n", F.col("lead.id").alias("leader"), kept.alias("kept"))
+    none = sk.filter("n = 0").select("id", "n", F.col("id").alias("leader"), F.lit(True).alias("kept"))
+    return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("leader").alias("component_id"), "kept")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, one row for each kept id of ``near_duplicates``."""
-    kept = near_duplicates(docs, id_col, text_col, percent).filter("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs``, all columns unchanged, that lead their group by ``near_duplicates``, one for each group.
+
+    Rows with equal ids (or none) and equal texts count as one, also where texts are empty. Texts of one id, and texts
+    without an id, are told apart by 64 bits.
+    """
+    sk, leaders = judged(docs, id_col, text_col, percent)
+    first = leaders.select("lead.id", "lead.k").unionByName(sk.filter("n = 0").select("id", "k")).distinct()
+    first = first.select(F.col("id").alias("first_id"), F.col("k").alias("first_k"))
+    keyed = docs.withColumn("__text_key", text_key(F.col(id_col), F.col(text_col)))
+    kept = keyed.join(first, F.col(id_col).eqNullSafe(F.col("first_id")) & (F.col("__text_key") == F.col("first_k")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_key"]).drop("__text_key")

@@ -1,6 +1,8 @@
 """Whole jobs: no participant, document or record is left out because of its size, its key or its neighbours."""
 
-from storyloom.llm import chat, warc
+import random
+
+from storyloom.llm import chat, neardup, warc
 
 
 def test_every_participant_gets_the_whole_dialogue(spark):
@@ -21,6 +23,24 @@ def test_every_participant_gets_the_whole_dialogue(spark):
     assert sorted(map(repr, chat.rotate(short, whole=True).collect())) == sorted(map(repr, chat.rotate(short).collect()))
 
 
+def test_null_and_reused_ids_lose_no_document(spark):
+    rng = random.Random(7)
+    fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    near = lambda text: text.rsplit(" ", 1)[0] + " changed"
+    a, b, c, d, e, p, q, x, y = (fresh() for _ in range(9))
+    kept = [(None, a), (None, b), (5, c), (5, d), (7, e), (9, p), (9, q), (8, x)]
+    rows = [*kept, (None, e), (None, near(e)), (10, near(q)), (None, b.upper()), (8, x)]
+    nameless = [(None, y), (None, near(y))]
+    reused = [(8, near(x))]
+    docs = spark.createDataFrame(rows + nameless + reused, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in neardup.keep_first(docs).collect()]
+    single = [r for r in got if r not in (*nameless, *reused, (8, x), (None, b), (None, b.upper()))]
+    assert sorted(single, key=repr) == sorted([r for r in kept if r not in ((8, x), (None, b))], key=repr)
+    assert sum(r in nameless for r in got) == 1 and sum(r in ((8, x), *reused) for r in got) == 1 and sum((r[1].lower() == b) for r in got) == 1
+    groups = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+    assert groups == {(None, None), (5, 5), (7, 7), (8, 8), (9, 9), (10, 9), (None, 7)}
+
+
 def test_records_with_long_headers(spark, tmp_path):
     rows = [(i, f"https://a.example/{i}" + ("x" * 100_000 if i == 2 else ""), f"page {i}") for i in range(5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)

@@ -1,14 +1,19 @@
 """Near-duplicate documents: MinHash with tensored banding, exact verification, and connected components.
 
-Two collections of ``GROUPS`` band hashes are taken from one MinHash signature. Every pair of a band of the first and a
-band of the second collection is the key of one table, so that GROUPS^2 tables cost 2 * GROUPS band hashes. A pair of
-sets with similarity s meets in a table unless all bands of one collection differ: at s = 0.85 and the values below this
-happens with probability 2 * (1 - 0.85^4)^16 < 2e-5.
+Two collections of band hashes are taken from one MinHash signature. Every pair of a band of the first and a band of the
+second collection is the key of one table, so that groups^2 tables cost 2 * groups band hashes. A pair of sets with
+similarity s meets in a table unless all bands of one collection differ, which has probability
+2 * (1 - s^rows)^groups; ``bands_for`` chooses rows and groups by the wanted similarity so that this stays below 2e-5.
+
+Classes that meet are first compared with the smallest classes of their tables. Where classes of several components are
+left in a band, their links are found by their rarest shingles (see ``rare_meetings``), never by all pairs of the band.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +22,48 @@ from pyspark.sql import functions as F
 
 from storyloom.llm import tokens
 from storyloom.llm.graph import components
-from storyloom.llm.shared import saved
+from storyloom.llm.shared import saved, spread_join
 
 SHINGLE = 5
-GROUPS = 16
-ROWS = 4
-HASHES = 2 * GROUPS * ROWS
 
-#: Two signatures of sets with similarity of 0.85 or more differ in more of their 128 sketch bits with probability < 1e-7.
-SKETCH_BITS = 28
+#: Bits of a sketch: one bit of each of so many MinHashes.
+SKETCH = 128
+
+#: Smallest classes of its tables with which a class is compared before rare shingles are looked at.
+LEADERS = 4
+
+MISSED = 1e-5
+LEAST_PERCENT = 50
+
+
+@dataclass(frozen=True)
+class Bands:
+    groups: int
+    rows: int
+
+    @property
+    def hashes(self) -> int:
+        return max(SKETCH, 2 * self.groups * self.rows)
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Odd multipliers and even summands of the hash functions; fewer hashes take the first of them."""
+        seeds = np.random.default_rng(20240229).integers(0, 1 << 63, (self.hashes, 2), dtype=np.uint64) * np.uint64(2)
+        return seeds[:, 0] + np.uint64(1), seeds[:, 1].copy()
+
+
+def bands_for(percent: int) -> Bands:
+    """Rows of a band and bands of a collection by which a pair of this similarity is missed with probability < 2e-5."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
+    s = min(percent, 99) / 100
+    rows = min(5, max(2, int(math.log(0.5) / math.log(s))))
+    return Bands(math.ceil(math.log(MISSED) / math.log(1 - s**rows)), rows)
 
-_seeds = np.random.default_rng(20240229)
-FACTORS = _seeds.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _seeds.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
 
-#: Bits of the finer sketch of those sets that are still to be told apart.
-FINE = 1024
-FINE_FACTORS = (_seeds.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _seeds.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2))
+def sketch_limit(percent: int) -> int:
+    """Bits in which the sketches of two sets of this similarity differ, with six standard deviations more."""
+    p = (100 - percent) / 200
+    return int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5) + 1
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -59,10 +89,10 @@ def shingle_sets_of(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    best = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF))
+def signature(items: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    best = np.full(len(factors), np.uint64(0xFFFFFFFFFFFFFFFF))
     for k in range(0, len(items), 1024):
-        best = np.minimum(best, (items[k : k + 1024, None] * FACTORS + OFFSETS).min(axis=0))
+        best = np.minimum(best, (items[k : k + 1024, None] * factors + offsets).min(axis=0))
     return best
 
 
@@ -71,52 +101,42 @@ def digest(items: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return tokens.mix(items).sum(dtype=np.uint64), tokens.mix(items ^ np.uint64(tokens.BASES[0])).sum(dtype=np.uint64)
 
 
-def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fold = tokens.powers(tokens.BASES[0], ROWS)
-    for batch in batches:
-        n, high, low, bands, s1, s2 = [], [], [], [], [], []
-        for items in shingle_sets(batch.column(1)):
-            n.append(len(items))
-            h, l = digest(items)  # noqa: E741
-            high.append(h)
-            low.append(l)
-            mins = tokens.mix(signature(items))
-            bands.append(tokens.mix((mins.reshape(2 * GROUPS, ROWS) * fold).sum(axis=1, dtype=np.uint64)))
-            bits = np.packbits((mins & np.uint64(1)).astype(np.uint8)).view(np.uint64)
-            s1.append(bits[0])
-            s2.append(bits[1])
-        u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), 2 * GROUPS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), u64(high), u64(low), lists, u64(s1), u64(s2)],
-            ["id", "k", "n", "high", "low", "bands", "s1", "s2"],
-        )
-
-
-def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bit of each of FINE further MinHashes of packed sets."""
-    factors, offsets = FINE_FACTORS
-    for batch in batches:
-        out = []
-        for packed in batch.column("items").to_pylist():
-            items, best = np.frombuffer(packed, np.uint64), np.full(FINE, np.uint64(0xFFFFFFFFFFFFFFFF))
-            for k in range(0, len(items), 128):
-                best = np.minimum(best, (items[k : k + 128, None] * factors + offsets).min(axis=0))
-            out.append(np.packbits((tokens.mix(best) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), FINE // 64).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "fine"])
-
-
-def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketches(plan: Bands):
+    """Per (id, text, k): size, digest, band hashes and sketch of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, (factors, offsets), width = tokens.powers(tokens.BASES[0], plan.rows), plan.factors(), 2 * plan.groups
+        for batch in batches:
+            n, high, low, bands, s1, s2 = [], [], [], [], [], []
+            for items in shingle_sets(batch.column(1)):
+                n.append(len(items))
+                h, l = digest(items)  # noqa: E741
+                high.append(h)
+                low.append(l)
+                mins = tokens.mix(signature(items, factors, offsets))
+                bands.append(tokens.mix((mins[: width * plan.rows].reshape(width, plan.rows) * fold).sum(axis=1, dtype=np.uint64)))
+                bits = np.packbits((mins[:SKETCH] & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+                s1.append(bits[0])
+                s2.append(bits[1])
+            u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), width).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), u64(high), u64(low), lists, u64(s1), u64(s2)],
+                ["id", "k", "n", "high", "low", "bands", "s1", "s2"],
+            )
+
+    return run
+
+
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, sets = [], []
         for items in shingle_sets(batch.column("t")):
             names.append(digest(items))
-            sets.append(items.tobytes())
+            sets.append(pa.array(items.view(np.int64)))
         high, low = (pa.array(np.array([x[j] for x in names], np.uint64).view(np.int64)) for j in (0, 1))
-        yield pa.RecordBatch.from_arrays([batch.column("k"), high, low, pa.array(sets, pa.binary())], ["k", "high", "low", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), high, low, pa.array(sets, pa.list_(pa.int64()))], ["k", "high", "low", "items"])
 
 
 def linked(percent: int):
@@ -125,8 +145,8 @@ def linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 spot = np.searchsorted(large, small)
                 both = int((large[np.minimum(spot, len(large) - 1)] == small).sum()) if len(large) else 0
@@ -142,35 +162,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long")
 
 
-def alike(percent: int):
-    """Column: the sizes and sketches of the structs p and q allow a similarity of ``percent`` or more."""
+def alike(percent: int) -> Column:
+    """The sizes and sketches of the structs p and q allow a similarity of ``percent`` or more."""
     p, q = F.col("p"), F.col("q")
     bits = F.bit_count(p["s1"].bitwiseXOR(q["s1"])) + F.bit_count(p["s2"].bitwiseXOR(q["s2"]))
-    return (bits <= SKETCH_BITS) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent)
-
-
-def fine_limit(percent: int) -> int:
-    """Bits in which the fine sketches of two sets of this similarity differ, with 5.5 standard deviations more."""
-    p = (100 - percent) / 200
-    return int(FINE * p + 5.5 * (FINE * p * (1 - p)) ** 0.5) + 1
-
-
-def close(percent: int):
-    """Column: the sizes and fine sketches of the structs p and q allow a similarity of ``percent`` or more."""
-    p, q = F.col("p"), F.col("q")
-    bits = F.lit(0)
-    for k in range(FINE // 64):
-        bits = bits + F.bit_count(F.get(p["fine"], F.lit(k)).bitwiseXOR(F.get(q["fine"], F.lit(k))))
-    return (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent) & (bits <= fine_limit(percent))
-
-
-def first_meeting():
-    """Column: i is the first band of the first collection that p and q share, and they share one of the second."""
-    same = F.zip_with("p.bands", "q.bands", lambda x, y: x == y)
-    return (F.array_position(same, True) == F.col("i") + 1) & F.array_contains(F.slice(same, GROUPS + 1, GROUPS), True)
+    return (bits <= sketch_limit(percent)) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent)
 
 
-def meetings(classes: DataFrame) -> DataFrame:
+def meetings(classes: DataFrame, groups: int) -> DataFrame:
     """(key, q): the tables' rows whose key at least two classes share; q is the class with its size and sketch.
 
     A class can only meet others in table (i, j) if it meets others in band i and in band j, so bands that nobody
@@ -179,64 +178,92 @@ def meetings(classes: DataFrame) -> DataFrame:
     who = F.struct("id", "n", "s1", "s2").alias("q")
 
     def shared(lo: int) -> DataFrame:
-        spread = classes.select("id", F.posexplode(F.slice("bands", lo + 1, GROUPS)).alias("i", "h"))
+        spread = classes.select("id", F.posexplode(F.slice("bands", lo + 1, groups)).alias("i", "h"))
         often = spread.groupBy("i", "h").agg(F.count("*").alias("c")).filter("c > 1").select("i", "h")
         return spread.join(often, ["i", "h"]).groupBy("id").agg(F.collect_list(F.struct("i", "h")).alias(f"b{lo}"))
 
-    pairs = shared(0).join(shared(GROUPS), "id").join(classes.select("id", who), "id")
-    pairs = pairs.select("q", F.explode("b0").alias("u"), f"b{GROUPS}").select("q", "u", F.explode(f"b{GROUPS}").alias("v"))
+    pairs = shared(0).join(shared(groups), "id").join(classes.select("id", who), "id")
+    pairs = pairs.select("q", F.explode("b0").alias("u"), f"b{groups}").select("q", "u", F.explode(f"b{groups}").alias("v"))
     return pairs.select(F.xxhash64("u.i", "u.h", "v.i", "v.h").alias("key"), "q")
 
 
+def rare_meetings(open_: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes of different components that may be linked; none that is linked is left out.
+
+    ``open_`` has id, n, s1, s2, component and items. Shingles are ranked by how many of these classes have them, those
+    that one class has alone first. By the prefix principle of set joins, of two linked sets the larger shares one of
+    its first n - ceil(percent n / 100) + 1 shingles with the first n - ceil(2 percent n / (100 + percent)) + 1 of the
+    smaller. So what all pages of a template have in common makes no pair unless the pages are linked. Only shingles of
+    several components make pairs, and members of the largest of these are not paired with each other.
+    """
+    rows = open_.select("id", F.explode("items").alias("token"))
+    total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = saved(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shingles")
+    ranked = spread_join(rows, often, ["token"], "df", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ranked = ranked.join(open_.select("id", "n", "s1", "s2", "component"), "id")
+    alone = F.col("n") - F.size("shared")
+    first = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - alone
+    inner = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1") - alone
+    ranked = ranked.withColumn("inner", inner).withColumn("prefix", F.slice("shared", 1, F.greatest(first, F.lit(0)).cast("int")))
+    spots = ranked.select(F.struct("id", "n", "s1", "s2", "component").alias("q"), "inner", F.posexplode("prefix").alias("at", "x"))
+    spots = saved(spots.select(F.col("x.token").alias("token"), "q", (F.col("at") < F.col("inner")).alias("inner")), "prefixes")
+    sizes = spots.groupBy("token", F.col("q.component").alias("component")).agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    spots = spots.join(mixed, "token")
+    outside = spots.filter(F.col("q.component") != F.col("largest")).select("token", F.col("q").alias("p"), F.col("inner").alias("p_inner"))
+    p, q = F.col("p"), F.col("q")
+    smaller = F.struct(p["n"], p["id"]) < F.struct(q["n"], q["id"])
+    found = outside.join(spots, "token").filter(
+        (p["component"] != q["component"])
+        & ((q["component"] == F.col("largest")) | (p["id"] < q["id"]))
+        & F.when(smaller, F.col("p_inner")).otherwise(F.col("inner"))
+        & alike(percent)
+    )
+    return found.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+
+
+def leader_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of each class with the smallest classes of its tables that may be linked with it."""
+    best = met.filter(alike(percent)).groupBy("q.id").agg(F.slice(F.array_sort(F.collect_set("p.id")), 1, LEADERS).alias("ps"))
+    pairs = best.select("id", F.explode("ps").alias("p"))
+    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
 def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect whatever is connected between classes of different shingle sets, and these classes.
 
     A class is named by a number of its own, so that it does not matter whether its documents' ids are null or reused.
 
-    First, in every table, each class is compared with the smallest class of its key. Then, where classes of several
-    components still share a band, every class outside the band's largest component is compared with the classes of
-    other components that it meets in some table, each pair once, if their finer sketches allow it. So no link between
-    classes that meet is lost, members of a large group of copies are not compared with each other, and of classes that
-    are only somewhat alike few pairs leave the join.
+    First every class is compared with the smallest classes of its tables. Then, where classes of several components
+    still share a band, these classes are compared by their rare shingles. So no link between classes that meet is lost,
+    and the number of comparisons does not grow with the square of a group of pages that have much in common.
     """
-    least = -(-percent // (100 - percent))
+    plan = bands_for(percent)
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     classes = sk.filter(F.col("n") >= least).groupBy("high", "low")
     classes = classes.agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("bands").alias("bands"))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("id"), "k", "high", "low", "n", "s1", "s2", "bands"), "classes")
-    keys = meetings(classes)
+    keys = meetings(classes, plan.groups)
     often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("q").alias("p")).filter("c > 1").drop("c")
-    met = saved(keys.join(often, "key"), "met")
-    pair = [F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")]
-    involved = met.filter(F.col("p.id") != F.col("q.id")).select(F.explode(F.array("p.id", "q.id")).alias("id")).distinct()
-    named = saved(classes.join(involved, "id").select("id", "k", "high", "low"), "named")
+    met = saved(keys.join(often, "key").filter(F.col("p.id") != F.col("q.id")).select("p", "q").distinct(), "met")
+    involved = met.select(F.explode(F.array("p.id", "q.id")).alias("id")).distinct()
+    named = saved(classes.join(involved, "id"), "named")
     texts = docs.join(named.select("k").distinct(), "k", "left_semi").select("k", "t")
-    found = texts.mapInArrow(packed_sets, "k long, high long, low long, items binary").dropDuplicates(["k", "high", "low"])
-    sets = saved(found.join(named, ["k", "high", "low"]).select("id", "items"), "sets")
+    found = texts.mapInArrow(sets_of, "k long, high long, low long, items array<long>").dropDuplicates(["k", "high", "low"])
+    sets = saved(found.join(named.select("id", "k", "high", "low"), ["k", "high", "low"]).select("id", "items"), "sets")
 
-    links = saved(verified(met.filter((F.col("p.id") != F.col("q.id")) & alike(percent)).select(*pair).distinct(), sets, percent), "links")
-    known = classes.join(named.select("id"), "id")
+    links = saved(verified(leader_pairs(met, percent), sets, percent), "links")
+    known = named.select("id", "n", "s1", "s2", "bands")
     if links.isEmpty():
         known = known.withColumn("component", F.col("id"))
     else:
         known = known.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = saved(known.select("id", "n", "component", "bands"), "known")
-    spread = known.select("id", "component", F.posexplode(F.slice("bands", 1, GROUPS)).alias("i", "h"))
-    sizes = spread.groupBy("i", "h", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("i", "h").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    mixed = saved(mixed, "mixed")
-    open_ids = spread.join(mixed, ["i", "h"]).select("id").distinct()
-    fine = sets.join(open_ids, "id").select("id", "items").mapInArrow(fine_sketches, "id long, fine array<long>")
-    open_ = saved(known.join(fine, "id"), "open")
-    rows = open_.select(F.struct("id", "n", "component", "bands", "fine").alias("q"), F.posexplode(F.slice("bands", 1, GROUPS)).alias("i", "h")).join(mixed, ["i", "h"])
-    rows = saved(rows, "rows")
-    outside = rows.filter(F.col("q.component") != F.col("largest")).select("i", "h", F.col("q").alias("p"))
-    fresh = outside.join(rows, ["i", "h"]).filter(
-        (F.col("p.component") != F.col("q.component"))
-        & ((F.col("q.component") == F.col("largest")) | (F.col("p.id") < F.col("q.id")))
-        & close(percent)
-        & first_meeting()
-    )
-    more = saved(verified(fresh.select(*pair).distinct(), sets, percent), "links")
+    known = saved(known, "known")
+    spread = known.select("id", "component", F.posexplode(F.slice("bands", 1, plan.groups)).alias("i", "h"))
+    mixed = spread.groupBy("i", "h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("i", "h")
+    open_ids = spread.join(mixed, ["i", "h"], "left_semi").select("id").distinct()
+    open_ = saved(known.drop("bands").join(open_ids, "id").join(sets, "id"), "open")
+    more = saved(verified(rare_meetings(open_, percent), sets, percent), "links")
     return links.unionByName(more), classes
 
 
@@ -249,16 +276,17 @@ def judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     """The sketches of all rows; and of each class of equal sets that are not empty, by (high, low), the first document
     of its group as the struct ``lead``: the smallest id, nulls last, then the smallest key and digest."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), text_key(F.col(id_col), F.col(text_col)).alias("k"))
-    sk = saved(slim.mapInArrow(sketches, "id long, k long, n long, high long, low long, bands array<long>, s1 long, s2 long"), "sketches")
+    sk = saved(slim.mapInArrow(sketches(bands_for(percent)), "id long, k long, n long, high long, low long, bands array<long>, s1 long, s2 long"), "sketches")
     links, classes = links_of(slim, sk, percent)
-    leaders = sk.filter("n > 0").groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k")).alias("m"))
-    leaders = leaders.select("high", "low", F.struct("m.nameless", "m.id", "m.k", "high", "low").alias("lead"))
+    leaders = sk.filter("n > 0").groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k")).alias("m"), F.count("*").alias("copies"))
+    leaders = saved(leaders.select("high", "low", F.struct("m.nameless", "m.id", "m.k", "high", "low").alias("lead"), "copies"), "leaders")
     if not links.isEmpty():
         labels = components(links).withColumnRenamed("node", "id").join(classes.select("id", "high", "low"), "id")
         joined = saved(leaders.join(labels.select("high", "low", "component"), ["high", "low"]), "joined")
-        best = joined.groupBy("component").agg(F.min("lead").alias("best"))
-        moved = joined.join(best, "component").select("high", "low", "best")
-        leaders = leaders.join(moved, ["high", "low"], "left").select("high", "low", F.coalesce("best", "lead").alias("lead"))
+        best = joined.groupBy("component").agg(F.min("lead").alias("best"), F.count("*").alias("members"))
+        moved = spread_join(joined, best, ["component"], "members", joined.count()).select("high", "low", "best")
+        leaders = leaders.join(moved, ["high", "low"], "left").select("high", "low", F.coalesce("best", "lead").alias("lead"), "copies")
+        leaders = saved(leaders, "leaders")
     return sk, leaders
 
 
@@ -274,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sk, leaders = judged(docs, id_col, text_col, percent)
     kept = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("high") == F.col("lead.high")) & (F.col("low") == F.col("lead.low"))
-    some = sk.filter("n > 0").select("id", "n", "high", "low").join(leaders, ["high", "low"]).select("id", "n", F.col("lead.id").alias("leader"), kept.alias("kept"))
+    some = sk.filter("n > 0").select("id", "n", "high", "low")
+    some = spread_join(some, leaders, ["high", "low"], "copies", sk.count()).select("id", "n", F.col("lead.id").alias("leader"), kept.alias("kept"))
     none = sk.filter("n = 0").select("id", "n", F.col("id").alias("leader"), F.lit(True).alias("kept"))
     return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("leader").alias("component_id"), "kept")
 

@@ -6,22 +6,39 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where none is set, as in tests, one of this process."""
+    """The folder named in spark.checkpoint.dir. Where none is set, as in tests, a session that runs in one process gets
+    a temporary one; on a cluster that is an error, as executors would write to disks of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="shared-"))
     return _own[0]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Deletes all tables that this process wrote to the shared folder so far, and gives their number. To be called once
+    the results that read them are stored."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -29,3 +46,21 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key is hot if more than one in so many rows has it; so there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``lookup``, which has one row per key and says in ``count`` how many of the
+    ``total`` rows have it.
+
+    Rows of hot keys stay where they are and meet their keys' rows, fewer than HOT_SHARE, by broadcast; only the others
+    are dealt by key, so that no key is a large part of a task. Both tables are read twice.
+    """
+    hot = F.col(count) * HOT_SHARE > total
+    known = F.broadcast(lookup.filter(hot))
+    here = rows.join(known, keys)
+    rest = rows.join(known.select(*keys), keys, "left_anti").join(lookup.filter(~hot), keys)
+    return here.unionByName(rest)

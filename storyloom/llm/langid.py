@@ -25,8 +25,8 @@ ROUNDS = 30
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
-#: Languages of one model; a corpus with more labels keeps its most frequent ones, so the model's size is bounded.
-MAX_LANGUAGES = 400
+#: Most languages of one model by default. A language takes 128 KB of the table that is sent to every executor.
+MAX_LANGUAGES = 1000
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +49,22 @@ FOLD = tokens.LOWER.copy()
 FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
+def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows between blanks, so that every letter, also the first or only one, is in the middle of a trigram."""
+    wide = offs + 2 * np.arange(len(offs))
+    out = np.full(wide[-1], 32, np.uint8)
+    for k in range(len(offs) - 1):
+        out[wide[k] + 1 : wide[k + 1] - 1] = data[offs[k] : offs[k + 1]]
+    return out, wide
+
+
 def split_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, trigram buckets) of each row of a column, a bounded piece of text at a time."""
     data, offs = tokens.text_buffer(column)
     row = 0
     while row < len(offs) - 1:
         end = max(row + 1, int(np.searchsorted(offs, offs[row] + tokens.PIECE, "right")) - 1)
-        got, first = grams(data[offs[row] : offs[end]], offs[row : end + 1] - offs[row])
+        got, first = grams(*padded(data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]))
         for k in range(end - row):
             yield row + k, got[first[k] : first[k + 1]]
         row = end
@@ -75,23 +84,29 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(spots), pa.string()), pa.array(spots), pa.array(counts[spots])], ["lang", "bucket", "n"])
 
 
-def learn(labelled: DataFrame, lang_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
+def learn(labelled: DataFrame, lang_col: str, text_col: str, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages in order, log probabilities [language, bucket]) from all rows of ``labelled`` with both values.
 
-    Counts are added up per task before the shuffle; at most MAX_LANGUAGES * BUCKETS sums come to the driver.
+    Counts are added up per task before the shuffle; at most max_languages * BUCKETS sums come to the driver. More
+    labels than ``max_languages`` are an error, as leaving out some would give their texts a wrong language.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    langs = sorted(r.lang for r in top.collect())
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
+    if len(langs) > max_languages:
+        raise ValueError(f"more than {max_languages} languages are labelled; raise max_languages, at 128 KB of memory each")
     if not langs:
-        return [], np.zeros((0, BUCKETS))
-    counts = rows.filter(F.col("lang").isin(langs)).mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        return [], np.zeros((0, BUCKETS), np.float32)
+    counts = rows.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     got = counts.toArrow()
     place = {x: k for k, x in enumerate(langs)}
     where = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
     np.add.at(table, (where, got.column("bucket").to_numpy().astype(np.int64)), got.column("n").to_numpy())
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def proportions(likely: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -113,7 +128,7 @@ def mixture(buckets: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarra
     spots, n = np.unique(buckets, return_counts=True)
     total = n.sum()
     weights = n / total
-    table = logp[:, spots].T
+    table = logp[:, spots].T.astype(np.float64)
     single = weights @ table
     table = np.exp(table - table.max(axis=1, keepdims=True))
     chosen = [int(single.argmax())]
@@ -138,7 +153,7 @@ def predictor(shared):
         for batch in batches:
             texts, pred, score, mixed = batch.column(1), [], [], []
             for row, got in split_rows(texts):
-                if not langs or not len(got) or not LETTER.search(texts[row].as_py() or ""):
+                if not langs or not has_letter(texts[row].as_py()):
                     pred.append(UNKNOWN), score.append(0.0), mixed.append([])
                     continue
                 chosen, share = mixture(got, logp)
@@ -150,13 +165,14 @@ def predictor(shared):
     return run
 
 
-def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """One row per row of ``docs``: the id, lang_pred, score (its proportion) and all languages with proportions.
 
-    Learns from ``labelled``. A text that is null, has no letter, or has no trigram is ``und`` with score 0, as is every
-    text if nothing was learned. Null ids stay null, repeated rows give equal results, other columns are not read.
+    Learns from ``labelled``, whose labels are ``max_languages`` at most. A text that is null or has no letter is ``und``
+    with score 0, as is every text if nothing was learned; any other text gets a learned language, however short it is.
+    Null ids stay null, repeated rows give equal results, other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, lang_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, lang_col, text_col, max_languages))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = dict(slim.dtypes)["id"]
     out = slim.mapInArrow(predictor(shared), f"id {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")

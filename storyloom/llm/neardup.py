@@ -5,8 +5,9 @@ second collection is the key of one table, so that groups^2 tables cost 2 * grou
 similarity s meets in a table unless all bands of one collection differ, which has probability
 2 * (1 - s^rows)^groups; ``bands_for`` chooses rows and groups by the wanted similarity so that this stays below 2e-5.
 
-Classes that meet are first compared with the smallest classes of their tables. Where classes of several components are
-left in a band, their links are found by their rarest shingles (see ``rare_meetings``), never by all pairs of the band.
+Every table shows one of its classes to the others, which are first compared with the nearest ones that they were shown.
+Where classes of several components are left in a band, their links are found by their rarest shingles (see
+``rare_meetings``), never by all pairs of the band.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE = 5
 #: Bits of a sketch: one bit of each of so many MinHashes.
 SKETCH = 128
 
-#: Smallest classes of its tables with which a class is compared before rare shingles are looked at.
-LEADERS = 4
+#: Classes, one for each of its tables at most, with which a class is compared before rare shingles are looked at.
+NEAREST = 4
 
 MISSED = 1e-5
 LEAST_PERCENT = 50
@@ -162,11 +163,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long")
 
 
+def sketch_bits() -> Column:
+    """Bits in which the sketches of the structs p and q differ."""
+    p, q = F.col("p"), F.col("q")
+    return F.bit_count(p["s1"].bitwiseXOR(q["s1"])) + F.bit_count(p["s2"].bitwiseXOR(q["s2"]))
+
+
 def alike(percent: int) -> Column:
     """The sizes and sketches of the structs p and q allow a similarity of ``percent`` or more."""
     p, q = F.col("p"), F.col("q")
-    bits = F.bit_count(p["s1"].bitwiseXOR(q["s1"])) + F.bit_count(p["s2"].bitwiseXOR(q["s2"]))
-    return (bits <= sketch_limit(percent)) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent)
+    return (sketch_bits() <= sketch_limit(percent)) & (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent)
 
 
 def meetings(classes: DataFrame, groups: int) -> DataFrame:
@@ -191,42 +197,40 @@ def rare_meetings(open_: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of classes of different components that may be linked; none that is linked is left out.
 
     ``open_`` has id, n, s1, s2, component and items. Shingles are ranked by how many of these classes have them, those
-    that one class has alone first. By the prefix principle of set joins, of two linked sets the larger shares one of
-    its first n - ceil(percent n / 100) + 1 shingles with the first n - ceil(2 percent n / (100 + percent)) + 1 of the
-    smaller. So what all pages of a template have in common makes no pair unless the pages are linked. Only shingles of
+    that one class has alone first. By the prefix principle of set joins, two linked sets share one of the first
+    n - ceil(percent n / 100) + 1 shingles of each, and from the first shared one on, both have as many left as they must
+    share. So what all pages of a template have in common makes no pair unless the pages are linked. Only shingles of
     several components make pairs, and members of the largest of these are not paired with each other.
     """
     rows = open_.select("id", F.explode("items").alias("token"))
     total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = saved(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shingles")
     ranked = spread_join(rows, often, ["token"], "df", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    ranked = ranked.join(open_.select("id", "n", "s1", "s2", "component"), "id")
-    alone = F.col("n") - F.size("shared")
-    first = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - alone
-    inner = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1") - alone
-    ranked = ranked.withColumn("inner", inner).withColumn("prefix", F.slice("shared", 1, F.greatest(first, F.lit(0)).cast("int")))
-    spots = ranked.select(F.struct("id", "n", "s1", "s2", "component").alias("q"), "inner", F.posexplode("prefix").alias("at", "x"))
-    spots = saved(spots.select(F.col("x.token").alias("token"), "q", (F.col("at") < F.col("inner")).alias("inner")), "prefixes")
+    ranked = ranked.join(open_.select("id", "n", "s1", "s2", "component"), "id").withColumn("alone", F.col("n") - F.size("shared"))
+    first = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone")
+    ranked = ranked.withColumn("prefix", F.slice("shared", 1, F.greatest(first, F.lit(0)).cast("int")))
+    spots = ranked.select(F.struct("id", "n", "s1", "s2", "component").alias("q"), "alone", F.posexplode("prefix").alias("at", "x"))
+    spots = saved(spots.select(F.col("x.token").alias("token"), "q", (F.col("q.n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
     sizes = spots.groupBy("token", F.col("q.component").alias("component")).agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    spots = spots.join(mixed, "token")
-    outside = spots.filter(F.col("q.component") != F.col("largest")).select("token", F.col("q").alias("p"), F.col("inner").alias("p_inner"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k"), F.sum("c").alias("uses"))
+    mixed = saved(mixed.filter("k > 1").drop("k"), "mixed")
+    spots = saved(spread_join(spots, mixed, ["token"], "uses", spots.count()), "mixed_prefixes")
+    outside = spots.filter(F.col("q.component") != F.col("largest")).select("token", F.col("q").alias("p"), F.col("left").alias("p_left"))
     p, q = F.col("p"), F.col("q")
-    smaller = F.struct(p["n"], p["id"]) < F.struct(q["n"], q["id"])
     found = outside.join(spots, "token").filter(
         (p["component"] != q["component"])
         & ((q["component"] == F.col("largest")) | (p["id"] < q["id"]))
-        & F.when(smaller, F.col("p_inner")).otherwise(F.col("inner"))
+        & (F.least("p_left", "left") * (100 + percent) >= (p["n"] + q["n"]) * percent)
         & alike(percent)
     )
     return found.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
-def leader_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of each class with the smallest classes of its tables that may be linked with it."""
-    best = met.filter(alike(percent)).groupBy("q.id").agg(F.slice(F.array_sort(F.collect_set("p.id")), 1, LEADERS).alias("ps"))
-    pairs = best.select("id", F.explode("ps").alias("p"))
-    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+def nearest_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of each class with those classes it was shown that are nearest by sketch and may be linked."""
+    near = met.filter(alike(percent)).select(F.col("q.id").alias("id"), F.struct(sketch_bits().alias("bits"), F.col("p.id").alias("p")).alias("x"))
+    best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("xs")).select("id", F.explode("xs.p").alias("p"))
+    return best.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
 def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +238,8 @@ def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> tuple[DataFrame, D
 
     A class is named by a number of its own, so that it does not matter whether its documents' ids are null or reused.
 
-    First every class is compared with the smallest classes of its tables. Then, where classes of several components
+    First every class is compared with the nearest of those that its tables show, so that most of a large group of copies
+    hangs together soon. Then, where classes of several components
     still share a band, these classes are compared by their rare shingles. So no link between classes that meet is lost,
     and the number of comparisons does not grow with the square of a group of pages that have much in common.
     """
@@ -244,15 +249,15 @@ def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> tuple[DataFrame, D
     classes = classes.agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("bands").alias("bands"))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("id"), "k", "high", "low", "n", "s1", "s2", "bands"), "classes")
     keys = meetings(classes, plan.groups)
-    often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("q").alias("p")).filter("c > 1").drop("c")
-    met = saved(keys.join(often, "key").filter(F.col("p.id") != F.col("q.id")).select("p", "q").distinct(), "met")
+    often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min_by("q", F.xxhash64("key", "q.id")).alias("p")).filter("c > 1").drop("c")
+    met = saved(keys.join(often, "key").filter(F.col("p.id") != F.col("q.id")).select("p", "q"), "met")
     involved = met.select(F.explode(F.array("p.id", "q.id")).alias("id")).distinct()
     named = saved(classes.join(involved, "id"), "named")
     texts = docs.join(named.select("k").distinct(), "k", "left_semi").select("k", "t")
     found = texts.mapInArrow(sets_of, "k long, high long, low long, items array<long>").dropDuplicates(["k", "high", "low"])
     sets = saved(found.join(named.select("id", "k", "high", "low"), ["k", "high", "low"]).select("id", "items"), "sets")
 
-    links = saved(verified(leader_pairs(met, percent), sets, percent), "links")
+    links = saved(verified(nearest_pairs(met, percent), sets, percent), "links")
     known = named.select("id", "n", "s1", "s2", "bands")
     if links.isEmpty():
         known = known.withColumn("component", F.col("id"))

@@ -5,69 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turns of one rendered piece of a conversation, which bounds its size.
-PIECE_TURNS = 64
+from storyloom.llm.hilbert import ranked
+from storyloom.llm.shared import saved, spread_join
+
+#: Most turns of one rendered row besides carried system turns; a dialogue of no more turns is one row.
+PIECE_TURNS = 1024
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 NAMELESS = "unknown"
 
 
-def prefix(role: Column, me: Column) -> Column:
-    """Opening of a turn as seen by ``me``: own turns are the assistant's, others are users with their names."""
-    return F.when(role == SYSTEM, F.lit(f"{OPEN}system\n")).when(role == me, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), role, F.lit("\n")))
+def escaped(text: Column) -> Column:
+    """A text in which a mark of the format can't open or close a turn: its bar gets a backslash."""
+    for mark in (OPEN, CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit(mark.replace("<|", "<\\|")))
+    return text
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_turns: int = PIECE_TURNS, whole: bool = False) -> DataFrame:
-    """One row per conversation, piece and participant: conv_id, piece, participant, n_turns, rendered and mask.
+def name_of(role: Column) -> Column:
+    return escaped(F.regexp_replace(role, r"[\x00-\x1f\x7f]", " "))
+
+
+def prefix(role: Column, me: Column) -> Column:
+    """Opening of a turn as seen by ``me``: own turns are the assistant's, others are users with their names."""
+    user = F.concat(F.lit(f"{OPEN}user name="), name_of(role), F.lit("\n"))
+    return F.when(role == SYSTEM, F.lit(f"{OPEN}system\n")).when(role == me, F.lit(f"{OPEN}assistant\n")).otherwise(user)
 
-    The piece is rendered with the participant as assistant, other participants as named users and system turns as they
-    are. ``mask`` lists the half-open code-point ranges of ``rendered`` to train on: the participant's texts with their
-    closing mark. Conversations are cut into pieces of ``piece_turns`` turn numbers, so a conversation of any length
-    stays in bounded rows; each piece is rendered for those who speak in it, and one of system turns only for nobody.
 
-    With ``whole``, every piece is rendered for everyone who speaks anywhere in its conversation, so a participant's
-    pieces in order are the whole dialogue; nothing is repeated, and a silent piece has an empty mask. A conversation of
-    system turns only is rendered once, for the participant null. One row lists a conversation's pieces and speakers.
+def pieces_of(turns: DataFrame, conv: Column, turn: Column, role: Column, text: Column, piece_turns: int) -> DataFrame:
+    """(conv, piece, said, cast): turns in order as structs, and all participants of the conversation in order.
 
-    Turns are ordered by number, role and text; repeated rows count once. A null role is ``unknown``, a null text is
-    empty, a null turn number is 0; null conversation ids form one conversation. Other columns are not read.
+    Turns are ranked over all conversations by ranges of their order, so that a long conversation, or many turns with one
+    number, are in no single task; a conversation's turns are then told from the rank at which it begins.
     """
-    turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(0).cast("long"))
     rows = turns.select(
-        F.col(conv_col).alias("conv"), F.floor(turn / piece_turns).cast("long").alias("piece"),
-        F.struct(
-            turn.alias("turn"), F.coalesce(F.col(role_col), F.lit(NAMELESS)).alias("role"),
-            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        ).alias("said"),
+        conv.alias("conv"), F.coalesce(F.concat(F.lit("="), conv.cast("string")), F.lit("")).alias("k"), F.coalesce(turn.cast("long"), F.lit(0).cast("long")).alias("turn"),
+        F.coalesce(role, F.lit(NAMELESS)).alias("role"), F.coalesce(text, F.lit("")).alias("text"),
     )
-    who = F.array_sort(F.array_distinct(F.transform(F.filter("said", lambda s: s["role"] != SYSTEM), lambda s: s["role"])))
-    if whole:
-        # Speakers travel as rows of their own, so that texts are shuffled once only.
-        role = F.col("said.role")
-        cast = rows.groupBy("conv").agg(F.collect_set("piece").alias("pieces"), F.collect_set(F.when(role != SYSTEM, role)).alias("cast"))
-        cast = cast.filter(F.size("pieces") > 1).select("conv", F.explode("pieces").alias("piece"), "cast")
-        rows = rows.unionByName(cast, allowMissingColumns=True)
-        pieces = rows.groupBy("conv", "piece").agg(F.array_sort(F.collect_set("said")).alias("said"), F.max("cast").alias("cast"))
-        views = pieces.select("conv", "piece", "said", F.explode_outer(F.coalesce(F.array_sort("cast"), who)).alias("me"))
-    else:
-        pieces = rows.groupBy("conv", "piece").agg(F.array_sort(F.collect_set("said")).alias("said"))
-        views = pieces.select("conv", "piece", "said", F.explode(who).alias("me"))
+    placed = ranked(rows, "k", "turn", "role", "text")
+    convs = placed.groupBy("k").agg(F.min("rank").alias("begin"), F.count("*").alias("turns"), F.array_sort(F.collect_set(F.when(F.col("role") != SYSTEM, F.col("role")))).alias("cast"))
+    convs = saved(convs, "conversations")
+    total = convs.agg(F.coalesce(F.sum("turns"), F.lit(0))).first()[0]
+    placed = spread_join(placed, convs, ["k"], "turns", total).withColumn("at", F.col("rank") - F.col("begin"))
+    placed = placed.withColumn("piece", F.expr(f"at div {piece_turns}"))
+    said = F.struct("at", "turn", "role", "text").alias("said")
+    own = placed.select("conv", "k", "piece", said, F.when(F.col("at") % piece_turns == 0, F.col("cast")).alias("cast"))
+    later = F.explode(F.expr(f"sequence(1L, (turns - 1) div {piece_turns})")).alias("piece")
+    carried = placed.filter((F.col("piece") == 0) & (F.col("role") == SYSTEM) & (F.col("turns") > piece_turns))
+    carried = carried.select("conv", "k", later, said, F.lit(None).cast("array<string>").alias("cast"))
+    return own.unionByName(carried).groupBy("k", "conv", "piece").agg(F.array_sort(F.collect_list("said")).alias("said"), F.max("cast").alias("cast"))
+
+
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_turns: int = PIECE_TURNS) -> DataFrame:
+    """One row per conversation, piece and participant: conv_id, piece, participant, n_turns, rendered and mask.
+
+    The dialogue is rendered with the participant as assistant, other participants as named users and system turns as
+    they are. ``mask`` lists the half-open code-point ranges of ``rendered`` to train on: the participant's texts with
+    their closing mark. A dialogue of up to ``piece_turns`` turns is one piece. A longer one is cut into pieces of so
+    many turns, all rendered for everyone who speaks anywhere in it; later pieces begin with the system turns of the
+    first, and one in which the participant is silent has an empty mask. A conversation of system turns only is rendered
+    for the participant null.
+
+    Turns are ordered by number, role and text; repeated rows are turns of their own. A null role is ``unknown``, a null
+    text is empty, a null turn number is 0; null conversation ids form one conversation. Marks of the format inside texts
+    and names are escaped, see ``escaped``, and control characters in names become blanks. Other columns are not read.
+    An empty table gives an empty result.
+    """
+    pieces = pieces_of(turns, F.col(conv_col), F.col(turn_col), F.col(role_col), F.col(text_col), piece_turns)
+    views = pieces.select("conv", "piece", "said", F.explode_outer("cast").alias("me"))
     parts = F.transform(
         "said",
         lambda s: F.struct(
-            prefix(s["role"], F.col("me")).alias("open"), F.concat(s["text"], F.lit(CLOSE)).alias("body"),
+            prefix(s["role"], F.col("me")).alias("open"), F.concat(escaped(s["text"]), F.lit(CLOSE)).alias("body"),
             (s["role"].eqNullSafe(F.col("me")) & (s["role"] != SYSTEM)).alias("mine"),
         ),
     )
+    sized = F.transform("parts", lambda x: F.struct((F.length(x["open"]) + F.length(x["body"]) + 1).alias("n"), F.length(x["open"]).alias("open"), x["mine"].alias("mine")))
     views = views.withColumn("parts", parts)
-    span = lambda a, x: F.struct((a["at"] + F.length(x["open"])).alias("start"), (a["at"] + F.length(x["open"]) + F.length(x["body"])).alias("end"))
     mask = F.aggregate(
-        "parts",
+        sized,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
         lambda a, x: F.struct(
-            (a["at"] + F.length(x["open"]) + F.length(x["body"]) + 1).alias("at"),
-            F.when(x["mine"], F.concat(a["spans"], F.array(span(a, x)))).otherwise(a["spans"]).alias("spans"),
+            (a["at"] + x["n"]).alias("at"),
+            F.when(x["mine"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["open"]).alias("start"), (a["at"] + x["n"] - 1).alias("end"))))).otherwise(a["spans"]).alias("spans"),
         ),
         lambda a: a["spans"],
     )

@@ -27,23 +27,27 @@ SELECT page_id, host, host_pages, len(ls)::BIGINT AS n_lines, (len(ls) - len(ks)
 FROM kept
 """
 
-OP9 = """
+OP9 = r"""
 WITH said AS (
-  SELECT DISTINCT conv_id, floor(coalesce(turn, 0) / 64.0)::BIGINT AS piece, coalesce(turn, 0) AS turn,
-    coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-views AS (
-  SELECT s.*, w.role AS me FROM said s
-  JOIN (SELECT DISTINCT conv_id, piece, role FROM said WHERE role <> 'system') w
-    ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.piece = w.piece),
+  SELECT *, (n - 1) // 1024 AS own FROM (
+    SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+      row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 0), coalesce(role, 'unknown'), coalesce(text, '')) AS n FROM conversations)),
+shown AS (
+  SELECT *, own AS piece FROM said
+  UNION ALL SELECT s.*, p.piece FROM said s JOIN (SELECT DISTINCT conv_id, own AS piece FROM said WHERE own > 0) p
+    ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE s.role = 'system' AND s.own = 0),
+speakers AS (SELECT DISTINCT conv_id, role FROM said WHERE role <> 'system'),
+views AS (SELECT s.*, w.role AS me FROM shown s LEFT JOIN speakers w ON s.conv_id IS NOT DISTINCT FROM w.conv_id),
 parts AS (
-  SELECT *, CASE WHEN role = 'system' THEN '<|im_start|>system' WHEN role = me THEN '<|im_start|>assistant'
-    ELSE '<|im_start|>user name=' || role END || chr(10) AS opening, text || '<|im_end|>' AS body FROM views),
+  SELECT *, CASE WHEN role = 'system' THEN '<|im_start|>system' WHEN role = me THEN '<|im_start|>assistant' ELSE '<|im_start|>user name='
+    || replace(replace(regexp_replace(role, '[\x00-\x1f\x7f]', ' ', 'g'), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>') END || chr(10) AS opening,
+    replace(replace(text, '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>') || '<|im_end|>' AS body FROM views),
 placed AS (
-  SELECT *, coalesce(sum(length(opening) + length(body) + 1) OVER (PARTITION BY conv_id, piece, me ORDER BY turn, role, text
+  SELECT *, coalesce(sum(length(opening) + length(body) + 1) OVER (PARTITION BY conv_id, piece, me ORDER BY n
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(opening) AS spot FROM parts)
 SELECT conv_id, piece, me AS participant, count(*) AS n_turns,
-  string_agg(opening || body || chr(10), '' ORDER BY turn, role, text) AS rendered,
-  coalesce(string_agg(CASE WHEN role = me THEN spot || '-' || (spot + length(body)) END, ',' ORDER BY turn, role, text), '') AS mask_spans
+  string_agg(opening || body || chr(10), '' ORDER BY n) AS rendered,
+  coalesce(string_agg(CASE WHEN role = me THEN spot || '-' || (spot + length(body)) END, ',' ORDER BY n), '') AS mask_spans
 FROM placed GROUP BY conv_id, piece, me
 """
 

@@ -76,28 +76,32 @@ def test_repeat_words_by_text_agrees(docs):
     assert all(r.a == r.b for r in rows.select(quality.repeat_words(w, F.col("p")).alias("a"), quality.repeat_words_by_text(w).alias("b")).collect())
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
-def test_contamination(docs, bench, empty, block_bytes):
-    got = decontam.contamination(docs, bench, block_bytes=block_bytes)
+def test_contamination(docs, bench, empty):
     items = [(r.item_id, r.text) for r in bench.collect()]
     want = [(d, n, h, [x for x in i if x != "None"], c) for d, n, h, i, c in brute.contamination(corpus(), items)]
-    rows = [(r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got.collect()]
-    assert ordered(set(map(repr, rows))) == ordered(set(map(repr, want)))
+    whole = decontam.contamination(docs, bench).collect()
+    assert ordered((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in whole) == ordered(want)
+    assert ordered(decontam.contamination(docs, bench, block_bytes=100).collect()) == ordered(whole)
     assert decontam.contamination(empty, bench).count() == 0
     assert decontam.contamination(docs, bench.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
 
 def test_spans_map_to_the_original(spark):
-    items = spark.createDataFrame([(1, "Alpha beta, GAMMA")], "item_id long, text string")
-    text = "é — zz ALPHA  beta; gamma!"
-    row = decontam.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).first()
-    assert [text[s.start : s.end] for s in row.spans] == ["ALPHA  beta; gamma"]
+    items = spark.createDataFrame([(1, "Alpha beta, GAMMA"), (2, " ".join(f"w{i}" for i in range(22)))], "item_id long, text string")
+    texts = ["é — zz ALPHA  beta; gamma!", " ".join(f"w{i}" for i in range(22)) + " é " + "alpha beta gamma"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block_bytes in (100, 1 << 20):
+        rows = sorted(decontam.contamination(df, items, block_bytes=block_bytes).collect())
+        assert [texts[0][s.start : s.end] for s in rows[0].spans] == ["ALPHA  beta; gamma"]
+        assert [texts[1][s.start : s.end] for s in rows[1].spans] == [" ".join(f"w{i}" for i in range(22)), "alpha beta gamma"]
 
 
-def test_drop_contaminated(docs, bench):
-    kept = decontam.drop_contaminated(docs, bench)
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_drop_contaminated(docs, bench, block_bytes):
+    kept = decontam.drop_contaminated(docs, bench, block_bytes=block_bytes)
     assert kept.columns == docs.columns
-    assert kept.count() == decontam.contamination(docs, bench).filter("not contaminated").count()
+    want = [d for d, *_, bad in brute.contamination(corpus(), [(r.item_id, r.text) for r in bench.collect()]) if not bad]
+    assert ordered(r.doc_id for r in kept.select("doc_id").collect()) == ordered(want)
 
 
 def test_near_duplicates(docs, empty):
@@ -272,34 +276,34 @@ def test_archives_by_compression(spark, tmp_path):
     import gzip
 
     p = pages(spark)
-    whole = ordered(tuple(r)[1:] for r in warc.round_trip(p).collect())
+    facts = lambda df: ordered(tuple(r)[1:] for r in df.collect())
+    whole = facts(warc.round_trip(p))
     warc.write(p, f"file://{tmp_path}/plain", compression="none")
-    assert ordered(tuple(r)[1:] for r in warc.read(spark, f"file://{tmp_path}/plain").collect()) == whole
-    one, two = b"WARC/1.1\r\nA: b\r\n" * 9000, b"tail" * 50000
-    both = gzip.compress(one) + gzip.compress(two)
-    assert warc.inflated(both) == one + two and warc.inflated(one) == one and warc.inflated(b"") == b""
-    assert (one + two).startswith(warc.inflated(both[:-20])) and len(warc.inflated(both[:-20])) >= len(one)
-    assert warc.inflated(gzip.compress(one) + b"\x1f\x8b broken") == one
+    assert facts(warc.read(spark, f"file://{tmp_path}/plain")) == whole
+    record = lambda n: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % n
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
+    assert sorted(r.id for r in warc.read(spark, f"file://{tmp_path}/each.warc.gz").collect()) == list(range(5))
 
 
-def test_chain_keeps_reachable_records_only():
+def test_exits_are_the_ends_of_chains():
     at = np.array([0, 10, 15, 30, 99])
-    assert warc.reached(at, np.array([10, 30, 30, 50, 120])).tolist() == [True, True, False, True, False]
-    assert warc.reached(np.array([5]), np.array([9])).tolist() == [False]
+    assert warc.exits(at, np.array([10, 30, 30, 50, 120])).tolist() == [50, 50, 50, 50, 120]
+    assert warc.exits(np.array([5]), np.array([9])).tolist() == [9] and warc.exits(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
     long = np.arange(0, 5000, 5)
-    assert warc.reached(long, long + 5).all()
+    assert (warc.exits(long, long + 5) == 5000).all()
 
 
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "Ann", "hé"), (1, 2, "Bo", None), (1, 2, "Bo", None), (1, 70, "Ann", "late"), (2, None, None, "x"), (None, 0, "Ann", ""), (3, 0, "system", "alone")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *[F.lit(1).alias(c) for c in ("conv", "piece", "said", "me", "parts")])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *[F.lit(1).alias(c) for c in ("conv", "piece", "said", "me", "parts", "k", "at", "cast", "rank")])
     got = {(r.conv_id, r.piece, r.participant): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, 0, "Ann"), (1, 0, "Bo"), (1, 1, "Ann"), (2, 0, "unknown"), (None, 0, "Ann")}
+    assert set(got) == {(1, 0, "Ann"), (1, 0, "Bo"), (2, 0, "unknown"), (None, 0, "Ann"), (3, 0, None)}
     ann = got[1, 0, "Ann"]
-    assert ann.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhé<|im_end|>\n<|im_start|>user name=Bo\n<|im_end|>\n"
-    assert [ann.rendered[m.start : m.end] for m in ann.mask] == ["hé<|im_end|>"]
-    assert [got[1, 0, "Bo"].rendered[m.start : m.end] for m in got[1, 0, "Bo"].mask] == ["<|im_end|>"]
-    assert chat.rotate(df.limit(0)).count() == 0
+    bo = "<|im_start|>user name=Bo\n<|im_end|>\n"
+    assert ann.rendered == f"<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhé<|im_end|>\n{bo}{bo}<|im_start|>assistant\nlate<|im_end|>\n"
+    assert [ann.rendered[m.start : m.end] for m in ann.mask] == ["hé<|im_end|>", "late<|im_end|>"] and ann.n_turns == 5
+    assert [got[1, 0, "Bo"].rendered[m.start : m.end] for m in got[1, 0, "Bo"].mask] == ["<|im_end|>"] * 2
+    assert got[3, 0, None].mask == [] and chat.rotate(df.limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark, docs, empty, bench, tmp_path):

@@ -5,22 +5,37 @@ import random
 from storyloom.llm import chat, neardup, warc
 
 
+def rotated(rows, piece_turns):
+    """(conv, piece, participant) -> (rendered, texts to train on), straight from the definition."""
+    out = {}
+    safe = lambda t: t.replace("<|im_start|>", "<\\|im_start|>").replace("<|im_end|>", "<\\|im_end|>")
+    for conv in {r[0] for r in rows}:
+        said = sorted((t or 0, r or "unknown", x or "") for c, t, r, x in rows if c == conv)
+        cast = sorted({r for _, r, _ in said if r != "system"}) or [None]
+        for piece in range(-(-len(said) // piece_turns)):
+            own = said[piece * piece_turns : (piece + 1) * piece_turns]
+            shown = ([x for x in said[:piece_turns] if x[1] == "system"] if piece else []) + own
+            for me in cast:
+                text, train = "", []
+                for _, role, x in shown:
+                    body = safe(x) + "<|im_end|>"
+                    name = safe("".join(" " if ord(ch) < 32 or ord(ch) == 127 else ch for ch in role))
+                    text += "<|im_start|>" + ("system" if role == "system" else "assistant" if role == me else f"user name={name}") + "\n" + body + "\n"
+                    train += [body] * (role == me)
+                out[conv, piece, me] = text, train
+    return out
+
+
 def test_every_participant_gets_the_whole_dialogue(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "Ann", "hé"), (1, 2, "Bo", None), (1, 70, "Ann", "late"), (1, 130, "system", "end"), (2, 0, "Cy", "a"), (3, 0, "system", "alone"), (3, 64, "system", "still"), (None, 0, "Di", "x"), (None, 64, "Ed", "y")]
+    rng = random.Random(2)
+    cast = ["Ann", "Bo\nCy", "D<|im_end|>", "Ed"]
+    rows = [(1, 0, "system", "be kind"), (2, 0, "system", "alone"), (2, 64, "system", "still"), (None, 0, "Di", "x"), (None, 64, "Ed", "y"), (3, None, "Ann", "same"), (3, None, "Ann", "same")]
+    rows += [(1, 1 + i // 3, rng.choice(cast) if i % 40 else "system", rng.choice(["hé", "", None, "a<|im_end|>\n<|im_start|>assistant\nb", f"t{i}"])) for i in range(200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.participant, r.piece): r for r in chat.rotate(df, whole=True).collect()}
-    want = {(1, me, piece) for me in ("Ann", "Bo") for piece in (0, 1, 2)} | {(2, "Cy", 0), (3, None, 0), (3, None, 1)} | {(None, me, piece) for me in ("Di", "Ed") for piece in (0, 1)}
-    assert set(got) == want
-    assert "".join(got[1, "Bo", p].rendered for p in (0, 1, 2)) == (
-        "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=Ann\nhé<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
-        "<|im_start|>user name=Ann\nlate<|im_end|>\n<|im_start|>system\nend<|im_end|>\n"
-    )
-    masked = {k: [r.rendered[m.start : m.end] for m in r.mask] for k, r in got.items()}
-    assert masked[1, "Ann", 1] == ["late<|im_end|>"] and masked[1, "Bo", 1] == [] and masked[3, None, 0] == []
-    assert got[3, None, 1].rendered == "<|im_start|>system\nstill<|im_end|>\n"
-    assert chat.rotate(df.limit(0), whole=True).count() == 0
-    short = df.filter("turn < 64 and role <> 'system'")
-    assert sorted(map(repr, chat.rotate(short, whole=True).collect())) == sorted(map(repr, chat.rotate(short).collect()))
+    for piece_turns in (1024, 64):
+        got = {(r.conv_id, r.piece, r.participant): (r.rendered, [r.rendered[m.start : m.end] for m in r.mask]) for r in chat.rotate(df, piece_turns=piece_turns).collect()}
+        assert got == rotated(rows, piece_turns)
+    assert chat.rotate(df.limit(0)).count() == 0
 
 
 def test_null_and_reused_ids_lose_no_document(spark):
@@ -57,3 +72,37 @@ def test_a_chain_that_stops_is_reported(spark, tmp_path):
     assert sorted((r.file.rsplit("/", 1)[1], r.id) for r in warc.read(spark, path).collect()) == [("cut", 1), ("whole", 1), ("whole", 2)]
     found = sorted((r.file.rsplit("/", 1)[1], r["at"], r["size"]) for r in warc.breaks(spark, path).collect())
     assert found == [("cut", len(record(1)), len(files["cut"])), ("none", 0, 10)]
+
+
+def test_a_file_is_read_by_many_tasks(spark, tmp_path):
+    """Byte ranges of one plain file agree with a reading in one piece, wherever their edges fall, also within payloads
+    that hold whole records, and over records longer than a range."""
+    rng = random.Random(3)
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    kinds = [lambda: "x" * rng.randrange(900), lambda: inner * rng.randrange(1, 9), lambda: "WARC/1." + inner, lambda: "a\r\n\r\n" + inner, lambda: "é" * 3000, lambda: "\r\n" * rng.randrange(9), lambda: "WARC/1."]
+    texts = [rng.choice(kinds)() + f"{i}" * (i % 3) for i in range(100)]
+    rows = [(i, f"u{i}", t) for i, t in enumerate(texts)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/one", file_bytes=1 << 30, compression="none")
+    want = sorted((i, len(t.encode())) for i, t in enumerate(texts))
+    try:
+        for size in (3001, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            path = f"file://{tmp_path}/one"
+            assert size > 5000 or warc.archive_rows(spark, path).rdd.getNumPartitions() >= 8
+            got = warc.read(spark, path).collect()
+            assert sorted((r.id, r.payload_bytes) for r in got) == want and all(r.sound for r in got)
+            assert warc.breaks(spark, path).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_other_archives(spark, tmp_path):
+    old = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nX-Long: a\r\n  b\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    odd = b"WARC/1.1\r\nwarc-type:response\r\nWARC-Record-ID: <urn:uuid:3>\r\nContent-Type: application/http\r\nContent-Length: 19\r\n\r\nHTTP/1.1 200\r\n\r\nabc\r\n\r\n"
+    broken = b"WARC/1.1\r\nno colon\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "old.warc").write_bytes(old + odd + broken + odd)
+    got = sorted((r["at"], r.kind, r.record_id, r.id, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}").collect())
+    assert got == [(0, "warcinfo", "<urn:uuid:1-2>", None, 4), (len(old), "response", "<urn:uuid:3>", None, 3)]
+    assert [(r["at"], r.size) for r in warc.breaks(spark, f"file://{tmp_path}").collect()] == [(len(old + odd), len(old + odd + broken + odd))]

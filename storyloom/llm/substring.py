@@ -6,18 +6,21 @@ task gets one range of the runs of all groups and of the history, merges them in
 bit: does a smaller document, or the history, have this window? The bits go back to the groups, whose texts are marked.
 Only sorted, delta-coded and compressed runs are shuffled, and one copy of the texts.
 
-The index is a folder of immutable tables of such runs, one for each batch; ``compact`` merges them into one.
+The index is a folder of immutable tables of such runs and a manifest, to which every change appends the list of runs
+that are valid from then on; so any later session can open it, and a change that breaks off leaves the index as it was.
+Runs have levels: a batch adds one of level 0, and ``FAN`` runs of one level are merged into one of the next.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,12 @@ WINDOW = 13
 #: A fingerprint has 48 bits of one hash, by which runs are sorted, and 24 bits of another, by which matches are verified.
 KEY_BITS, CHECK_BITS = 48, 24
 
-#: Stands for all documents of the history, which come before those of any batch.
-HISTORY = np.iinfo(np.int64).min
+#: Group number of runs of the history, and the least one of groups of documents without an id. Documents of the history
+#: come before those of any batch, those without an id after all others and before none of each other.
+HISTORY, NAMELESS = -1, 1 << 40
+
+#: Runs of one level that are merged into one of the next.
+FAN = 2
 
 #: Windows for which one task is planned.
 TASK_WINDOWS = 1_000_000
@@ -78,9 +85,9 @@ class Run:
         return Run(np.cumsum(unpack(keys, size, KEY_BITS // 8), dtype=np.uint64), unpack(checks, size, CHECK_BITS // 8), names[unpack(docs, size, width).astype(np.int64)])
 
 
-def in_order(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, check, doc), and which entries of that order begin a new window."""
-    order = np.lexsort((docs, checks, keys)) if len(keys) else np.zeros(0, np.int64)
+def in_order(keys: np.ndarray, checks: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, check) and then ``by``, and which entries of that order begin a new window."""
+    order = np.lexsort((*by[::-1], checks, keys)) if len(keys) else np.zeros(0, np.int64)
     k, c = keys[order], checks[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
@@ -117,6 +124,11 @@ def column(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(got.chunks) if isinstance(got, pa.ChunkedArray) else got
 
 
+def doc_ids(table: pa.Table) -> np.ndarray:
+    """Ids of a group's documents; those of a group without ids are all equal."""
+    return pc.fill_null(column(table, "id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def cuts(run: Run, parts: int) -> np.ndarray:
     """Where each range of fingerprints begins in a run; one entry more than ranges."""
     edges = (np.arange(1, parts, dtype=object) * (1 << KEY_BITS)) // parts
@@ -127,8 +139,7 @@ def emit(parts: int):
     """One group's run, cut by range."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = column(table, "id").to_numpy(zero_copy_only=False).astype(np.int64)
-        return cut_run(table.column("grp")[0].as_py(), GroupWindows.of(ids, column(table, "t")).run, parts)
+        return cut_run(table.column("grp")[0].as_py(), GroupWindows.of(doc_ids(table), column(table, "t")).run, parts)
 
     return run
 
@@ -139,8 +150,8 @@ def emit_history(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in tokens.row_slices(batch.column(0), TASK_BYTES):
-                made = GroupWindows.of(np.full(len(texts), HISTORY), texts).run
-                yield from cut_run(-1, made, parts).combine_chunks().to_batches()
+                made = GroupWindows.of(np.zeros(len(texts), np.int64), texts).run
+                yield from cut_run(HISTORY, made, parts).combine_chunks().to_batches()
 
     return run
 
@@ -163,24 +174,27 @@ def runs_of(table: pa.Table) -> list[tuple[int, Run]]:
     return [(g, Run.of_row(*rest)) for g, _, *rest in zip(*cols, strict=True)]
 
 
-def gathered(runs: list[tuple[int, Run]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gathered(runs: list[tuple[int, Run]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, checks, documents and whether these are history (0), have an id (1) or none (2), of all runs in a row."""
     cat = lambda name, kind: np.concatenate([getattr(r, name) for _, r in runs]).astype(kind) if runs else np.zeros(0, kind)
-    return cat("keys", np.uint64), cat("checks", np.uint64), cat("docs", np.int64)
+    rank = [np.full(len(r.keys), 0 if g == HISTORY else 2 if g >= NAMELESS else 1, np.int8) for g, r in runs]
+    return cat("keys", np.uint64), cat("checks", np.uint64), cat("docs", np.int64), np.concatenate(rank) if rank else np.zeros(0, np.int8)
 
 
 def answer(table: pa.Table) -> pa.Table:
     """For one range: per group, a bit for each entry of its run in order, set if a smaller document has the window."""
     part = table.column("part")[0].as_py()
     runs = runs_of(table)
-    keys, checks, docs = gathered(runs)
-    order, new = in_order(keys, checks, docs)
-    lead = docs[order[new]][np.cumsum(new) - 1] if len(order) else docs
+    keys, checks, docs, rank = gathered(runs)
+    order, new = in_order(keys, checks, rank, docs)
     beaten = np.zeros(len(keys), bool)
-    beaten[order] = lead < docs[order]
+    if len(order):
+        lead = order[new][np.cumsum(new) - 1]
+        beaten[order] = (rank[lead] < rank[order]) | ((rank[lead] == rank[order]) & (docs[lead] < docs[order]))
     out, at = [], 0
     for group, r in runs:
         n = len(r.keys)
-        if group >= 0:
+        if group != HISTORY:
             out.append((group, part, n, zstandard.compress(np.packbits(beaten[at : at + n]).tobytes(), 1)))
         at += n
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -190,10 +204,10 @@ def answer(table: pa.Table) -> pa.Table:
 def merge(table: pa.Table) -> pa.Table:
     """For one range: one run of the distinct windows of all runs."""
     part = table.column("part")[0].as_py()
-    keys, checks, docs = gathered(runs_of(table))
-    order, new = in_order(keys, checks, docs)
+    keys, checks, docs, _ = gathered(runs_of(table))
+    order, new = in_order(keys, checks)
     lead = order[new]
-    row = (-1, part, *Run(keys[lead], checks[lead], docs[lead]).row())
+    row = (HISTORY, part, *Run(keys[lead], checks[lead], docs[lead]).row())
     return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, RUN_TYPES, strict=True)], names=RUN_NAMES)
 
 
@@ -203,8 +217,7 @@ def mark(texts: pa.Table, answers: pa.Table) -> pa.Table:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.string()]
     if not len(texts):
         return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-    ids_raw = column(texts, "id")
-    ids = ids_raw.to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = doc_ids(texts)
     group = GroupWindows.of(ids, column(texts, "t"))
     beaten = np.zeros(len(group.run.keys), bool)
     rows = sorted(zip(*[answers.column(n).to_pylist() for n in ("part", "size", "bits")], strict=True))
@@ -229,33 +242,46 @@ def mark(texts: pa.Table, answers: pa.Table) -> pa.Table:
         n_removed.append(int(cut.sum()))
         change = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0))
         spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(change[::2], change[1::2], strict=True)])
-    return pa.Table.from_arrays([ids_raw, pa.array(counts, pa.int64()), pa.array(n_removed, kinds[2]), pa.array(spans, kinds[3]), pa.array(texts_out, kinds[4])], names=names)
-
-
-def kept_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests)], ["id", "n_words", "n_removed", "kept_sha256"])
+    return pa.Table.from_arrays([column(texts, "id"), pa.array(counts, pa.int64()), pa.array(n_removed, kinds[2]), pa.array(spans, kinds[3]), pa.array(texts_out, kinds[4])], names=names)
 
 
 class FingerprintIndex:
-    """Windows of all documents added so far, as a folder of immutable sorted runs.
+    """Windows of all documents added so far, as a folder of immutable sorted runs and a manifest.
 
     ``parts`` is the number of fingerprint ranges; it stays the same for the life of an index and bounds what one task
-    merges: about (windows in the index + windows in a batch) / parts.
+    merges: about (windows in the index + windows in a batch) / parts. One writer at a time may change an index.
     """
 
-    def __init__(self, spark: SparkSession, parts: int, path: str | None = None):
-        self.spark, self.parts, self.runs = spark, parts, []
-        self.path = path or new_path(spark, "fingerprints")
+    def __init__(self, spark: SparkSession, path: str, parts: int, runs: list[tuple[str, int]], version: int):
+        self.spark, self.path, self.parts, self.runs, self.version = spark, path, parts, runs, version
 
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema(RUN).parquet(*self.runs) if self.runs else None
+    @classmethod
+    def create(cls, spark: SparkSession, parts: int, path: str | None = None) -> FingerprintIndex:
+        """An empty index in a folder of the shared ones, or in ``path``."""
+        index = cls(spark, path or new_path(spark, "fingerprints"), parts, [], -1)
+        index.commit([])
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that this or another session made at ``path``, as its last change left it."""
+        last = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        return cls(spark, path, last.parts, [(r["name"], r["level"]) for r in last.runs], last.version)
+
+    def commit(self, runs: list[tuple[str, int]]) -> None:
+        """Makes ``runs`` the valid ones."""
+        self.runs, self.version = runs, self.version + 1
+        self.spark.createDataFrame([(self.version, self.parts, runs)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def history(self, runs: list[tuple[str, int]] | None = None) -> DataFrame | None:
+        names = [name for name, _ in (self.runs if runs is None else runs)]
+        return self.spark.read.schema(RUN).parquet(*[f"{self.path}/{name}" for name in names]) if names else None
 
     def grouped(self, docs: DataFrame, groups: int) -> DataFrame:
-        """The batch with a group number per document, dealt by it; documents with a null id are their own last ones."""
-        group = F.pmod(F.xxhash64("id"), F.lit(groups))
-        return docs.select(F.coalesce("id", F.lit(np.iinfo(np.int64).max)).alias("id"), "t").withColumn("grp", group).repartition(groups, "grp")
+        """The batch with a group number per document, dealt by it. Texts of a reused id or of none are spread; documents
+        without an id have groups of their own."""
+        group = F.pmod(F.xxhash64("id", "t"), F.lit(groups))
+        return docs.select("id", "t").withColumn("grp", F.when(F.col("id").isNull(), group + NAMELESS).otherwise(group)).repartition(groups, "grp")
 
     def dedup(self, docs: DataFrame, groups: int) -> DataFrame:
         """(id, n_words, n_removed, removed, kept_text) of each (id, t) of the batch, judged against history and batch."""
@@ -270,19 +296,28 @@ class FingerprintIndex:
         return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(mark, out)
 
     def add(self, docs: DataFrame) -> None:
-        """Appends the windows of the batch's (id, t) as one more run; they are history for all later batches."""
-        self.write(docs.select("t").mapInArrow(emit_history(self.parts), RUN))
+        """Appends the windows of the batch's (id, t) as one more run, which is history for all later batches, and merges
+        runs of one level where there are FAN of them."""
+        self.commit([*self.runs, (self.written(docs.select("t").mapInArrow(emit_history(self.parts), RUN)), 0)])
+        level = 0
+        while len(same := [r for r in self.runs if r[1] == level]) >= FAN:
+            self.compact(same, level + 1)
+            level += 1
+
+    def compact(self, runs: list[tuple[str, int]] | None = None, level: int | None = None) -> None:
+        """Merges the given runs, or all, into one. The old ones are no longer valid, but stay for whoever reads them."""
+        old = self.runs if runs is None else runs
+        if len(old) > 1:
+            made = self.written(self.history(old)), 1 + max(r[1] for r in old) if level is None else level
+            self.commit([*[r for r in self.runs if r not in old], made])
+
+    def written(self, runs: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        runs.repartition(self.parts, "part").groupBy("part").applyInArrow(merge, RUN).write.parquet(f"{self.path}/{name}")
+        return name
 
-    def write(self, runs: DataFrame) -> None:
-        path = f"{self.path}/run-{len(self.runs)}-{hashlib.md5(str(self.runs).encode()).hexdigest()[:8]}"
-        runs.repartition(self.parts, "part").groupBy("part").applyInArrow(merge, RUN).write.parquet(path)
-        self.runs.append(path)
 
-    def compact(self) -> None:
-        """Merges all runs into one; the old runs are no longer part of the index."""
-        if len(self.runs) > 1:
-            old, self.runs = self.history(), [f"{self.path}/compacted-{len(self.runs)}"]
-            old.repartition(self.parts, "part").groupBy("part").applyInArrow(merge, RUN).write.parquet(self.runs[0])
+MANIFEST = "version long, parts long, runs array<struct<name:string,level:long>>"
 
 
 def plan_tasks(n_windows: int) -> int:
@@ -291,23 +326,23 @@ def plan_tasks(n_windows: int) -> int:
     return max(1, math.ceil(n_windows / max(TASK_WINDOWS, math.sqrt(n_windows * 512))))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, first_share: float = 0.2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, ...] = (0.05, 0.1)) -> DataFrame:
     """One row per row of ``docs``: the id, n_words, n_removed, removed word ranges and kept_text.
 
     A word is removed when a 13-word window that covers it also starts in a document with a smaller id. Documents go
-    through a ``FingerprintIndex`` in ``batches`` batches of ascending ids: the first holds about ``first_share`` of
-    them, the others equal parts of the rest. Null texts have no words. A null id counts as larger than any other, and
-    documents with equal ids don't remove each other's words. Other columns are not read; an empty table gives an empty
-    result. kept_text is the kept words joined by one space.
+    through a ``FingerprintIndex`` in batches of ascending ids that end at about these ``shares`` of them: each batch is
+    judged against the index, then added to it, and its run is merged with those of its level. Null texts have no words.
+    A null id counts as larger than any other; documents with equal ids or none don't remove each other's words. Other
+    columns are not read; an empty table gives an empty result. kept_text is the kept words joined by one space.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     size, lo, hi = slim.agg(F.sum(F.octet_length("t")), F.min("id"), F.max("id")).first()
-    windows = max(1, int(size or 0) // 6)
-    index = FingerprintIndex(spark, plan_tasks(windows))
-    shares = [first_share + (1 - first_share) * k / max(1, batches - 1) for k in range(batches - 1)] if batches > 1 else []
-    edges = slim.stat.approxQuantile("id", shares, 0.01) if shares and lo is not None else []
+    groups = plan_tasks(max(1, int(size or 0) // 6))
+    index = FingerprintIndex.create(spark, groups)
+    edges = slim.stat.approxQuantile("id", list(shares), 0.01) if shares and lo is not None else []
     bounds, out = [None, *sorted({int(e) for e in edges if lo <= e < hi}), None], None
+    ends = [0.0, *shares, 1.0] if len(bounds) == len(shares) + 2 else [0.0] + [1.0] * (len(bounds) - 1)
     for k, (above, upto) in enumerate(zip(bounds, bounds[1:], strict=False)):
         keep = F.lit(True)
         if above is not None:
@@ -315,10 +350,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if upto is not None:
             keep = keep & (F.col("id") <= upto)
         batch = slim.filter(keep)
-        groups = plan_tasks(windows)
-        done = index.dedup(batch, groups)
+        done = index.dedup(batch, max(1, math.ceil(groups * (ends[k + 1] - ends[k]))))
         if k < len(bounds) - 2:
             index.add(batch)
         out = done if out is None else out.unionByName(done)
-    top = F.lit(np.iinfo(np.int64).max)
-    return out.withColumn("id", F.when(F.col("id") != top, F.col("id"))).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm.shared import saved
+from storyloom.llm.shared import saved, spread_join
 
 BYTES_PER_TOKEN = 4
-BLOCKS = 1024
 
-#: Halvings of the range of exponents.
+#: Tokens of a block at least, and blocks of a source at most; a source's number of blocks is a power of two.
+BLOCK_TOKENS = 1 << 20
+MOST_BLOCKS = 4096
+
+#: Halvings of the range of exponents, and how many of them one pass over the sources makes.
 STEPS = 20
+PER_PASS = 4
 
 
 def token_count(text: Column) -> Column:
@@ -24,73 +30,101 @@ def digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
 
 
-def exponent(shares: Column, entropy: float, repetition: float, budget: Column, total: Column) -> Column:
-    """The exponent of the token shares, bisected in [0, 1] on a grid of 2^-STEPS.
+def exponent(shares: DataFrame, entropy: float, repetition: float, stretch: float) -> float:
+    """The exponent of the token shares ``p``, bisected in [0, 1] on a grid of 2^-STEPS.
 
     The largest whose weights have at least ``entropy`` times the entropy of equal weights; but no smaller than the
-    smallest at which no source with tokens is repeated more than ``repetition`` times. If even 1 repeats more, 1.
+    smallest at which no source is repeated more than ``repetition`` times, where ``stretch`` is the budget by the tokens
+    there are. If even 1 repeats more, 1. The sources stay where they are: a pass sums up what the next PER_PASS halvings
+    of both searches may ask for, and only these sums come to the driver.
     """
-    powered = lambda a: F.transform(shares, lambda p: F.pow(p, a))
-    plus = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    single = lambda value, body: F.transform(F.array(value), body)[0]
-    spread = lambda a: single(
-        powered(a), lambda w: single(plus(w), lambda z: F.log(z) - plus(F.transform(w, lambda v: v * F.log(v))) / z)
-    )
-    most = lambda a: single(
-        powered(a), lambda w: F.array_max(F.zip_with(w, shares, lambda v, p: v / p)) / plus(w) * budget / total
-    )
-    aim = F.log(F.size(shares).cast("double")) * entropy
-
-    def bisect(fits_low) -> Column:
-        """Largest grid point for which ``fits_low`` holds at it and below, 0 at least."""
-        halves = F.array(*[F.lit(1 << k) for k in range(STEPS - 1, -1, -1)])
-        return F.aggregate(halves, F.lit(0), lambda at, h: F.when(fits_low((at + h) / float(1 << STEPS)), at + h).otherwise(at))
-
-    spread_at = F.when(spread(F.lit(1.0)) >= aim, F.lit(1 << STEPS)).otherwise(bisect(lambda a: spread(a) >= aim))
-    repeat_at = F.when(most(F.lit(0.0)) <= repetition, F.lit(0)).otherwise(bisect(lambda a: most(a) > repetition) + 1)
-    return F.greatest(spread_at, repeat_at) / float(1 << STEPS)
+    scale = 1 << STEPS
+
+    def looked_up(places: set[int]) -> dict[int, tuple[float, float]]:
+        """Per grid point: entropy of its weights, and the most that a source is repeated."""
+        sums = []
+        for x in sorted(places):
+            w = F.pow("p", F.lit(x / scale))
+            sums += [F.sum(w).alias(f"z{x}"), F.sum(w * F.log(w)).alias(f"e{x}"), F.max(w / F.col("p")).alias(f"m{x}")]
+        row = shares.agg(*sums).first()
+        return {x: (math.log(row[f"z{x}"]) - row[f"e{x}"] / row[f"z{x}"], row[f"m{x}"] / row[f"z{x}"] * stretch) for x in places}
+
+    n = shares.count()
+    spread_fits = lambda v: v[0] >= math.log(n) * entropy
+    repeats = lambda v: v[1] > repetition
+    ends = looked_up({0, scale})
+    at = {spread_fits: 0, repeats: 0}
+    for done in range(0, STEPS, PER_PASS):
+        width = 1 << (STEPS - done - PER_PASS)
+        known = looked_up({start + k * width for start in at.values() for k in range(1, 1 << PER_PASS)})
+        for fits in at:
+            for step in range(done, done + PER_PASS):
+                ahead = at[fits] + (1 << (STEPS - 1 - step))
+                at[fits] = ahead if fits(known[ahead]) else at[fits]
+    by_spread = scale if spread_fits(ends[scale]) else at[spread_fits]
+    by_repeats = at[repeats] + 1 if repeats(ends[0]) else 0
+    return max(by_spread, by_repeats) / scale
 
 
 def weights(sources: DataFrame, entropy: float, repetition: float, budget: int | None, keep_all: bool = False) -> DataFrame:
-    """(source, available, target): tokens of each source and those that it gets; the tables have one row per source.
+    """(source, available, target): tokens of each source that has some, and those that it gets.
 
     With ``keep_all`` the budget grows until no source gets less than it has.
     """
     have = sources.filter("available > 0")
-    row = have.agg(F.array_sort(F.collect_list(F.struct("source", "available"))).alias("s"), F.sum("available").alias("total"))
-    row = row.withColumn("budget", F.coalesce(F.lit(budget).cast("long"), F.col("total"))).filter("total > 0")
-    shares = F.transform("s", lambda x: x["available"] / F.col("total"))
-    row = row.withColumn("shares", shares).withColumn("alpha", exponent(F.col("shares"), entropy, repetition, F.col("budget"), F.col("total")))
-    row = row.withColumn("w", F.transform("shares", lambda p: F.pow(p, F.col("alpha"))))
-    row = row.withColumn("z", F.aggregate("w", F.lit(0.0), lambda a, v: a + v))
+    total = int(have.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0])
+    if not total:
+        return have.withColumn("target", F.lit(0).cast("long"))
+    budget = total if budget is None else budget
+    shares = have.withColumn("p", F.col("available") / F.lit(total))
+    alpha = exponent(shares, entropy, repetition, budget / total)
+    shares = shares.withColumn("w", F.pow("p", F.lit(alpha)))
+    z, least = shares.agg(F.sum("w"), F.max(F.col("available") / F.col("w"))).first()
     if keep_all:
-        least = F.array_max(F.zip_with("w", "s", lambda w, s: s["available"] * F.col("z") / w))
-        row = row.withColumn("budget", F.greatest("budget", F.ceil(least * (1 + 1e-9))).cast("long"))
-    each = row.select("budget", "z", F.explode(F.arrays_zip("s", "w")).alias("x"))
-    return each.select("x.s.source", "x.s.available", F.floor(F.col("x.w") / F.col("z") * F.col("budget") + 0.5).cast("long").alias("target"))
+        budget = max(budget, math.ceil(least * z * (1 + 1e-9)))
+    return shares.select("source", "available", F.floor(F.col("w") / z * budget + 0.5).cast("long").alias("target"))
+
+
+def cut(available: Column, block_tokens: int) -> Column:
+    """Blocks of a source: the least power of two of which each has ``block_tokens`` or fewer on average."""
+    want = F.greatest(F.ceil(available / block_tokens), F.lit(1).cast("long"))
+    bits = F.when(want > 1, F.length(F.bin(want - 1))).otherwise(0)
+    return F.least(F.call_function("shiftleft", F.lit(1).cast("long"), bits), F.lit(MOST_BLOCKS).cast("long"))
+
+
+def turn_of(seed: int) -> Column:
+    """Place of a block, by its source's columns and ``number``, in the last pass over the source."""
+    return digest(F.lit(seed), F.col("source"), F.col("epochs"), F.col("number") % F.col("n_blocks"))
 
 
-def block_plan(slim: DataFrame, seed: int, entropy: float, repetition: float, budget: int | None, keep_all: bool) -> DataFrame:
-    """(source, block, epochs, last, upto): copies of every document of a block, and of its documents in the last epoch.
+def source_plan(slim: DataFrame, seed: int, entropy: float, repetition: float, budget: int | None, keep_all: bool, block_tokens: int) -> tuple[DataFrame, int]:
+    """(source, docs, n_blocks, epochs, whole, split, upto), and the number of documents: a document comes ``epochs``
+    times, and once more in the last pass if its block's turn is at most ``whole``, or is ``split``, in which the budget
+    ends, and the document's digest is at most ``upto``.
 
-    ``last`` is 1 if all, 0 if none, and null in the one block of a source in which the budget ends: there those whose
-    digest is at most ``upto``. Only that block's documents are sorted.
+    ``slim`` has source, number, tokens and key, and numbers documents below MOST_BLOCKS; a block is what has the same
+    remainder by the source's number of blocks. Only the documents of the blocks in which budgets end are sorted.
     """
-    stats = saved(slim.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
-    target = weights(stats.groupBy("source").agg(F.sum("tokens").alias("available")), entropy, repetition, budget, keep_all)
-    plan = stats.join(target, "source", "left").withColumn("epochs", F.coalesce(F.expr("target div available"), F.lit(0)))
-    plan = plan.withColumn("rest", F.coalesce(F.expr("target % available"), F.lit(0)))
-    turn = Window.partitionBy("source").orderBy(digest(F.lit(seed), F.col("source"), F.col("epochs"), F.col("block")))
-    plan = plan.withColumn("upto_tokens", F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
-    plan = plan.withColumn("last", F.when(F.col("upto_tokens") <= F.col("rest"), 1).when(F.col("upto_tokens") - F.col("tokens") >= F.col("rest"), 0))
-    plan = saved(plan.withColumn("room", F.col("rest") - F.col("upto_tokens") + F.col("tokens")).select("source", "block", "epochs", "last", "room"), "plan")
-    split = slim.join(plan.filter("last is null").select("source", "block", "room"), ["source", "block"])
-    peers = Window.partitionBy("source", "block").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    upto = split.withColumn("sum", F.sum("tokens").over(peers)).filter("sum <= room").groupBy("source", "block").agg(F.max("key").alias("upto"))
-    return saved(plan.join(upto, ["source", "block"], "left").select("source", "block", "epochs", "last", "upto"), "plan")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = 0.95, repetition: float = 4.0, budget: int | None = None, seed: int = 7, blocks: int = BLOCKS, keep_all: bool = False, whole_rows: bool = False) -> DataFrame:
+    fine = saved(slim.groupBy("source", "number").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "blocks")
+    sources = saved(fine.groupBy("source").agg(F.sum("tokens").alias("available"), F.sum("docs").alias("docs")), "sources")
+    target = weights(sources, entropy, repetition, budget, keep_all).select("source", "target")
+    plan = sources.join(target, "source", "left").select(
+        "source", "docs", cut(F.col("available"), block_tokens).alias("n_blocks"), F.coalesce(F.expr("target div available"), F.lit(0)).alias("epochs"),
+        F.coalesce(F.expr("target % available"), F.lit(0)).alias("rest"),
+    )
+    turns = fine.select("source", "number", "tokens").join(plan, "source").withColumn("turn", turn_of(seed)).groupBy("source", "rest", "turn").agg(F.sum("tokens").alias("tokens"))
+    turns = turns.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") < F.col("rest")), F.struct("turn", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room")))
+    cuts = turns.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("turn"))).alias("whole"), F.max(ends).alias("end"))
+    plan = saved(plan.drop("rest").join(cuts, "source").select("source", "docs", "n_blocks", "epochs", "whole", F.col("end.turn").alias("split"), F.col("end.room").alias("room")), "plan")
+    total = plan.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    inside = spread_join(slim, plan.filter("split is not null"), ["source"], "docs", total).filter(turn_of(seed) == F.col("split"))
+    upto = inside.withColumn("sum", F.sum("tokens").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
+    upto = upto.filter("sum <= room").groupBy("source").agg(F.max("key").alias("upto"))
+    return saved(plan.drop("room").join(upto, "source", "left"), "plan"), total
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = 0.95, repetition: float = 4.0, budget: int | None = None, seed: int = 7, block_tokens: int = BLOCK_TOKENS, keep_all: bool = False, whole_rows: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, source, tokens and copies (0 or more) in the mixture.
 
     Source weights are token shares raised to an exponent (see ``exponent``), normalised; ``budget`` tokens (all of the
@@ -103,10 +137,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     carry = [F.struct("*").alias("row")] if whole_rows else []
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(source_col).alias("said"), token_count(F.col(text_col)).alias("tokens"), *carry)
     rows = rows.withColumn("key", digest(F.lit(seed), F.col("id")))
-    rows = rows.withColumn("block", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % blocks)
-    plan = block_plan(rows.select("source", "block", "tokens", "key"), seed, entropy, repetition, budget, keep_all)
-    last = F.coalesce(F.col("last"), F.when(F.col("key") <= F.col("upto"), 1).otherwise(0))
-    out = rows.join(plan, ["source", "block"]).withColumn("copies", (F.col("epochs") + last).cast("long"))
+    rows = rows.withColumn("number", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % MOST_BLOCKS)
+    slim = saved(rows.select("source", "number", "tokens", "key"), "sizes")
+    plan, total = source_plan(slim, seed, entropy, repetition, budget, keep_all, block_tokens)
+    out = spread_join(rows, plan, ["source"], "docs", total)
+    again = (turn_of(seed) <= F.col("whole")) | ((turn_of(seed) == F.col("split")) & (F.col("key") <= F.col("upto")))
+    out = out.withColumn("copies", (F.col("epochs") + F.when(again, 1).otherwise(0)).cast("long"))
     return out.select(F.col("id").alias(id_col), F.col("said").alias(source_col), "tokens", "copies", *(["row"] if whole_rows else []))
 
 

@@ -193,8 +193,11 @@ def op6(entropy: float = 0.95, repetition: float = 4.0, keep_all: bool = False)
 WITH RECURSIVE d AS (
   SELECT doc_id, source AS said, coalesce(source, '') AS source, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens,
     md5('7:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
-b AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % 1024 AS block FROM d),
-src AS (SELECT source, sum(tokens)::BIGINT AS available FROM b GROUP BY source HAVING sum(tokens) > 0),
+sizes AS (SELECT source, sum(tokens)::BIGINT AS available FROM d GROUP BY source),
+b AS (
+  SELECT d.*, ('0x' || substr(key, 1, 8))::BIGINT % 4096 % least(4096, pow(2, ceil(log2(greatest(1, ceil(available / 1048576)))))::BIGINT) AS block
+  FROM d JOIN sizes USING (source)),
+src AS (SELECT * FROM sizes WHERE available > 0),
 share AS (SELECT source, available, available / sum(available) OVER () AS p, (sum(available) OVER ())::BIGINT AS total, count(*) OVER () AS k FROM src),
 grid AS (SELECT 0 AS step, 0 AS e, 0 AS r
   UNION ALL

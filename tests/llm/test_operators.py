@@ -134,24 +134,37 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and {got[100], got[101], got[103]} == {100}
 
 
-@pytest.mark.parametrize("batches", [1, 2, 3])
-def test_substrings(docs, empty, batches):
-    got = substring.remove_repeats(docs, batches=batches)
+@pytest.mark.parametrize("shares", [(), (0.05, 0.1), (0.2, 0.4, 0.6, 0.8)])
+def test_substrings(docs, empty, shares):
+    got = substring.remove_repeats(docs, shares=shares)
     rows = ordered((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect())
     assert rows == ordered(brute.substrings(corpus()))
-    assert substring.remove_repeats(empty).count() == 0
+    assert substring.remove_repeats(empty, shares=shares).count() == 0
 
 
-def test_index_compacts_without_change(spark, docs):
+def test_ids_at_the_ends_of_their_range(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(-(2**63), text), (2**63 - 1, text), (2**63 - 1, text + " x"), (None, text), (None, "y " + text), (0, None)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == ordered(brute.substrings(rows))
+
+
+def test_index_is_reopened_and_compacts_without_change(spark, docs):
     slim = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter("id is not null")
-    index = substring.FingerprintIndex(spark, 3)
-    index.add(slim.filter("id < 8"))
-    index.add(slim.filter("id between 8 and 30"))
+    made = substring.FingerprintIndex.create(spark, 3)
+    made.add(slim.filter("id < 8"))
+    assert [r[1] for r in made.runs] == [0]
+    index = substring.FingerprintIndex.open(spark, made.path)
+    index.add(slim.filter("id between 8 and 20"))
+    assert [r[1] for r in index.runs] == [1]
+    index.add(slim.filter("id between 21 and 30"))
+    assert sorted(r[1] for r in index.runs) == [0, 1]
     last = slim.filter("id > 30 or id = 11")
     before = ordered(tuple(r) for r in index.dedup(last, 2).collect())
     index.compact()
-    assert len(index.runs) == 1
-    assert ordered(tuple(r) for r in index.dedup(last, 2).collect()) == before
+    again = substring.FingerprintIndex.open(spark.newSession(), made.path)
+    assert len(again.runs) == 1 and again.runs == index.runs
+    assert ordered(tuple(r) for r in again.dedup(last, 2).collect()) == before
 
 
 def test_run_round_trip():
@@ -202,13 +215,13 @@ def test_mixing(docs, empty):
 def test_mixing_weights(spark):
     rows = [(i, "x" * 400, "big" if i < 900 else f"s{i % 5}") for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    used = mixing.mixed(df, repetition=3.0, blocks=16).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("u"), F.max("copies").alias("c")).collect()
+    used = mixing.mixed(df, repetition=3.0, block_tokens=4000).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("u"), F.max("copies").alias("c")).collect()
     total = sum(r.u for r in used)
     shares = [r.u / total for r in used]
     assert max(r.c for r in used) <= 3 and len(used) == 6
     assert abs(total - 1000 * 100) <= 6 * 100
     assert max(shares) < 0.9
-    flat = mixing.mixed(df, repetition=100.0, entropy=1.0, blocks=16).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("u")).collect()
+    flat = mixing.mixed(df, repetition=100.0, entropy=1.0, block_tokens=4000).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("u")).collect()
     assert max(r.u for r in flat) - min(r.u for r in flat) <= 200
 
 

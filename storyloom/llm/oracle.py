@@ -116,7 +116,7 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= {percent} * (x.n + y.n - n_both)),
 edges AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
 reach(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
 comp AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
@@ -226,12 +226,17 @@ FROM docs
 """
 
 
-def pipeline(entropy: float) -> str:
+def op5(percent: int = 85) -> str:
+    """Groups of documents linked at this similarity."""
+    return OP5.replace("{percent}", str(percent))
+
+
+def pipeline(entropy: float, percent: int) -> str:
     """The stages of the corpus pipeline, each over the rows that the one before keeps."""
     over = lambda sql, name: sql.replace("FROM documents", f"FROM {name}")
     return f"""
 WITH good AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({OP3}) WHERE kept)),
-single AS MATERIALIZED (SELECT * FROM good WHERE doc_id IN (SELECT doc_id FROM ({over(OP5, "good")}) WHERE kept)),
+single AS MATERIALIZED (SELECT * FROM good WHERE doc_id IN (SELECT doc_id FROM ({over(op5(percent), "good")}) WHERE kept)),
 clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM ({over(OP4, "single")}) WHERE contaminated)),
 blend AS MATERIALIZED (
   SELECT c.* FROM clean c JOIN ({over(op6(entropy, keep_all=True), "clean")}) m USING (doc_id), LATERAL (SELECT unnest(range(0, m.copies))) u)
@@ -246,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_hilbert_sharding": OP2,
         "op3_quality_rules": OP3,
         "op4_decontamination": OP4,
-        "op5_near_duplicates": OP5,
+        "op5_near_duplicates": op5(),
         "op6_temperature_mixing": op6(),
         "op7_substring_dedup": OP7,
         "op8_warc_round_trip": OP8,

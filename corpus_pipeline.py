@@ -15,6 +15,9 @@ from storyloom.llm.shared import saved
 #: Share of the entropy of equal source weights that the mixture has at least.
 ENTROPY = 0.9
 
+#: Similarity of near-duplicates, in percent of the union of their shingles.
+PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base checks and every rule."""
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group."""
-    return neardup.keep_first(docs)
+    return neardup.keep_first(docs, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row, with its text and metadata."""
+    """Shard and slot of every row, with the other columns of documents; columns of any other name end here."""
     placed = hilbert.hilbert_shards(docs, whole_rows=True)
     return placed.select(*[c for c in placed.columns if c != "row"], "row.text", "row.lang", "row.source", "row.n_chars")
 
@@ -50,7 +53,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-ORACLE_SQL = oracle.pipeline(ENTROPY)
+ORACLE_SQL = oracle.pipeline(ENTROPY, PERCENT)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

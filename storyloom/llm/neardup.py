@@ -200,21 +200,21 @@ def rare_meetings(open_: DataFrame, percent: int) -> DataFrame:
     that one class has alone first. By the prefix principle of set joins, two linked sets share one of the first
     n - ceil(percent n / 100) + 1 shingles of each, and from the first shared one on, both have as many left as they must
     share. So what all pages of a template have in common makes no pair unless the pages are linked. Only shingles of
-    several components make pairs, and members of the largest of these are not paired with each other.
+    several components make pairs, and members of the largest of these are not paired with each other. Both sides of
+    the joins by shingle are plain tables, so that Spark can split a shingle that very many classes have.
     """
     rows = open_.select("id", F.explode("items").alias("token"))
-    total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = saved(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shingles")
-    ranked = spread_join(rows, often, ["token"], "df", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ranked = rows.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     ranked = ranked.join(open_.select("id", "n", "s1", "s2", "component"), "id").withColumn("alone", F.col("n") - F.size("shared"))
     first = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone")
     ranked = ranked.withColumn("prefix", F.slice("shared", 1, F.greatest(first, F.lit(0)).cast("int")))
     spots = ranked.select(F.struct("id", "n", "s1", "s2", "component").alias("q"), "alone", F.posexplode("prefix").alias("at", "x"))
     spots = saved(spots.select(F.col("x.token").alias("token"), "q", (F.col("q.n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
     sizes = spots.groupBy("token", F.col("q.component").alias("component")).agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k"), F.sum("c").alias("uses"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k"))
     mixed = saved(mixed.filter("k > 1").drop("k"), "mixed")
-    spots = saved(spread_join(spots, mixed, ["token"], "uses", spots.count()), "mixed_prefixes")
+    spots = saved(spots.join(mixed, "token"), "mixed_prefixes")
     outside = spots.filter(F.col("q.component") != F.col("largest")).select("token", F.col("q").alias("p"), F.col("left").alias("p_left"))
     p, q = F.col("p"), F.col("q")
     found = outside.join(spots, "token").filter(

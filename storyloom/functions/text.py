@@ -130,3 +130,31 @@ def unfenced(c: Column) -> Column:
     """Contents of the first closed code fence, stripped; a text without one stays."""
     body = r"(?s)```(?:json)?\s*(.*?)```"
     return F.when(c.rlike(body), strip(F.regexp_extract(c, body, 1))).otherwise(c)
+
+
+def json_string(c: Column) -> Column:
+    """A text as a JSON string, non-ASCII as it is; null for null."""
+    whole = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
+def entry_json(speaker: Column, text: Column, instruct: Column) -> Column:
+    """An entry as one line of JSON with blanks after colons and commas."""
+    return F.concat(F.lit('{"speaker": '), json_string(speaker), F.lit(', "text": '), json_string(text), F.lit(', "instruct": '), json_string(instruct), F.lit("}"))
+
+
+def pretty_entries(entries: Column) -> Column:
+    """An array of entries as JSON, indented by two."""
+    one = lambda e: F.concat(
+        F.lit('  {\n    "speaker": '), json_string(e["speaker"]), F.lit(',\n    "text": '), json_string(e["text"]), F.lit(',\n    "instruct": '), json_string(e["instruct"]), F.lit("\n  }")
+    )
+    body = F.concat(F.lit("[\n"), F.array_join(F.transform(entries, one), ",\n"), F.lit("\n]"))
+    return F.when(F.size(entries) > 0, body).otherwise(F.lit("[]"))
+
+
+def stem_of(name: Column, *endings: str) -> Column:
+    """A file name without the first of these endings that it has, or else without its last one."""
+    out = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    for end in reversed(endings):
+        out = F.when(F.endswith(name, F.lit(end)), F.substring(name, F.lit(1), F.length(name) - len(end))).otherwise(out)
+    return out

@@ -7,8 +7,9 @@ its book as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from storyloom.functions.text import strip, text_of
 
@@ -20,28 +21,21 @@ def as_chunks(groups: DataFrame) -> DataFrame:
     return groups.select("book_id", "id", "speaker", "text", "instruct", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("audio_path"))
 
 
-def with_edit(chunks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Chunks beside their book's edit (null without one) and the book's number of chunks ``n``."""
-    sizes = chunks.groupBy("book_id").agg(F.count("*").alias("n"))
-    return chunks.join(sizes, "book_id").join(edits, "book_id", "left")
-
-
-def moved(table: DataFrame, up: Column) -> DataFrame:
-    return table.withColumn("id", (F.col("id") + F.when(up, 1).otherwise(0)).cast("long"))
+COLUMNS = ("book_id", "id", "speaker", "text", "instruct", "status", "audio_path")
 
 
-COLUMNS = ("book_id", "id", "speaker", "text", "instruct", "status", "audio_path")
+def with_edit(chunks: DataFrame, edits: DataFrame) -> DataFrame:
+    """Chunks beside their book's edit (null without one) and the book's number of chunks ``n``; one shuffle by book."""
+    return chunks.withColumn("n", F.count("*").over(Window.partitionBy("book_id"))).join(edits, "book_id", "left")
 
 
 def insert_after(chunks: DataFrame, edits: DataFrame) -> DataFrame:
     """A blank pending chunk after place ``at``, with the speaker of that place."""
-    t = with_edit(chunks, edits)
-    hit = F.col("at").between(F.lit(0), F.col("n") - 1)
-    old = moved(t, F.coalesce(hit & (F.col("id") > F.col("at")), F.lit(False))).select(*COLUMNS)
-    new = t.filter(hit & (F.col("id") == F.col("at"))).select(
-        "book_id", (F.col("id") + 1).alias("id"), "speaker", F.lit("").alias("text"), F.lit("").alias("instruct"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("audio_path")
-    )
-    return old.unionByName(new)
+    hit = F.coalesce(F.col("at").between(F.lit(0), F.col("n") - 1), F.lit(False))
+    blank = F.struct((F.col("id") + 1).alias("id"), "speaker", F.lit("").alias("text"), F.lit("").alias("instruct"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("audio_path"))
+    own = F.struct((F.col("id") + (hit & (F.col("id") > F.col("at"))).cast("int")).alias("id"), *COLUMNS[2:])
+    rows = F.when(hit & (F.col("id") == F.col("at")), F.array(own, blank)).otherwise(F.array(own))
+    return with_edit(chunks, edits).select("book_id", F.inline(rows)).select(*COLUMNS)
 
 
 def delete_at(chunks: DataFrame, edits: DataFrame) -> DataFrame:
@@ -52,10 +46,13 @@ def delete_at(chunks: DataFrame, edits: DataFrame) -> DataFrame:
 
 def restore_at(chunks: DataFrame, removed: DataFrame) -> DataFrame:
     """With the chunk of ``removed`` (columns of a chunk and ``at``) at place ``at``, which is held within the list."""
-    t = with_edit(chunks, removed.select("book_id", "at")).withColumn("at", F.greatest(F.lit(0), F.least("at", "n")))
-    sizes = chunks.groupBy("book_id").agg(F.count("*").alias("n"))
-    back = removed.join(sizes, "book_id", "left").withColumn("id", F.greatest(F.lit(0), F.least("at", F.coalesce("n", F.lit(0)))).cast("long"))
-    return moved(t, F.coalesce(F.col("id") >= F.col("at"), F.lit(False))).select(*COLUMNS).unionByName(back.select(*COLUMNS))
+    back = removed.withColumn("id", F.lit(None).cast("long")).select(*COLUMNS, F.col("at").cast("long").alias("at"))
+    t = chunks.select(*COLUMNS, F.lit(None).cast("long").alias("at")).unionByName(back)
+    book = Window.partitionBy("book_id")
+    place = F.greatest(F.lit(0), F.least(F.max("at").over(book), F.count("id").over(book)))
+    t = t.withColumn("place", F.when(F.max("at").over(book).isNotNull(), place))
+    moved = F.col("id") + F.coalesce((F.col("id") >= F.col("place")).cast("int"), F.lit(0))
+    return t.withColumn("id", F.coalesce(moved, F.col("place")).cast("long")).select(*COLUMNS)
 
 
 def update_fields(chunks: DataFrame, updates: DataFrame) -> DataFrame:
@@ -78,3 +75,27 @@ def latest_status(chunks: DataFrame, log: DataFrame) -> DataFrame:
 def renderable(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """Requested chunks (book_id, req_pos, id) that exist and have text, in the order of the request."""
     return requests.join(chunks, ["book_id", "id"]).filter(strip(text_of(F.col("text"))) != "")
+
+
+SAVED = "array<struct<id:long,speaker:string,text:string,instruct:string,status:string,audio_path:string>>"
+
+
+def loaded(books: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Chunks of ``books`` (book_id, saved: JSON array text): the saved ones where they can be read, else those made
+    ``fresh`` from the book's script; a book without either has none. Saved chunks keep their ids."""
+    read = books.select("book_id", F.from_json("saved", SAVED).alias("cs"))
+    whole = F.coalesce(F.size("cs") > 0, F.lit(False)) & ~F.exists(F.coalesce("cs", F.array().cast(SAVED)), lambda c: c["id"].isNull())
+    read = read.withColumn("whole", whole)
+    kept = read.filter("whole").select("book_id", F.inline("cs")).select(*COLUMNS)
+    return kept.unionByName(fresh.join(read.filter("whole").select("book_id"), "book_id", "left_anti").select(*COLUMNS))
+
+
+def with_audio(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks whose audio is named and there, by a table of ``path``s."""
+    there = files.select(F.col("path").alias("audio_path")).distinct()
+    return chunks.filter(F.coalesce("audio_path", F.lit("")) != "").join(there, "audio_path", "left_semi").select(*chunks.columns)
+
+
+def reset(chunks: DataFrame, books: DataFrame) -> DataFrame:
+    """Without the chunks of ``books``, so that these are made anew from their scripts."""
+    return chunks.join(books.select("book_id"), "book_id", "left_anti")

@@ -12,11 +12,18 @@ MAX_SECONDS = 30.0
 
 
 def requested_samples(requests: DataFrame) -> DataFrame:
-    """(name, idx, emotion, text) of requests with ``samples`` or else plain ``texts``; stripped, blanks left out."""
+    """(name, idx, emotion, text) of requests with ``samples`` or else plain ``texts``; stripped, blanks left out. ``idx``
+    is the place in the request's own list, blanks counted."""
     plain = F.transform("texts", lambda t: F.struct(F.lit("").alias("emotion"), t.alias("text")))
     given = F.when(F.size(F.coalesce("samples", F.array())) > 0, F.col("samples")).otherwise(plain)
-    rows = requests.select("name", F.explode(F.filter(F.transform(given, lambda s: F.struct(T.strip(T.text_of(s["emotion"])).alias("emotion"), T.strip(T.text_of(s["text"])).alias("text"))), lambda s: s["text"] != "")).alias("s"))
-    return rows.select("name", "s.emotion", "s.text")
+    clean = F.transform(given, lambda s: F.struct(T.strip(T.text_of(s["emotion"])).alias("emotion"), T.strip(T.text_of(s["text"])).alias("text")))
+    rows = requests.select("name", F.posexplode(clean).alias("idx", "s")).filter("s.text <> ''")
+    return rows.select("name", F.col("idx").cast("long").alias("idx"), "s.emotion", "s.text")
+
+
+def sample_description(root: Column, emotion: Column) -> Column:
+    """The voice's description with the sample's emotion after it, or alone."""
+    return T.joined_style(root, emotion, ", ")
 
 
 def merged_rows(new: DataFrame, old: DataFrame, key: str = "book_id") -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.operators import fold
+from storyloom.functions import text as T
+from storyloom.operators import chunks, fold, timeline, voices
+from storyloom.operators.models import Synthesiser, spoken_ms, synthesised
 
 MIN_SIZE, RATIO, MAX_CHARS = 4, 5.0, 3000
 NEW_TOKENS = 2048
@@ -28,22 +30,11 @@ def sub_batches(chunks: DataFrame, *by: str, min_size: int = MIN_SIZE, ratio: fl
     arrays = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     sizes = F.transform("items", lambda x: x["n"])
 
-    def begins(total: Column, first: Column, i: Column, x: Column) -> Column:
-        count = i - first["at"]
+    def begins(total: Column, first: Column, count: Column, x: Column) -> Column:
         full = (count >= max_items) if max_items else F.lit(False)
-        return full | (total + x > max_chars) | ((count >= min_size) & (x > F.greatest(first["n"], F.lit(1)) * ratio))
+        return full | (total + x > max_chars) | ((count >= min_size) & (x > F.greatest(first, F.lit(1)) * ratio))
 
-    state = lambda total, first, at, starts, i: F.struct(total.cast("int").alias("total"), first.cast("int").alias("n"), at.cast("int").alias("at"), starts.alias("starts"), i.cast("int").alias("i"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["i"] == 0) | begins(a["total"], a, a["i"], x)
-        return state(
-            F.when(new, x).otherwise(a["total"] + x), F.when(new, x).otherwise(a["n"]), F.when(new, a["i"]).otherwise(a["at"]),
-            F.when(new, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]), a["i"] + 1,
-        )
-
-    zero = state(F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<int>"), F.lit(0))
-    starts = F.aggregate(sizes, zero, step, lambda a: a["starts"]) if enabled else F.array(F.lit(0))
+    starts = fold.group_starts(sizes, begins, lambda total, x: total + x, lambda x: x) if enabled else F.array(F.lit(0))
     cut = arrays.select(*by, "items", starts.alias("starts"))
     parts = cut.select(*by, F.posexplode(fold.groups(F.col("items"), F.col("starts"))).alias("sub_no", "g"))
     return parts.select(*by, "sub_no", F.posexplode("g").alias("idx", "x")).select(*by, "sub_no", "idx", "x.id", F.col("x.n").alias("n_chars"))
@@ -79,3 +70,36 @@ def batch_results(results: DataFrame, *by: str) -> DataFrame:
     done = F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("id"))))
     bad = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("id", "error"))))
     return results.groupBy(*by).agg(done.alias("completed"), bad.alias("failed"))
+
+
+def render_plan(table: DataFrame, requests: DataFrame, config: DataFrame, batch_size: int, by_voice: bool = False, **limits) -> DataFrame:
+    """Sub-batches of the requested chunks that have text: book_id, batch, sub_no, idx, id, speaker, text, route, voice and
+    adapter. Batches are ``batch_size`` requests in their order, or in that of their voices; see ``sub_batches``."""
+    asked = voices.with_config(chunks.renderable(table, requests), config)
+    kind = F.col("voice.type")
+    asked = asked.withColumn("route", voices.batch_route(kind)).withColumn("key", voices.group_key(kind, F.col("speaker"), F.col("voice.adapter_id")))
+    placed = voices.grouped_order(asked) if by_voice else asked.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("req_pos")) - 1)
+    placed = placed.withColumn("batch", F.expr(f"place div {batch_size}")).withColumn("item", F.col("place"))
+    plan = sub_batches(placed.select("book_id", "batch", F.col("item").alias("id"), "text"), "book_id", "batch", **limits).withColumnRenamed("id", "item")
+    return plan.join(placed.select("book_id", "item", "id", "speaker", "text", "route", F.col("voice.voice").alias("voice"), F.col("voice.adapter_id").alias("adapter")), ["book_id", "item"])
+
+
+def rendered(plan: DataFrame, model: Synthesiser = spoken_ms) -> DataFrame:
+    """(book_id, batch, item, id, ok, error, dur_ms, audio_path) of every planned item: rows of an adapter voice without an
+    adapter fail before the model is called, audio without duration fails after it."""
+    bad = (F.col("route") == "lora") & (T.text_of(F.col("adapter")) == "")
+    sent = plan.filter(~bad).select("book_id", F.col("item").alias("id"), "text", "voice")
+    made = synthesised(sent, model).withColumnRenamed("id", "item")
+    t = plan.join(made, ["book_id", "item"], "left")
+    error = F.when(bad, "No adapter").when(F.col("ok") & (F.coalesce("dur_ms", F.lit(0)) == 0), "Audio has 0 duration").otherwise(F.col("error"))
+    t = t.withColumn("error", error).withColumn("ok", F.coalesce("ok", F.lit(False)) & F.col("error").isNull())
+    named = timeline.file_names(t, "dur_ms")
+    return named.select("book_id", "batch", "item", "id", "ok", "error", "dur_ms", F.when(F.col("ok"), F.concat(F.lit("voicelines/"), "file_name")).alias("audio_path"))
+
+
+def render_status(table: DataFrame, results: DataFrame) -> DataFrame:
+    """The chunk table after rendering: done with its audio, or error with the audio it had; others are as before."""
+    log = results.select("book_id", "id", F.col("item").alias("seq"), F.when(F.col("ok"), "done").otherwise("error").alias("status"), "audio_path")
+    last = log.groupBy("book_id", "id").agg(F.max_by(F.struct("status", "audio_path"), "seq").alias("s"))
+    t = table.join(last, ["book_id", "id"], "left")
+    return t.select("book_id", "id", *chunks.FIELDS, F.coalesce("s.status", "status").alias("status"), F.coalesce("s.audio_path", "audio_path").alias("audio_path"))

@@ -76,7 +76,7 @@ def prompt_chunks(books: DataFrame, cap: int = MAX_PROMPT, text: str = "text") -
     units = F.flatten(F.transform(T.paragraphs(F.col(text)), lambda p: F.when(F.length(p) > cap, split(p)).otherwise(F.array(unit(p, F.lit("para"))))))
     joint = lambda x: F.when(x["k"] == "next", 1).otherwise(2)
     starts = fold.group_starts(
-        F.col("units"), lambda total, first, i, x: (x["k"] == "first") | (total + joint(x) + x["n"] > cap),
+        F.col("units"), lambda total, first, n, x: (x["k"] == "first") | (total + joint(x) + x["n"] > cap),
         lambda total, x: total + joint(x) + x["n"], lambda x: x["n"],
     )
     body = lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(F.when(i == 0, F.lit("")).when(x["k"] == "next", F.lit(" ")).otherwise(F.lit("\n\n")), x["t"])), "")
@@ -91,19 +91,18 @@ def position_label(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("label", label)
 
 
-def rosters(entries: DataFrame, part: str) -> DataFrame:
+def rosters(entries: DataFrame, part: str, parts: DataFrame | None = None) -> DataFrame:
     """Per book and part: the sorted speakers other than the narrator in all earlier parts, joined by ', '.
 
-    A speaker is on the roster of every part after the first in which it speaks, so only first parts are kept per
-    speaker, and a window gathers each book's few speakers.
+    Each speaker counts in the part where it first speaks, so a running window over one row per part gathers a book's
+    speakers once. ``parts`` lists the parts (book_id, ``part``), also such without entries; by default those of the entries.
     """
     said = entries.select("book_id", part, T.text_of(F.col("speaker")).alias("speaker"))
-    first = said.filter((F.col("speaker") != "") & (F.col("speaker") != T.NARRATOR)).groupBy("book_id", "speaker").agg((F.min(part) + 1).alias(part))
-    new = first.groupBy("book_id", part).agg(F.collect_set("speaker").alias("new"))
-    parts = said.select("book_id", part).distinct().join(new.withColumnRenamed(part, "p0"), "book_id", "left").filter(F.col("p0").isNull() | (F.col("p0") <= F.col(part)))
-    rest = said.select("book_id", part).distinct()
-    got = parts.groupBy("book_id", part).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("new")))), ", ").alias("roster"))
-    return rest.join(got, ["book_id", part], "left").withColumn("roster", T.text_of(F.col("roster")))
+    first = said.filter((F.col("speaker") != "") & (F.col("speaker") != T.NARRATOR)).groupBy("book_id", "speaker").agg(F.min(part).alias(part))
+    new = first.groupBy("book_id", part).agg(F.collect_list("speaker").alias("new"))
+    all_parts = (said if parts is None else parts).select("book_id", part).distinct()
+    before = Window.partitionBy("book_id").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return all_parts.join(new, ["book_id", part], "left").select("book_id", part, F.array_join(F.array_sort(F.flatten(F.collect_list("new").over(before))), ", ").alias("roster"))
 
 
 def batches(entries: DataFrame, size: int = 25) -> DataFrame:
@@ -143,6 +142,17 @@ def review_stats(original: DataFrame, corrected: DataFrame) -> DataFrame:
     return stats.withColumn("passed", F.col("ratio") >= LOSS_LIMIT)
 
 
+def narrator_merges(merged: DataFrame) -> DataFrame:
+    """(book_id, merges): entries that ``merged_narration`` joined to the one before them."""
+    return merged.groupBy("book_id").agg(F.sum(F.col("n_entries") - 1).alias("merges"))
+
+
+def total_changes(totals: DataFrame, merges: DataFrame) -> DataFrame:
+    """``review_totals`` with narrator merges and the sum of all that was changed."""
+    t = totals.join(merges, "book_id", "left").withColumn("merges", F.coalesce("merges", F.lit(0)))
+    return t.withColumn("total", F.col("changes") + F.col("added") + F.col("removed") + F.col("merges"))
+
+
 def review_totals(stats: DataFrame) -> DataFrame:
     """Sums over the batches that passed: changes, entries added and removed; and how many failed."""
     ok, diff = F.col("passed"), F.col("n_corrected") - F.col("n_original")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import text as T
+from storyloom.operators.ranks import ranked
 
 PLAIN_VOICE = "A clear, natural speaking voice"
 TYPES = ("custom", "clone", "lora", "builtin_lora", "design")
@@ -77,7 +78,16 @@ def adapters(builtin: DataFrame, own: DataFrame, present: DataFrame) -> DataFram
     """Built-in adapters whose files are present, then the user's own, with ``builtin`` and their order ``rank``."""
     there = builtin.join(present, "id", "left_semi").withColumn("builtin", F.lit(True))
     both = there.unionByName(own.withColumn("builtin", F.lit(False)), allowMissingColumns=True)
-    return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("builtin"), "id")).cast("long"))
+    return ranked(both, F.desc("builtin"), "id").withColumn("rank", F.col("rank") + 1).drop("total")
+
+
+def deleted(builtin: DataFrame, own: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(own adapters without the ``ids``, what became of every id): a built-in one is ``forbidden``, an unknown one
+    ``missing``, others are ``deleted``."""
+    asked = ids.select("id").distinct()
+    fate = asked.join(builtin.select("id", F.lit(True).alias("b")).distinct(), "id", "left").join(own.select("id", F.lit(True).alias("o")).distinct(), "id", "left")
+    fate = fate.select("id", F.when(F.col("b"), "forbidden").when(F.col("o"), "deleted").otherwise("missing").alias("fate"))
+    return without(own, fate.filter("fate = 'deleted'")), fate
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

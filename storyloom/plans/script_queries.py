@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from storyloom.functions import jsonfix
 from storyloom.functions import text as T
 from storyloom.operators import chunks, dataset, render, script, timeline, voices
 from storyloom.operators.models import answered
-from storyloom.plans import script_sql, tables
+from storyloom.operators.ranks import ranked
+from storyloom.plans import project_queries, project_sql, script_sql, tables
 from storyloom.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def speakers_sorted(spark, sf):
     e = tables.table(spark, sf, "conversations")
-    return script.speakers(e, "role").withColumn("rank", F.row_number().over(Window.orderBy("speaker")).cast("long"))
+    return ranked(script.speakers(e, "role"), "speaker").select("speaker", (F.col("rank") + 1).alias("rank"))
 
 
 def voices_with_config(spark, sf):
@@ -201,74 +201,63 @@ def stem_collisions(spark, sf):
     return voices.name_collisions(c.select(F.concat_ws(" ", "c_mktsegment", F.substring("c_name", -2, 1)).alias("speaker")).unionByName(c.select(F.concat_ws("!", F.lower("c_mktsegment"), F.substring("c_name", -2, 1)).alias("speaker"))))
 
 
-def listed(spark, sf):
-    e = tables.entries(spark, sf).withColumn("id", F.col("pos"))
-    return chunks.as_chunks(e).withColumn("status", F.when(F.col("id") % 2 == 0, "done").otherwise("pending")).withColumn("audio_path", F.when(F.col("id") % 2 == 0, F.concat_ws("/", F.lit("a"), "id")))
-
-
 def edits(spark, sf):
     return tables.table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), (F.col("doc_id") % 5 - 1).alias("at"))
 
 
 def chunk_insert(spark, sf):
-    return chunks.insert_after(listed(spark, sf), edits(spark, sf))
+    return chunks.insert_after(tables.listed(spark, sf), edits(spark, sf))
 
 
 def chunk_delete(spark, sf):
-    return chunks.delete_at(listed(spark, sf), edits(spark, sf))
+    return chunks.delete_at(tables.listed(spark, sf), edits(spark, sf))
 
 
 def chunk_restore(spark, sf):
     back = edits(spark, sf).select("book_id", (F.col("at") * 3).alias("at"), F.lit("Bob").alias("speaker"), F.lit("back").alias("text"), F.lit("").alias("instruct"), F.lit("done").alias("status"), F.lit("x.mp3").alias("audio_path"))
-    return chunks.restore_at(listed(spark, sf), back)
+    return chunks.restore_at(tables.listed(spark, sf), back)
 
 
 def chunk_update(spark, sf):
     new = F.when(F.col("at") == 1, F.create_map(F.lit("text"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("speaker"), F.lit("Zed")))
-    return chunks.update_fields(listed(spark, sf), edits(spark, sf).select("book_id", F.col("at").cast("long").alias("id"), new.alias("fields")))
+    return chunks.update_fields(tables.listed(spark, sf), edits(spark, sf).select("book_id", F.col("at").cast("long").alias("id"), new.alias("fields")))
 
 
 def chunk_status(spark, sf):
     log = tables.table(spark, sf, "events").select((F.col("user_id") % 200).alias("book_id"), F.expr("event_id % 5").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("audio_path"))
-    return chunks.latest_status(listed(spark, sf), log)
+    return chunks.latest_status(tables.listed(spark, sf), log)
 
 
 def renderable_requests(spark, sf):
     want = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.posexplode(F.array(*[F.lit(i).cast("long") for i in (4, 0, 99999, 2, 0)])).alias("req_pos", "id"))
-    return chunks.renderable(listed(spark, sf), want).select("book_id", F.col("req_pos").cast("long").alias("req_pos"), "id", "text")
+    return chunks.renderable(tables.listed(spark, sf), want).select("book_id", F.col("req_pos").cast("long").alias("req_pos"), "id", "text")
 
 
 def builder_merge(spark, sf):
     e = tables.entries(spark, sf)
-    old = e.filter("pos < 6").select("book_id", "pos", F.when(F.col("pos") == 2, "other").otherwise(F.concat(F.lit(" "), "text")).alias("text"), F.lit("done").alias("status"), F.concat_ws("/", F.lit("u"), "pos").alias("audio_url"))
+    old = e.filter("pos < 6 OR book_id % 3 = 1").select("book_id", "pos", F.when(F.col("pos") == 2, "other").otherwise(F.concat(F.lit(" "), "text")).alias("text"), F.lit("done").alias("status"), F.concat_ws("/", F.lit("u"), "pos").alias("audio_url"))
     return dataset.merged_rows(e.select("book_id", "pos", "text"), old)
 
 
-def samples(spark, sf):
-    d, lab = tables.table(spark, sf, "documents"), tables.table(spark, sf, "labels")
-    s = d.join(lab, "doc_id", "left").select(F.col("source").alias("name"), F.col("doc_id").alias("idx"), "text", (F.col("n_chars") / 15.0).alias("duration"), F.when(F.col("quality") == 1, "done").otherwise("pending").alias("status"))
-    return s
-
-
 def dataset_filter(spark, sf):
-    return dataset.usable(samples(spark, sf)).select("name", "idx", "duration")
+    return dataset.usable(tables.samples(spark, sf)).select("name", "idx", "duration")
 
 
 def dataset_skips(spark, sf):
-    return dataset.skipped(samples(spark, sf), "name")
+    return dataset.skipped(tables.samples(spark, sf), "name")
 
 
 def dataset_summary(spark, sf):
-    return dataset.project_summary(samples(spark, sf))
+    return dataset.project_summary(tables.samples(spark, sf))
 
 
 def reference_samples(spark, sf):
-    return dataset.reference_sample(samples(spark, sf), 20)
+    return dataset.reference_sample(tables.samples(spark, sf), 20)
 
 
 def json_repair(spark, sf):
     r = tables.responses(spark, sf).withColumn("got", jsonfix.entries_of(F.col("response")))
-    return r.select("conv_id", "turn", F.size("got.entries").cast("long").alias("n"), F.coalesce(F.get("got.entries", F.lit(0))["text"], F.lit("")).alias("first_text"))
+    return r.select("conv_id", "turn", "got.how", F.size("got.entries").cast("long").alias("n"), F.coalesce(F.get("got.entries", F.lit(0))["text"], F.lit("")).alias("first_text"))
 
 
 def annotated_turns(spark, sf):
@@ -315,8 +304,8 @@ ALL = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, *project_queries.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return script_sql.oracle_sql()
+    return script_sql.oracle_sql() | project_sql.oracle_sql()

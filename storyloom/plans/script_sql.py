@@ -211,13 +211,13 @@ CASE WHEN id = at_ THEN 'pending' ELSE status END AS status, audio_path FROM lis
 SELECT l.book_id, l.id, speaker, text, instruct, coalesce(s.st, l.status) AS status, CASE WHEN s.st IS NOT NULL THEN s.ap ELSE l.audio_path END AS audio_path FROM listed l LEFT JOIN s ON s.book_id = l.book_id AND s.id = l.id""",
         "renderable_requests": f"""WITH {LISTED}, want(req_pos, id) AS (VALUES (0, 4), (1, 0), (2, 99999), (3, 2), (4, 0))
 SELECT book_id, req_pos::BIGINT AS req_pos, l.id, text FROM listed l JOIN want w ON l.id = w.id WHERE {strip("text")} <> ''""",
-        "builder_merge": f"""WITH {ENTRIES} SELECT book_id, pos, text, CASE WHEN pos < 6 AND ((pos <> 2) OR {strip("text")} = 'other') THEN 'done' ELSE 'pending' END AS status,
-CASE WHEN pos < 6 AND ((pos <> 2) OR {strip("text")} = 'other') THEN 'u/' || pos END AS audio_url FROM entries""",
+        "builder_merge": f"""WITH {ENTRIES} SELECT book_id, pos, text, CASE WHEN (pos < 6 OR book_id % 3 = 1) AND ((pos <> 2) OR {strip("text")} = 'other') THEN 'done' ELSE 'pending' END AS status,
+CASE WHEN (pos < 6 OR book_id % 3 = 1) AND ((pos <> 2) OR {strip("text")} = 'other') THEN 'u/' || pos END AS audio_url FROM entries""",
         "dataset_filter": f"WITH {SAMPLES} SELECT name, idx, duration FROM samples WHERE duration <= 30",
         "dataset_skips": f"WITH {SAMPLES} SELECT name, count(*) FILTER (duration <= 30) AS used, count(*) FILTER (NOT coalesce(duration <= 30, false)) AS skipped FROM samples GROUP BY 1",
         "dataset_summary": f"WITH {SAMPLES} SELECT name, count(*) AS sample_count, count(*) FILTER (status = 'done') AS done_count FROM samples GROUP BY 1",
         "reference_samples": f"WITH {SAMPLES} SELECT name, idx, text FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY (idx <> 20), idx) AS rn FROM samples WHERE status = 'done') WHERE rn = 1",
-        "json_repair": f"SELECT conv_id, turn, ({RESPONSE_COUNT})::BIGINT AS n, CASE WHEN (conv_id + turn) % 6 = 5 THEN '' ELSE text END AS first_text FROM conversations",
+        "json_repair": f"SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 2 THEN 'commas' WHEN 3 THEN 'trailing' WHEN 5 THEN 'none' ELSE 'as_is' END AS how, ({RESPONSE_COUNT})::BIGINT AS n, CASE WHEN (conv_id + turn) % 6 = 5 THEN '' ELSE text END AS first_text FROM conversations",
         "annotated_turns": f"""WITH r AS (SELECT conv_id AS book_id, turn // 3 AS chunk_no, turn % 3 AS attempt, ({RESPONSE_COUNT})::BIGINT AS n FROM conversations)
 SELECT book_id, chunk_no, min(attempt) FILTER (n > 0) AS attempt, arg_min(n, attempt) FILTER (n > 0) AS n FROM r GROUP BY 1, 2""",
         "log_tail": "SELECT task, seq, line FROM (SELECT event_type AS task, event_id AS seq, props AS line, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 100",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators import chunks
+
 CONFIG = "speaker string, type string, voice string, character_style string, default_style string, seed string, adapter_id string, description string"
 VOICES = [
     ("NARRATOR", "custom", "deep", "measured", "plain", "7", None, None),
@@ -63,3 +65,17 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("I cannot do that."))
     )
     return t.select("conv_id", "turn", made.alias("response"))
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk lists of all books, every other chunk done."""
+    t = chunks.as_chunks(entries(spark, sf_dir).withColumn("id", F.col("pos")))
+    done = F.col("id") % 2 == 0
+    return t.withColumn("status", F.when(done, "done").otherwise("pending")).withColumn("audio_path", F.when(done, F.concat_ws("/", F.lit("a"), "id")))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the samples of datasets, one for each source; good ones are done."""
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    status = F.when(F.col("quality") == 1, "done").otherwise("pending")
+    return d.join(lab, "doc_id", "left").select(F.col("source").alias("name"), F.col("doc_id").alias("idx"), "text", (F.col("n_chars") / 15.0).alias("duration"), status.alias("status"))

@@ -176,7 +176,7 @@ def test_seeds_and_descriptions(spark):
 
 def test_samples_merge_and_losses(spark):
     req = spark.createDataFrame([("n", [("e", " a "), ("e", " ")], None), ("m", None, ["x", ""])], "name string, samples array<struct<emotion:string,text:string>>, texts array<string>")
-    assert sorted(tuple(r) for r in dataset.requested_samples(req).collect()) == [("m", "", "x"), ("n", "e", "a")]
+    assert sorted(tuple(r) for r in dataset.requested_samples(req).collect()) == [("m", 0, "", "x"), ("n", 0, "e", "a")]
     steps = spark.createDataFrame([(0, 3.0), (0, None), (1, 2.0), (2, 2.5), (3, 2.0)], "epoch long, loss double")
     got = dataset.epoch_losses(steps.withColumn("run", F.lit(1)), "run").orderBy("epoch").collect()
     assert [(r.avg_loss, r.is_best, r.best_loss) for r in got] == [(3.0, True, 3.0), (2.0, True, 2.0), (2.5, False, 2.0), (2.0, False, 2.0)]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from storyloom.llm.shared import saved
+from storyloom.operators.ranks import ranked
 
 #: Bits of every dimension.
 BITS = 5
@@ -74,22 +73,6 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``rank`` (from 0, in the order of the columns) and ``total``; no task sees all rows.
-
-    Rows are dealt by ranges of the order and written with their place in the range; a table of one count per range
-    gives the places of the ranges.
-    """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    placed = saved(placed, "ranked")
-    mask = F.lit((1 << 33) - 1)
-    placed = placed.withColumn("range", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND(mask))
-    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
-    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()[0]
-    return placed.join(before, "range").withColumn("rank", F.col("before") + F.col("place")).withColumn("total", F.lit(total).cast("long")).drop("range", "place", "before")
-
-
 def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source"), whole_rows: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, size, text_crc32, law, shard, slot, grown_shard and hilbert.
 
@@ -125,5 +108,6 @@ def shard_ranges(sharded: DataFrame, *dims: str) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in curve order, so that the files' column ranges are narrow."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard with rows in curve order, so that the files' column ranges are narrow. A shard is cut into
+    ranges of slots, a file for each, which are written by tasks of their own."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

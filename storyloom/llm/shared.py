@@ -1,52 +1,13 @@
-"""Tables and folders that all executors share."""
+"""What the operators of this subpackage share: tables in the shared folder, and a join that hot keys do not slow down."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where none is set, as in tests, a session that runs in one process gets
-    a temporary one; on a cluster that is an error, as executors would write to disks of their own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="shared-"))
-    return _own[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def remove_written(spark: SparkSession) -> int:
-    """Deletes all tables that this process wrote to the shared folder so far, and gives their number. To be called once
-    the results that read them are stored."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later reads don't depend on executors that held parts of it."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from storyloom.sources.scratch import new_path, remove_written, saved, shared_dir
 
+__all__ = ["new_path", "remove_written", "saved", "shared_dir", "spread_join"]
 
 #: A key is hot if more than one in so many rows has it; so there are fewer hot keys than this.
 HOT_SHARE = 1000

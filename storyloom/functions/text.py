@@ -66,8 +66,7 @@ def normalised(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    n = normalised(c)
-    return F.when(n == "", 0).otherwise(F.size(F.split(n, " "))).cast("long")
+    return F.size(F.filter(F.split(normalised(c), " "), lambda w: w != "")).cast("long")
 
 
 def without_mojibake(c: Column) -> Column:
@@ -152,6 +151,11 @@ def pretty_entries(entries: Column) -> Column:
     return F.when(F.size(entries) > 0, body).otherwise(F.lit("[]"))
 
 
+def stamped(name: Column, seconds: Column) -> Column:
+    """An id made of a name and a time, which the caller gives, so that a job that is run again makes the same ids."""
+    return F.concat(project_name(name), F.lit("_"), seconds.cast("long").cast("string"))
+
+
 def stem_of(name: Column, *endings: str) -> Column:
     """A file name without the first of these endings that it has, or else without its last one."""
     out = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")

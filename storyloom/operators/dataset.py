@@ -57,8 +57,23 @@ def reference_sample(samples: DataFrame, wanted: int, key: str = "name") -> Data
 
 def reference_audio(entries: DataFrame, key: str = "name") -> DataFrame:
     """Per dataset: the first entry's own reference, else ref.wav if it is there, else the first audio."""
-    first = entries.groupBy(key).agg(F.min_by(F.struct("ref_audio", "audio"), "pos").alias("s"), F.max(F.when(F.col("audio") == "ref.wav", "audio")).alias("ref"))
-    return first.select(key, F.coalesce(T.non_empty(F.col("s.ref_audio")), "ref", "s.audio").alias("ref_audio"))
+    first = entries.groupBy(key).agg(F.min_by(F.struct("ref_audio", "audio"), "pos").alias("s"), F.max(F.when(F.col("audio") == "ref.wav", F.col("audio"))).alias("ref"))
+    return first.select(key, F.coalesce(T.non_empty(F.col("s.ref_audio")), "ref", "s.audio").alias("reference"))
+
+
+def prepared(metadata: DataFrame, key: str = "name", limit: float = MAX_SECONDS) -> DataFrame:
+    """Usable samples (``key``, pos, audio, text, duration) beside their dataset's reference audio, which is chosen among
+    all of its samples."""
+    return usable(metadata, limit).join(reference_audio(metadata, key), key).select(key, "pos", "audio", "text", "duration", F.col("reference").alias("ref_audio"))
+
+
+def ingested(lines: DataFrame) -> DataFrame:
+    """(dataset, accepted, n_samples) of unpacked datasets, given every line of their files (dataset, path, line): accepted
+    if a metadata.jsonl with non-blank lines lies at the root or one folder below; the one at the root counts, else the
+    first by path."""
+    meta = lines.filter(F.col("path").rlike(r"^([^/]+/)?metadata\.jsonl$") & (T.strip(T.text_of(F.col("line"))) != ""))
+    files = meta.groupBy("dataset", "path").agg(F.count("*").alias("n")).groupBy("dataset").agg(F.min_by("n", F.struct(F.size(F.split("path", "/")).alias("d"), "path")).alias("n"))
+    return lines.select("dataset").distinct().join(files, "dataset", "left").select("dataset", F.col("n").isNotNull().alias("accepted"), F.coalesce("n", F.lit(0)).alias("n_samples"))
 
 
 def padded(samples: Column, size: Column, blank: Column) -> Column:

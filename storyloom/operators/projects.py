@@ -28,6 +28,12 @@ def load_script(store: DataFrame, configs: DataFrame, names: DataFrame, current:
     return entries, own.unionByName(current.join(with_own.select("book_id"), "book_id", "left_anti").select("book_id", "speaker", "type"))
 
 
+def delete_named(rows: DataFrame, names: DataFrame, key: str = "script_name") -> DataFrame:
+    """Without the scripts (or, by another key, projects) of these names; to be applied to the store and to what lies
+    beside it, such as voice configurations."""
+    return rows.join(names.select(key), key, "left_anti")
+
+
 def script_list(store: DataFrame, configs: DataFrame) -> DataFrame:
     """(script_name, n_entries, has_voice_config) of all saved scripts."""
     has = configs.select("script_name", F.lit(True).alias("c")).distinct()

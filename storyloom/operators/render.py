@@ -15,9 +15,9 @@ NEW_TOKENS = 2048
 UNLIMITED = 9999
 
 
-def item_limit(estimate: int | None, manual: int) -> int | None:
-    """The stricter of the memory estimate and the manual limit; a manual 0 is none."""
-    return min(estimate, manual) if estimate and manual else manual or estimate or None
+def item_limit(estimate: Column, manual: Column) -> Column:
+    """The stricter of the memory estimate and the manual limit; 0 and null are none, and null is no limit at all."""
+    return F.least(F.nullif(estimate, F.lit(0)), F.nullif(manual, F.lit(0)))
 
 
 def sub_batches(chunks: DataFrame, *by: str, min_size: int = MIN_SIZE, ratio: float = RATIO, max_chars: int = MAX_CHARS, max_items: int | None = None, enabled: bool = True) -> DataFrame:

@@ -154,7 +154,7 @@ def scripts_of(spark, sf):
 
 def one_file_each(spark, rows, label):
     path = new_path(spark, label)
-    rows.select("content").write.option("maxRecordsPerFile", 1).text(path)
+    files.write_single(rows, path)
     return path
 
 
@@ -213,7 +213,39 @@ def requested_samples(spark, sf):
 def reference_audio(spark, sf):
     d = tables.table(spark, sf, "documents")
     audio = F.when(F.col("doc_id") % 50 == 7, F.lit("ref.wav")).otherwise(F.format_string("s%d.wav", "doc_id"))
-    return dataset.reference_audio(d.select(F.col("lang").alias("name"), F.col("doc_id").alias("pos"), audio.alias("audio"), F.when(F.col("doc_id") % 2 == 1, F.lit("own.wav")).alias("ref_audio")))
+    return dataset.reference_audio(d.select(F.col("lang").alias("name"), F.col("doc_id").alias("pos"), audio.alias("audio"), F.when((F.col("doc_id") % 2 == 1) & F.col("lang").isin("en", "de"), F.lit("own.wav")).alias("ref_audio"))).withColumnRenamed("reference", "ref_audio")
+
+
+def dataset_prepared(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    audio = F.when(F.col("doc_id") % 50 == 7, F.lit("ref.wav")).otherwise(F.format_string("s%d.wav", "doc_id"))
+    rows = d.select(F.col("source").alias("name"), F.col("doc_id").alias("pos"), audio.alias("audio"), "text", (F.col("n_chars") / 15.0).alias("duration"), F.lit("").alias("ref_audio"))
+    return dataset.prepared(rows).select("name", "pos", "audio", "duration", "ref_audio")
+
+
+def dataset_ingest(spark, sf):
+    c, kind = tables.table(spark, sf, "conversations"), F.col("conv_id") % 4
+    path = F.when(kind == 0, "metadata.jsonl").when(kind == 1, "top/metadata.jsonl").when(kind == 2, "top/deep/metadata.jsonl").otherwise("notes.txt")
+    return dataset.ingested(c.select(F.col("conv_id").alias("dataset"), path.alias("path"), F.when(F.col("turn") % 3 == 1, " ").otherwise(F.col("text")).alias("line")))
+
+
+def pretty_scripts(spark, sf):
+    return files.pretty_script_array(scripts_of(spark, sf))
+
+
+def stamped_ids(spark, sf):
+    return tables.table(spark, sf, "events").select("event_id", T.stamped(F.concat(F.lit("My "), "event_type"), F.col("event_id") + 1700000000).alias("id"))
+
+
+def script_delete(spark, sf):
+    store, configs = stored(spark, sf)
+    gone = tables.table(spark, sf, "documents").filter("doc_id % 9 = 0").select(F.concat(F.lit("book_"), F.col("doc_id").cast("string")).alias("script_name"))
+    return projects.script_list(projects.delete_named(store, gone), projects.delete_named(configs, gone))
+
+
+def builder_delete(spark, sf):
+    gone = tables.table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(T.project_name(F.col("n_name")).alias("name"))
+    return projects.delete_named(builder_names(spark, sf)[0], gone, "name")
 
 
 def point_lookup(spark, sf):
@@ -230,7 +262,7 @@ def scalar_rules(spark, sf):
         T.stem_of(F.concat("p_name", F.lit(".voice_config.json")), ".voice_config.json").alias("stem"), T.stem_of(F.concat(F.lit("v1.2."), "p_brand", F.lit(".wav"))).alias("last_stem"),
         F.round(dataset.combined_loss(size, size / 4), 6).alias("loss"), F.round(render.real_time_factor(size, size % 7), 6).alias("speed"),
         F.array_join(dataset.padded(blank, F.lit(3), F.lit("-")), ",").alias("padded"), dataset.sample_description(F.lit("calm"), F.when(key % 3 > 0, F.col("p_type"))).alias("description"),
-        T.entry_json(F.concat(F.lit('"é\\'), "p_name"), F.lit("a\nb\tc"), F.lit(None)).alias("entry"),
+        render.item_limit(F.col("p_size") % 9, F.col("p_size") % 4).cast("long").alias("most_items"), T.entry_json(F.concat(F.lit('"é\\'), "p_name"), F.lit("a\nb\tc"), F.lit(None)).alias("entry"),
     )
 
 
@@ -252,4 +284,5 @@ ALL = (
     generation_prompts, review_prompts, render_status, render_results, speech_durations, script_store, script_load, builder_create, builder_meta, dataset_save,
     dataset_metadata, export_files, config_defaults, optional_fields, chunks_loaded, chunks_with_audio, chunks_reset, adapter_delete, total_changes, script_files,
     book_files, jsonl_files, jsonl_count, log_appended, script_listing, prompt_files, requested_samples, reference_audio, point_lookup, scalar_rules, json_salvage,
+    dataset_prepared, dataset_ingest, pretty_scripts, stamped_ids, script_delete, builder_delete,
 )

@@ -93,10 +93,19 @@ SELECT book_id, changes, added, removed, failed, coalesce(merges, 0) AS merges,
         "requested_samples": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations)
 SELECT conv_id::VARCHAR AS name, idx, CASE WHEN conv_id % 2 = 0 THEN trim(role) ELSE '' END AS emotion, trim(text) AS text FROM c WHERE turn % 5 <> 4 AND trim(text) <> ''""",
         "reference_audio": """WITH f AS (SELECT lang AS name, min(doc_id) AS d, count(*) FILTER (doc_id % 50 = 7) AS r FROM documents GROUP BY 1)
-SELECT name, CASE WHEN d % 2 = 1 THEN 'own.wav' WHEN r > 0 THEN 'ref.wav' ELSE 's' || d || '.wav' END AS ref_audio FROM f""",
+SELECT name, CASE WHEN d % 2 = 1 AND name IN ('en', 'de') THEN 'own.wav' WHEN r > 0 THEN 'ref.wav' ELSE 's' || d || '.wav' END AS ref_audio FROM f""",
+        "dataset_prepared": """WITH r AS (SELECT source AS name, CASE WHEN count(*) FILTER (doc_id % 50 = 7) > 0 THEN 'ref.wav' ELSE 's' || min(doc_id) || '.wav' END AS ref_audio FROM documents GROUP BY 1)
+SELECT source AS name, doc_id AS pos, CASE WHEN doc_id % 50 = 7 THEN 'ref.wav' ELSE 's' || doc_id || '.wav' END AS audio, n_chars / 15.0 AS duration, ref_audio
+FROM documents JOIN r ON r.name = source WHERE n_chars / 15.0 <= 30""",
+        "dataset_ingest": "SELECT conv_id AS dataset, conv_id % 4 < 2 AND count(*) FILTER (turn % 3 <> 1 AND trim(text) <> '') > 0 AS accepted, CASE WHEN conv_id % 4 < 2 THEN count(*) FILTER (turn % 3 <> 1 AND trim(text) <> '') ELSE 0 END AS n_samples FROM conversations GROUP BY 1",
+        "pretty_scripts": f"WITH e AS (SELECT conv_id, turn, role AS speaker, text, 'é' AS instruct FROM conversations) SELECT conv_id AS book_id, '[' || chr(10) || string_agg({PRETTY}, ',' || chr(10) ORDER BY turn) || chr(10) || ']' AS content FROM e GROUP BY 1",
+        "stamped_ids": "SELECT event_id, 'my_' || event_type || '_' || (event_id + 1700000000) AS id FROM events",
+        "script_delete": f"WITH {STORE} SELECT script_name, count(*) AS n_entries, script_name IN (SELECT script_name FROM configs) AS has_voice_config FROM store WHERE book_id % 9 <> 0 GROUP BY 1",
+        "builder_delete": f"""WITH {BUILDER}, p AS (SELECT name, 'old' AS description, '5' AS global_seed FROM old UNION SELECT name, '', '' FROM fate WHERE fate = 'created')
+SELECT * FROM p WHERE name NOT IN (SELECT lower(replace(n_name, ' ', '_')) FROM nation WHERE n_nationkey % 2 = 0)""",
         "point_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1",
         "scalar_rules": r"""SELECT p_partkey, 'a ' || p_name || ' b {x} ' || p_name AS filled, CASE WHEN p_partkey % 2 = 0 THEN '/abs/' || p_name ELSE '/root/' || p_name END AS path, p_name AS stem, 'v1.2.' || p_brand AS last_stem,
-round(p_size + p_size / 4.0 * 0.3, 6)::DOUBLE AS loss, CASE WHEN p_size % 7 > 0 THEN round(p_size / (p_size % 7), 6) ELSE 0.0 END::DOUBLE AS speed,
+least(nullif(p_size % 9, 0), nullif(p_size % 4, 0))::BIGINT AS most_items, round(p_size + p_size / 4.0 * 0.3, 6)::DOUBLE AS loss, CASE WHEN p_size % 7 > 0 THEN round(p_size / (p_size % 7), 6) ELSE 0.0 END::DOUBLE AS speed,
 CASE p_size % 4 WHEN 0 THEN '1,-,-' WHEN 1 THEN '1,2,-' WHEN 2 THEN '1,2,3' ELSE '1,2,3,4' END AS padded, CASE WHEN p_partkey % 3 > 0 THEN 'calm, ' || p_type ELSE 'calm' END AS description,
 '{"speaker": "\"é\\' || p_name || '", "text": "a\nb\tc", "instruct": null}' AS entry FROM part""",
         "json_salvage": """SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'as_is' WHEN 1 THEN 'lenient' WHEN 2 THEN 'objects' ELSE 'truncated' END AS how,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions.text import strip
+from storyloom.functions.text import pretty_entries, strip
 
 ENTRY = "speaker string, type string, text string, instruct string"
 SEPARATOR = "---SEPARATOR---"
@@ -89,6 +89,18 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def pretty_script_array(entries: DataFrame) -> DataFrame:
+    """As ``script_array``, indented by two for readers."""
+    e = F.struct("pos", F.struct("speaker", "text", "instruct").alias("e"))
+    got = entries.groupBy("book_id").agg(F.array_sort(F.collect_list(e)).alias("es"))
+    return got.select("book_id", pretty_entries(F.transform("es", lambda x: x["e"])).alias("content"))
+
+
+def write_single(rows: DataFrame, path: str, content: str = "content") -> None:
+    """Each row's text as a file of its own; whole files appear only when their task is committed."""
+    rows.select(content).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def script_array(entries: DataFrame) -> DataFrame:
     """(book_id, content): the entries of each book as one JSON array text."""
     e = F.struct("pos", F.struct("speaker", "text", "instruct").alias("e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.shared import saved, spread_join
+from storyloom.llm.shared import HOT_SHARE, saved, spread_join
 from storyloom.operators.ranks import ranked
 
 #: Most turns of one rendered row besides carried system turns; a dialogue of no more turns is one row.
@@ -36,25 +36,39 @@ def prefix(role: Column, me: Column) -> Column:
 def pieces_of(turns: DataFrame, conv: Column, turn: Column, role: Column, text: Column, piece_turns: int) -> DataFrame:
     """(conv, piece, said, cast): turns in order as structs, and all participants of the conversation in order.
 
-    Turns are ranked over all conversations by ranges of their order, so that a long conversation, or many turns with one
-    number, are in no single task; a conversation's turns are then told from the rank at which it begins.
+    Turns are counted first. A conversation of one piece is gathered at once. Only longer ones are ranked, over all of
+    them by ranges of their order, so that no task sees the whole of a long conversation, or of many turns with one
+    number; pieces are then cut by the distance to the rank at which the conversation begins.
     """
     rows = turns.select(
         conv.alias("conv"), F.coalesce(F.concat(F.lit("="), conv.cast("string")), F.lit("")).alias("k"), F.coalesce(turn.cast("long"), F.lit(0).cast("long")).alias("turn"),
         F.coalesce(role, F.lit(NAMELESS)).alias("role"), F.coalesce(text, F.lit("")).alias("text"),
     )
-    placed = ranked(rows, "k", "turn", "role", "text")
-    convs = placed.groupBy("k").agg(F.min("rank").alias("begin"), F.count("*").alias("turns"), F.array_sort(F.collect_set(F.when(F.col("role") != SYSTEM, F.col("role")))).alias("cast"))
-    convs = saved(convs, "conversations")
-    total = convs.agg(F.coalesce(F.sum("turns"), F.lit(0))).first()[0]
-    placed = spread_join(placed, convs, ["k"], "turns", total).withColumn("at", F.col("rank") - F.col("begin"))
+    sizes = saved(rows.groupBy("k").agg(F.count("*").alias("turns")), "conversations")
+    long_ = sizes.filter(F.col("turns") > piece_turns)
+    said, speaker = F.struct("turn", "role", "text"), F.when(F.col("role") != SYSTEM, F.col("role"))
+    if long_.isEmpty():
+        short = rows
+    else:
+        total = sizes.agg(F.sum("turns")).first()[0]
+        hot = F.col("turns") * HOT_SHARE > total
+        cool = rows.join(F.broadcast(long_.filter(hot)), "k", "left_anti")
+        short = cool.join(long_.filter(~hot), "k", "left_anti")
+    whole = short.groupBy("k", "conv").agg(F.array_sort(F.collect_list(said)).alias("said"), F.array_sort(F.collect_set(speaker)).alias("cast"))
+    whole = whole.select("conv", F.lit(0).cast("long").alias("piece"), "said", "cast")
+    if short is rows:
+        return whole
+    placed = ranked(spread_join(rows, long_, ["k"], "turns", total).drop("turns"), "k", "turn", "role", "text").drop("total")
+    convs = placed.groupBy("k").agg(F.min("rank").alias("begin"), F.count("*").alias("turns"), F.array_sort(F.collect_set(speaker)).alias("cast"))
+    placed = spread_join(placed, saved(convs, "conversations"), ["k"], "turns", total).withColumn("at", F.col("rank") - F.col("begin"))
     placed = placed.withColumn("piece", F.expr(f"at div {piece_turns}"))
-    said = F.struct("at", "turn", "role", "text").alias("said")
-    own = placed.select("conv", "k", "piece", said, F.when(F.col("at") % piece_turns == 0, F.col("cast")).alias("cast"))
+    at = F.struct("at", "turn", "role", "text").alias("said")
+    own = placed.select("conv", "k", "piece", at, F.when(F.col("at") % piece_turns == 0, F.col("cast")).alias("cast"))
     later = F.explode(F.expr(f"sequence(1L, (turns - 1) div {piece_turns})")).alias("piece")
-    carried = placed.filter((F.col("piece") == 0) & (F.col("role") == SYSTEM) & (F.col("turns") > piece_turns))
-    carried = carried.select("conv", "k", later, said, F.lit(None).cast("array<string>").alias("cast"))
-    return own.unionByName(carried).groupBy("k", "conv", "piece").agg(F.array_sort(F.collect_list("said")).alias("said"), F.max("cast").alias("cast"))
+    carried = placed.filter((F.col("piece") == 0) & (F.col("role") == SYSTEM)).select("conv", "k", later, at, F.lit(None).cast("array<string>").alias("cast"))
+    pieces = own.unionByName(carried).groupBy("k", "conv", "piece").agg(F.array_sort(F.collect_list("said")).alias("said"), F.max("cast").alias("cast"))
+    told = F.transform("said", lambda s: F.struct(s["turn"].alias("turn"), s["role"].alias("role"), s["text"].alias("text"))).alias("said")
+    return whole.unionByName(pieces.select("conv", "piece", told, "cast"))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_turns: int = PIECE_TURNS) -> DataFrame:

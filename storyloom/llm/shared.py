@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.sources.scratch import new_path, remove_written, saved, shared_dir
 
-__all__ = ["new_path", "remove_written", "saved", "shared_dir", "spread_join"]
+__all__ = ["HOT_SHARE", "new_path", "remove_written", "saved", "shared_dir", "spread_join"]
 
 #: A key is hot if more than one in so many rows has it; so there are fewer hot keys than this.
 HOT_SHARE = 1000

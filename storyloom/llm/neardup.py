@@ -226,11 +226,13 @@ def rare_meetings(open_: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
-def nearest_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of each class with those classes it was shown that are nearest by sketch and may be linked."""
-    near = met.filter(alike(percent)).select(F.col("q.id").alias("id"), F.struct(sketch_bits().alias("bits"), F.col("p.id").alias("p")).alias("x"))
-    best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("xs")).select("id", F.explode("xs.p").alias("p"))
-    return best.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+def nearest(keys: DataFrame, percent: int) -> DataFrame:
+    """(id, near): every class that meets others in a table, with those classes shown to it that are nearest by sketch and
+    may be linked. A table shows one of its classes, chosen by a hash of its own, to all of them."""
+    shown = keys.groupBy("key").agg(F.count("*").alias("c"), F.min_by("q", F.xxhash64("key", "q.id")).alias("p")).filter("c > 1").drop("c")
+    fit = F.when((F.col("p.id") != F.col("q.id")) & alike(percent), F.struct(sketch_bits().alias("bits"), F.col("p.id").alias("id")))
+    met = keys.join(shown, "key").select(F.col("q.id").alias("id"), fit.alias("x"))
+    return met.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("near"))
 
 
 def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -248,16 +250,14 @@ def links_of(docs: DataFrame, sk: DataFrame, percent: int) -> tuple[DataFrame, D
     classes = sk.filter(F.col("n") >= least).groupBy("high", "low")
     classes = classes.agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("bands").alias("bands"))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("id"), "k", "high", "low", "n", "s1", "s2", "bands"), "classes")
-    keys = meetings(classes, plan.groups)
-    often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min_by("q", F.xxhash64("key", "q.id")).alias("p")).filter("c > 1").drop("c")
-    met = saved(keys.join(often, "key").filter(F.col("p.id") != F.col("q.id")).select("p", "q"), "met")
-    involved = met.select(F.explode(F.array("p.id", "q.id")).alias("id")).distinct()
-    named = saved(classes.join(involved, "id"), "named")
+    met = saved(nearest(meetings(classes, plan.groups), percent), "met")
+    named = saved(classes.join(met.select("id"), "id"), "named")
     texts = docs.join(named.select("k").distinct(), "k", "left_semi").select("k", "t")
     found = texts.mapInArrow(sets_of, "k long, high long, low long, items array<long>").dropDuplicates(["k", "high", "low"])
     sets = saved(found.join(named.select("id", "k", "high", "low"), ["k", "high", "low"]).select("id", "items"), "sets")
 
-    links = saved(verified(nearest_pairs(met, percent), sets, percent), "links")
+    first = met.select("id", F.explode("near.id").alias("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    links = saved(verified(first, sets, percent), "links")
     known = named.select("id", "n", "s1", "s2", "bands")
     if links.isEmpty():
         known = known.withColumn("component", F.col("id"))

@@ -245,6 +245,66 @@ FROM ({over(OP2, "blend")}) s JOIN clean c USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, row_number() OVER () AS r
+  FROM documents),
+g AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
+"""
+
+OP12 = r"""
+WITH words AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'i', row_number() OVER (), item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM words WHERE side = 'd' AND len(w) > 0),
+counted AS (SELECT side, r, id, n, term, count(*) AS tf FROM (SELECT side, r, id, len(w)::BIGINT AS n, unnest(w) AS term FROM words) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, corpus WHERE side = 'd' GROUP BY term, docs),
+scores AS (
+  SELECT i.r, i.id AS item_id, d.r AS dr, d.id AS doc_id,
+    sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * d.n * docs) // terms))))::BIGINT AS score
+  FROM counted i JOIN counted d ON d.side = 'd' AND i.side = 'i' AND i.term = d.term JOIN weights ON weights.term = i.term, corpus
+  GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST, dr) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+def op13(rounds: int = 6) -> str:
+    """Codebooks round after round; distances in integers."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT r, p, (gap).e AS e, (gap).d AS d FROM (
+    SELECT x.r, x.p, min({{'d': list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.e}}) AS gap
+    FROM parts x JOIN b{r} b USING (p) GROUP BY x.r, x.p))""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS v FROM (
+    SELECT p, e, i, floor(sum(c)::DOUBLE / count(*))::BIGINT AS m
+    FROM (SELECT a.p, a.e, generate_subscripts(x.v, 1) AS i, unnest(x.v) AS c FROM a{r} a JOIN parts x USING (r, p)) GROUP BY p, e, i)
+  GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS v FROM kept, range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM parts WHERE r <= 16),{",".join(steps)},
+codes AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (r), book
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1,
@@ -256,4 +316,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": OP7,
         "op8_warc_round_trip": OP8,
         "op9_perspective_rotation": OP9,
+        "op11_exact_dedup": OP11,
+        "op12_ranked_search": OP12,
+        "op13_vector_codes": op13(),
     }

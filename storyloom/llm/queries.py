@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, decontam, hilbert, langid, lines, mixing, neardup, quality, substring, warc
+from storyloom.llm import chat, codes, decontam, exact, hilbert, langid, lines, mixing, neardup, quality, search, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,5 +79,21 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and fate of every document among those of equal text."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    found = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.books_sha256).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup, op10_language_id, op2_hilbert_sharding, op6_temperature_mixing, op1_line_dedup, op9_perspective_rotation, op8_warc_round_trip)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_near_duplicates, op7_substring_dedup, op10_language_id, op2_hilbert_sharding, op6_temperature_mixing, op1_line_dedup, op9_perspective_rotation, op8_warc_round_trip, op11_exact_dedup, op12_ranked_search, op13_vector_codes)}

@@ -16,6 +16,10 @@ MOJIBAKE = (
     ("â€¦", "..."),
 )
 
+#: Tags whose blocks are no answer, those that may stay open, and the form of a code fence.
+THINKING, UNCLOSED = ("think", "thinking", "reflection", "reasoning"), ("think", "thinking")
+FENCED = r"(?s)```(?:json)?\s*(.*?)```"
+
 NARRATOR = "NARRATOR"
 EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 GAP = r"(?U)[\s\x1c-\x1f]+"
@@ -118,17 +122,16 @@ def chat_turn(c: Column) -> Column:
 
 def without_thinking(c: Column) -> Column:
     """Closed think, thinking, reflection and reasoning blocks go, then what follows an unclosed think or thinking."""
-    for tag in ("think", "thinking", "reflection", "reasoning"):
+    for tag in THINKING:
         c = F.regexp_replace(c, f"(?s)<{tag}>.*?</{tag}>", "")
-    for tag in ("think", "thinking"):
+    for tag in UNCLOSED:
         c = F.regexp_replace(c, f"(?s)<{tag}>.*", "")
     return c
 
 
 def unfenced(c: Column) -> Column:
     """Contents of the first closed code fence, stripped; a text without one stays."""
-    body = r"(?s)```(?:json)?\s*(.*?)```"
-    return F.when(c.rlike(body), strip(F.regexp_extract(c, body, 1))).otherwise(c)
+    return F.when(c.rlike(FENCED), strip(F.regexp_extract(c, FENCED, 1))).otherwise(c)
 
 
 def json_string(c: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.operators import chunks
+from storyloom.operators import chunks, script
 
 CONFIG = "speaker string, type string, voice string, character_style string, default_style string, seed string, adapter_id string, description string"
 VOICES = [
@@ -79,3 +82,32 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     status = F.when(F.col("quality") == 1, "done").otherwise("pending")
     return d.join(lab, "doc_id", "left").select(F.col("source").alias("name"), F.col("doc_id").alias("idx"), "text", (F.col("n_chars") / 15.0).alias("duration"), status.alias("status"))
+
+
+def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the books for prompts."""
+    return script.prompt_chunks(books(spark, sf_dir), 1000)
+
+
+def digest_model(prompt: str, attempt: int) -> str:
+    """A stand-in for a language model whose answer follows from the whole prompt: it raises, has no array, or has one or
+    two entries, by the digits of a hash."""
+    h = hashlib.md5(f"{attempt}{prompt}".encode()).hexdigest()
+    if h[0] in "01":
+        raise RuntimeError("no answer")
+    if h[0] in "23":
+        return "I cannot do that."
+    who = lambda d: "NARRATOR" if d in "0123" else f"S{d}"
+    entries = [{"speaker": who(h[2 + i]), "text": h[8 + 4 * i : 12 + 4 * i], "instruct": ""} for i in range(1 + (h[1] in "01234567"))]
+    body = json.dumps(entries)
+    return f"<think>no [ yet</think>```json\n{body}\n```" if h[3] in "01234567" else body
+
+
+def digest_reviewer(prompt: str, attempt: int) -> str:
+    """A stand-in for a reviewer: raises, keeps the first entry only, or gives the first entry to another speaker."""
+    h = hashlib.md5(f"{attempt}{prompt}".encode()).hexdigest()
+    if h[0] in "0123456":
+        raise RuntimeError("no answer")
+    batch = json.loads(prompt.split("\n---\n", 1)[1])
+    batch[0]["speaker"] = f"S{h[1]}"
+    return json.dumps(batch[:1] if h[0] in "78" else batch)

@@ -40,6 +40,11 @@ def remove_written(spark: SparkSession) -> int:
     return n
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later reads don't depend on executors that held parts of it."""
     path = new_path(df.sparkSession, label)

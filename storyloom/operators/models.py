@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions.jsonfix import entries_of
 
@@ -15,6 +16,20 @@ MS_PER_CHAR = 60
 
 Synthesiser = Callable[[pd.Series, pd.Series], pd.Series]
 
+#: Columns that a call gets: one row a line of a sub-batch, the shortest first.
+LINE = ("text", "instruct", "speaker", "voice", "adapter")
+
+#: A call for one sub-batch: lines to dur_ms and mp3_bytes, the size of what an encoder made of the audio, in the same order.
+Call = Callable[[pd.DataFrame], pd.DataFrame]
+
+#: Loads the voice of a route and key, and gives the call for its sub-batches.
+Speech = Callable[[str, str], Call]
+
+#: Tasks that share the calls of one voice.
+SPREAD = 64
+
+MP3_BYTES_PER_MS = 16
+
 
 def spoken_ms(text: pd.Series, voice: pd.Series) -> pd.Series:
     """Stand-in for speech: 60 ms a character."""
@@ -38,6 +53,56 @@ def synthesised(chunks: DataFrame, model: Synthesiser = spoken_ms) -> DataFrame:
     return chunks.select("book_id", "id", "text", "voice").mapInPandas(run, "book_id long, id long, dur_ms long, ok boolean, error string")
 
 
+def spoken(route: str, key: str) -> Call:
+    """Stand-in for speech: 60 ms a character, 128 kbit/s."""
+
+    def call(lines: pd.DataFrame) -> pd.DataFrame:
+        ms = lines["text"].str.len() * MS_PER_CHAR
+        return pd.DataFrame({"dur_ms": ms, "mp3_bytes": ms * MP3_BYTES_PER_MS})
+
+    return call
+
+
+def sub_batch_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one sub-batch after the other, of frames that are sorted by it and may end within one."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for call, part in frame.groupby("call", sort=False):
+            if held and held[0]["call"].iloc[0] != call:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def called(plan: DataFrame, speech: Speech) -> DataFrame:
+    """(book_id, item, dur_ms, mp3_bytes, call_error) of planned items; see ``render.rendered``. What a task holds is one
+    sub-batch, which the plan bounds, and an Arrow batch of rows."""
+    own = F.to_json(F.struct("book_id", "batch", "route", "key", "sub_no"), {"ignoreNullFields": "false"})
+    dealt = plan.withColumn("call", own).repartition("route", "key", F.pmod(F.xxhash64("call"), F.lit(SPREAD))).sortWithinPartitions("route", "key", "call", "idx")
+    fields = T.StructType([plan.schema["book_id"], *T.StructType.fromDDL("item long, dur_ms long, mp3_bytes long, call_error string").fields])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        voice, call = None, None
+        for lines in sub_batch_rows(frames):
+            out = lines[["book_id", "item"]].assign(dur_ms=None, mp3_bytes=None, call_error=None)
+            try:
+                if (mine := (lines["route"].iloc[0], lines["key"].iloc[0])) != voice:
+                    voice, call = None, speech(*mine)
+                    voice = mine
+                made = call(lines[list(LINE)])
+                if made is None or len(made) != len(lines):
+                    raise ValueError(f"{len(lines)} lines gave {0 if made is None else len(made)} results")
+                for c in ("dur_ms", "mp3_bytes"):
+                    out[c] = made[c].to_numpy()
+            except Exception as e:  # a model may fail in any way
+                out["call_error"] = f"Batch error: {e}"
+            yield out
+
+    return dealt.select("book_id", "item", "route", "key", "call", *LINE).mapInPandas(run, fields)
+
+
 def answered(responses: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
     """Per (book_id, chunk_no) the entries of the first of its responses (attempt, response) that has some; null where
     none of the first ``attempts`` has. Responses of a chunk are parsed at once, in any order."""

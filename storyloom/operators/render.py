@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from storyloom.functions import text as T
 from storyloom.operators import chunks, fold, timeline, voices
-from storyloom.operators.models import Synthesiser, spoken_ms, synthesised
+from storyloom.operators.models import Speech, called, spoken
 
 MIN_SIZE, RATIO, MAX_CHARS = 4, 5.0, 3000
 NEW_TOKENS = 2048
@@ -73,27 +73,41 @@ def batch_results(results: DataFrame, *by: str) -> DataFrame:
 
 
 def render_plan(table: DataFrame, requests: DataFrame, config: DataFrame, batch_size: int, by_voice: bool = False, **limits) -> DataFrame:
-    """Sub-batches of the requested chunks that have text: book_id, batch, sub_no, idx, id, speaker, text, route, voice and
-    adapter. Batches are ``batch_size`` requests in their order, or in that of their voices; see ``sub_batches``."""
+    """Calls of the speech model for the requested chunks that have text, one row an item: book_id, batch, route, key,
+    sub_no, idx, item, id, speaker, text, instruct, voice and adapter.
+
+    Batches are ``batch_size`` requests in their order, or in that of their voices. A batch is parted by route and key,
+    the speaker of a cloned voice or the adapter, before it is sorted by length and cut (see ``sub_batches``), so no call
+    mixes voices or adapters; lines of a designed voice are calls of their own.
+    """
     asked = voices.with_config(chunks.renderable(table, requests), config)
-    kind = F.col("voice.type")
-    asked = asked.withColumn("route", voices.batch_route(kind)).withColumn("key", voices.group_key(kind, F.col("speaker"), F.col("voice.adapter_id")))
+    of = lambda f: F.col(f"voice.{f}") if f in config.columns else F.lit(None).cast("string")
+    asked = asked.withColumn("route", voices.batch_route(of("type"))).withColumn("key", voices.group_key(of("type"), F.col("speaker"), of("adapter_id")))
     placed = voices.grouped_order(asked) if by_voice else asked.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("req_pos")) - 1)
-    placed = placed.withColumn("batch", F.expr(f"place div {batch_size}")).withColumn("item", F.col("place"))
-    plan = sub_batches(placed.select("book_id", "batch", F.col("item").alias("id"), "text"), "book_id", "batch", **limits).withColumnRenamed("id", "item")
-    return plan.join(placed.select("book_id", "item", "id", "speaker", "text", "route", F.col("voice.voice").alias("voice"), F.col("voice.adapter_id").alias("adapter")), ["book_id", "item"])
-
-
-def rendered(plan: DataFrame, model: Synthesiser = spoken_ms) -> DataFrame:
-    """(book_id, batch, item, id, ok, error, dur_ms, audio_path) of every planned item: rows of an adapter voice without an
-    adapter fail before the model is called, audio without duration fails after it."""
+    apart = F.when(F.col("route") == "design", F.concat(F.col("key"), F.lit(":"), F.col("place").cast("string"))).otherwise(F.col("key"))
+    placed = placed.withColumn("batch", F.expr(f"place div {batch_size}")).withColumn("item", F.col("place").cast("long")).withColumn("key", apart)
+    by = ("book_id", "batch", "route", "key")
+    plan = sub_batches(placed.select(*by, F.col("item").alias("id"), "text"), *by, **limits).select("book_id", F.col("id").alias("item"), "sub_no", "idx", "n_chars")
+    style = F.when(F.col("route") == "lora", voices.lora_instruct(F.col("instruct"), of("character_style"), of("default_style")))
+    style = style.when(F.col("route") == "design", voices.design_description(of("description"), F.col("instruct")))
+    style = style.when(F.col("route") == "custom", voices.batch_instruct(F.col("instruct"), of("character_style"), of("default_style")))
+    told = placed.select(*by, "item", "id", "speaker", "text", style.alias("instruct"), of("voice").alias("voice"), of("adapter_id").alias("adapter"))
+    return told.join(plan, ["book_id", "item"])
+
+
+def rendered(plan: DataFrame, speech: Speech = spoken) -> DataFrame:
+    """(book_id, batch, item, id, ok, error, dur_ms, audio_path) of every planned item, by one call of the speech model for
+    each sub-batch.
+
+    Sub-batches are dealt to tasks by voice, the calls of a voice over several tasks, and sorted by it, so a task loads
+    each of its voices once. A call that raises, or gives another number of results, fails the items of its own sub-batch
+    only. Items of an adapter voice without adapter fail before the model is called, audio without duration fails after.
+    """
     bad = (F.col("route") == "lora") & (T.text_of(F.col("adapter")) == "")
-    sent = plan.filter(~bad).select("book_id", F.col("item").alias("id"), "text", "voice")
-    made = synthesised(sent, model).withColumnRenamed("id", "item")
-    t = plan.join(made, ["book_id", "item"], "left")
-    error = F.when(bad, "No adapter").when(F.col("ok") & (F.coalesce("dur_ms", F.lit(0)) == 0), "Audio has 0 duration").otherwise(F.col("error"))
-    t = t.withColumn("error", error).withColumn("ok", F.coalesce("ok", F.lit(False)) & F.col("error").isNull())
-    named = timeline.file_names(t, "dur_ms")
+    t = plan.join(called(plan.filter(~bad), speech), ["book_id", "item"], "left")
+    error = F.when(bad, "No adapter").when(F.col("call_error").isNotNull(), F.col("call_error")).when(F.coalesce("dur_ms", F.lit(0)) == 0, "Audio has 0 duration")
+    t = t.withColumn("error", error).withColumn("ok", F.col("error").isNull())
+    named = timeline.file_names(t, "mp3_bytes")
     return named.select("book_id", "batch", "item", "id", "ok", "error", "dur_ms", F.when(F.col("ok"), F.concat(F.lit("voicelines/"), "file_name")).alias("audio_path"))
 
 

@@ -64,8 +64,9 @@ def resolved_seed(per_line: Column, place: Column, overall: Column) -> Column:
 
 
 def grouped_order(requests: DataFrame) -> DataFrame:
-    """Requests (book_id, req_pos, key) with ``place``: keys in order of first request, requests of a key in their own."""
-    first = requests.withColumn("first_pos", F.min("req_pos").over(Window.partitionBy("book_id", "key")))
+    """Requests (book_id, req_pos, key) with ``place``: keys in order of first request, requests of a key in their own.
+    Dealt by book once; both windows work on that."""
+    first = requests.repartition("book_id").withColumn("first_pos", F.min("req_pos").over(Window.partitionBy("book_id", "key")))
     return first.withColumn("place", (F.row_number().over(Window.partitionBy("book_id").orderBy("first_pos", "req_pos")) - 1).cast("long"))
 
 

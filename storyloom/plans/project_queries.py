@@ -25,12 +25,26 @@ def review_prompts(spark, sf):
     return prompts.review_prompts(script.batches(tables.entries(spark, sf)), REVIEW_TEMPLATE)
 
 
-def rendering(spark, sf):
+def render_requests(spark, sf):
+    """Voices with one that has no adapter, and requests of every book: some twice, some that do not exist."""
     lost = spark.createDataFrame([("Élan & co", "lora")], "speaker string, type string")
     config = tables.voices(spark).unionByName(lost, allowMissingColumns=True)
-    want = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.posexplode(F.array(*[F.lit(i).cast("long") for i in (4, 0, 99999, 2, 10, 0)])).alias("req_pos", "id"))
-    table = tables.listed(spark, sf)
-    return table, render.rendered(render.render_plan(table, want, config, 2, by_voice=True, max_items=3))
+    ids = F.concat(F.array(*[F.lit(i).cast("long") for i in (4, 0, 99999, 2, 10, 0)]), F.sequence(F.lit(11).cast("long"), F.lit(60).cast("long")))
+    return config, tables.table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.posexplode(ids).alias("req_pos", "id"))
+
+
+def planned(spark, sf):
+    config, want = render_requests(spark, sf)
+    return render.render_plan(tables.listed(spark, sf), want, config, 12, by_voice=True, max_items=5)
+
+
+def render_calls(spark, sf):
+    """Which call of the speech model has which lines."""
+    return planned(spark, sf).select("book_id", "batch", "route", "key", F.col("sub_no").cast("long").alias("sub_no"), F.col("idx").cast("long").alias("idx"), "id", "instruct")
+
+
+def rendering(spark, sf):
+    return tables.listed(spark, sf), render.rendered(planned(spark, sf), tables.faulty_speech)
 
 
 def render_status(spark, sf):
@@ -281,6 +295,7 @@ def json_salvage(spark, sf):
 
 
 ALL = (
+    render_calls,
     generation_prompts, review_prompts, render_status, render_results, speech_durations, script_store, script_load, builder_create, builder_meta, dataset_save,
     dataset_metadata, export_files, config_defaults, optional_fields, chunks_loaded, chunks_with_audio, chunks_reset, adapter_delete, total_changes, script_files,
     book_files, jsonl_files, jsonl_count, log_appended, script_listing, prompt_files, requested_samples, reference_audio, point_lookup, scalar_rules, json_salvage,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.plans.script_sql import ENTRIES, LISTED, SAMPLES, SIDES, STEM, line, packed, section, strip
+from storyloom.plans.script_sql import CONFIG, ENTRIES, KEY, LISTED, SAMPLES, SIDES, STEM, line, packed, section, strip
 
 ENTRY = """'{"speaker": ' || to_json(speaker)::VARCHAR || ', "text": ' || to_json(text)::VARCHAR || ', "instruct": ' || to_json(instruct)::VARCHAR || '}'"""
 PRETTY = """'  {' || chr(10) || '    "speaker": ' || to_json(speaker)::VARCHAR || ',' || chr(10) || '    "text": ' || to_json(text)::VARCHAR || ',' || chr(10) || '    "instruct": ' || to_json(instruct)::VARCHAR || chr(10) || '  }'"""
@@ -25,8 +25,27 @@ tail AS (SELECT p.book_id, p.k, string_agg(b.e, chr(10) ORDER BY b.n) AS tail FR
 SELECT book_id, k AS batch_no, 'Batch ' || (k + 1) || ' of ' || parts || '.' || coalesce(chr(10) || chr(10) || 'Previous batch ended with:' || chr(10) || tail, '')
   || chr(10) || '---' || chr(10) || body AS prompt FROM p LEFT JOIN tail USING (book_id, k)"""
 
-ASKED = f"""{LISTED}, want(req_pos, id) AS (VALUES (0, 4), (1, 0), (2, 99999), (3, 2), (4, 10), (5, 0)),
-asked AS (SELECT l.*, w.req_pos, speaker <> 'Élan & co' AS ok FROM listed l JOIN want w ON l.id = w.id WHERE {strip("text")} <> '')"""
+#: Batches of 12 requests by voice, parted by route and key, then sorted by length and cut; what became of each item.
+ASKED = f"""{LISTED}, {CONFIG}, want AS (SELECT unnest([4, 0, 99999, 2, 10, 0] || range(11, 61)) AS id, unnest(range(0, 56)) AS req_pos),
+setup AS (SELECT speaker, type, character_style, default_style, description, adapter_id FROM config UNION ALL SELECT 'Élan & co', 'lora', NULL, NULL, NULL, NULL),
+e AS (SELECT l.*, w.req_pos, length(l.text)::BIGINT AS len FROM listed l JOIN want w ON l.id = w.id WHERE {strip("l.text")} <> ''),
+keyed AS (SELECT e.*, CASE WHEN c.type IN ('lora', 'builtin_lora') THEN 'lora' ELSE coalesce(c.type, 'custom') END AS route, {KEY} AS key, c.adapter_id IS NOT NULL AS has_adapter,
+  coalesce(nullif(c.character_style, ''), nullif(c.default_style, '')) AS style, trim(c.description) AS base FROM e LEFT JOIN setup c ON e.speaker = c.speaker),
+first AS (SELECT *, min(req_pos) OVER (PARTITION BY book_id, key) AS f FROM keyed),
+placed AS (SELECT * REPLACE (CASE WHEN route = 'design' THEN 'design:' || place ELSE key END AS key), place // 12 AS batch FROM (
+  SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY f, req_pos) - 1 AS place FROM first)),
+arrays AS (SELECT book_id, batch, route, key, list(place ORDER BY len, place) AS ps, list(len ORDER BY len, place) AS ns FROM placed GROUP BY ALL),
+cut AS (
+  SELECT *, list_reduce(list_transform(ns, lambda n, i: {{'n': n, 'i': i::BIGINT}}), lambda a, x: CASE
+    WHEN a.g < 0 OR x.i - a.first >= 5 OR a.total + x.n > 3000 OR (x.i - a.first >= 4 AND x.n > 5.0 * greatest(a.n, 1))
+    THEN {{'total': x.n, 'n': x.n, 'first': x.i, 'g': a.g + 1, 'gs': list_append(a.gs, a.g + 1)}}
+    ELSE {{'total': a.total + x.n, 'n': a.n, 'first': a.first, 'g': a.g, 'gs': list_append(a.gs, a.g)}} END,
+    {{'total': 0::BIGINT, 'n': 0::BIGINT, 'first': 0::BIGINT, 'g': -1::BIGINT, 'gs': []::BIGINT[]}}).gs AS gs FROM arrays),
+subs AS (SELECT book_id, batch, route, key, unnest(gs) AS sub_no, unnest(ps) AS place FROM cut),
+plan AS (SELECT p.*, s.sub_no, row_number() OVER (PARTITION BY p.book_id, p.batch, p.route, p.key, s.sub_no ORDER BY p.len, p.place) - 1 AS idx,
+  bool_or(p.len % 37 = 5) OVER (PARTITION BY p.book_id, p.batch, p.route, p.key, s.sub_no) AS broken FROM placed p JOIN subs s USING (book_id, place)),
+asked AS (SELECT *, CASE WHEN route = 'lora' AND NOT has_adapter THEN 'No adapter' WHEN broken THEN 'Batch error: bad line' WHEN len % 17 = 0 THEN 'Audio has 0 duration' END AS error,
+  'voicelines/' || printf('voiceline_%04d_', id + 1) || {STEM.format("speaker")} || CASE WHEN len % 7 = 0 OR len * 960 < 1024 THEN '.wav' ELSE '.mp3' END AS path FROM plan)"""
 
 STORE = f"""{ENTRIES},
 store AS (SELECT 'book_' || book_id AS script_name, * FROM entries WHERE book_id % 3 = 0 AND (book_id % 6 <> 0 OR pos < 3)),
@@ -49,11 +68,15 @@ def oracle_sql() -> dict[str, str]:
     return {
         "generation_prompts": GENERATION,
         "review_prompts": REVIEW,
-        "render_status": f"""WITH {ASKED}, r AS (SELECT DISTINCT book_id, id, ok, 'voicelines/' || printf('voiceline_%04d_', id + 1) || {STEM.format("speaker")} || CASE WHEN length(text) * 60 < 1024 THEN '.wav' ELSE '.mp3' END AS path FROM asked)
+        "render_calls": f"""WITH {ASKED} SELECT book_id, batch, route, key, sub_no, idx, id, CASE route
+  WHEN 'lora' THEN '<|im_start|>user' || chr(10) || nullif(concat_ws(' ', nullif(instruct, ''), style), '') || '<|im_end|>' || chr(10)
+  WHEN 'design' THEN coalesce(nullif(concat_ws(', ', nullif(base, ''), nullif(instruct, '')), ''), 'A clear, natural speaking voice')
+  WHEN 'custom' THEN concat_ws(' ', coalesce(nullif(instruct, ''), 'neutral'), style) END AS instruct FROM asked""",
+        "render_status": f"""WITH {ASKED}, r AS (SELECT book_id, id, max_by(error IS NULL, place) AS ok, max_by(path, place) AS path FROM asked GROUP BY 1, 2)
 SELECT l.book_id, l.id, CASE WHEN r.ok THEN 'done' WHEN NOT r.ok THEN 'error' ELSE l.status END AS status, CASE WHEN r.ok THEN r.path ELSE l.audio_path END AS audio_path
 FROM listed l LEFT JOIN r ON r.book_id = l.book_id AND r.id = l.id""",
-        "render_results": f"""WITH {ASKED} SELECT book_id, coalesce(string_agg(CASE WHEN ok THEN id::VARCHAR END, ',' ORDER BY id), '') AS completed,
-coalesce(string_agg(CASE WHEN NOT ok THEN id || ':No adapter' END, ',' ORDER BY id), '') AS failed FROM asked GROUP BY 1""",
+        "render_results": f"""WITH {ASKED} SELECT book_id, coalesce(string_agg(CASE WHEN error IS NULL THEN id::VARCHAR END, ',' ORDER BY id), '') AS completed,
+coalesce(string_agg(id || ':' || error, ',' ORDER BY id, error), '') AS failed FROM asked GROUP BY 1""",
         "speech_durations": "SELECT conv_id AS book_id, turn AS id, length(text) * 60 AS dur_ms, true AS ok FROM conversations",
         "script_store": f"WITH {STORE} SELECT script_name, count(*) AS n_entries, script_name IN (SELECT script_name FROM configs) AS has_voice_config FROM store GROUP BY 1",
         "script_load": f"""WITH {STORE}, n AS (SELECT book_id, count(*) AS n FROM store GROUP BY 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,3 +112,16 @@ def digest_reviewer(prompt: str, attempt: int) -> str:
     batch = json.loads(prompt.split("\n---\n", 1)[1])
     batch[0]["speaker"] = f"S{h[1]}"
     return json.dumps(batch[:1] if h[0] in "78" else batch)
+
+
+def faulty_speech(route: str, key: str):
+    """A stand-in for a speech model: lines of some lengths break their whole call, have no sound, or are no mp3."""
+
+    def call(lines: pd.DataFrame) -> pd.DataFrame:
+        n = lines["text"].str.len()
+        if (n % 37 == 5).any():
+            raise RuntimeError("bad line")
+        ms = (n * 60).where(n % 17 != 0, 0)
+        return pd.DataFrame({"dur_ms": ms, "mp3_bytes": (ms * 16).where(n % 7 != 0, 428)})
+
+    return call

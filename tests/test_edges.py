@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,16 +91,62 @@ def test_rendering_with_failures(spark):
     plan = render.render_plan(table, asked, config, 2)
     assert sorted((r.batch, r.id) for r in plan.collect()) == [(0, 3), (0, 4), (1, 0), (1, 1)]
 
-    def model(text, voice):
-        if (text == "bad").any():
-            raise RuntimeError("no device")
-        return text.str.len() * 60
+    def voice(bad):
+        def load(route, key):
+            def call(lines):
+                if bad == "raises" and (lines["text"] == "bad").any():
+                    raise RuntimeError("no device")
+                ms = lines["text"].str.len() * 60 * (lines["text"] != "bad")
+                return pd.DataFrame({"dur_ms": ms, "mp3_bytes": ms * 16 - 2000})[: len(lines) - (bad == "short" and len(lines) == 1 and lines["text"].iloc[0] == "bad")]
 
-    done = render.rendered(plan.repartition(1), lambda text, voice: text.str.len() * 60 * (text != "bad"))
+            return call
+
+        return load
+
+    done = render.rendered(plan.repartition(1), voice("silent"))
     assert {r.id: (r.ok, r.error) for r in done.collect()} == {4: (False, "Audio has 0 duration"), 3: (True, None), 1: (False, "No adapter"), 0: (True, None)}
     status = {r.id: (r.status, r.audio_path) for r in render.render_status(table, done).collect()}
     assert status == {0: ("done", "voicelines/voiceline_0001_a.wav"), 1: ("error", None), 2: ("pending", None), 3: ("done", "voicelines/voiceline_0004_b.mp3"), 4: ("error", None)}
-    assert {r.error for r in render.rendered(plan.repartition(1), model).filter("not ok").collect()} == {"no device", "No adapter"}
+    for bad, error in (("raises", "Batch error: no device"), ("short", "Batch error: 1 lines gave 0 results")):
+        assert {r.id: r.error for r in render.rendered(plan.repartition(1), voice(bad)).collect()} == {4: error, 3: None, 1: "No adapter", 0: None}
+
+
+def test_calls_keep_voices_apart(spark, tmp_path):
+    who = ["A", "B", "L", "M", "N", "C", "D"]
+    table = spark.createDataFrame([(1, i, who[i % 7], "x" * (i + 1), "", "pending", None) for i in range(70)], CHUNK)
+    asked = spark.createDataFrame([(1, i, i) for i in range(70)], "book_id long, req_pos long, id long")
+    config = spark.createDataFrame([("A", "clone", None), ("B", "clone", None), ("L", "lora", "a1"), ("M", "builtin_lora", "a1"), ("N", "lora", "a2"), ("D", "design", None)], "speaker string, type string, adapter_id string")
+    loads = tmp_path / "loads"
+
+    def load(route, key):
+        with open(loads, "a") as f:
+            f.write(f"{os.getpid()} {key.split(':')[0] if route == 'design' else key}\n")
+
+        def call(lines):
+            if route == "clone" and lines["text"].str.len().max() > 60:
+                raise RuntimeError(",".join(lines["speaker"]))
+            return pd.DataFrame({"dur_ms": lines["text"].str.len(), "mp3_bytes": [len(lines)] * len(lines)})
+
+        return call
+
+    for by_voice in (False, True):
+        plan = render.render_plan(table, asked, config, 35, by_voice, max_items=3).cache()
+        subs = {}
+        for r in plan.collect():
+            subs.setdefault((r.book_id, r.batch, r.route, r.key, r.sub_no), []).append((r.idx, r.speaker, r.adapter, r.id))
+        assert sum(len(x) for x in subs.values()) == 70 and max(len(x) for x in subs.values()) == 3
+        for (_, batch, route, _, _), items in subs.items():
+            assert route == "custom" or len({a if route == "lora" else s for _, s, a, _ in items}) == 1
+            assert route != "design" or len(items) == 1
+            assert [i for _, _, _, i in sorted(items)] == sorted(i for *_, i in items)
+        assert any({s for _, s, _, _ in x} == {"L", "M"} for x in subs.values())
+        done = {r.id: r for r in render.rendered(plan, load).collect()}
+        broken = {frozenset(i for *_, i in x) for k, x in subs.items() if k[2] == "clone" and max(i for *_, i in x) >= 60}
+        assert broken and {i for i, r in done.items() if not r.ok} == set().union(*broken)
+        assert all(len(done[i].error.split("Batch error: ")[1].split(",")) == len(group) for group in broken for i in group)
+    loads.write_text("")
+    render.rendered(plan.filter("route = 'lora'").repartition(1), load).coalesce(1).count()
+    assert sorted(x.split()[1] for x in loads.read_text().splitlines()) == ["lora:a1", "lora:a2"]
 
 
 def test_saved_chunks_and_scripts(spark):

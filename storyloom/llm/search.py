@@ -91,14 +91,13 @@ def numbered(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: frozenset[bytes] | None = None) -> Postings:
     """Postings of all documents, or those of a ``vocabulary``, written in folders by hash of the term and in order of terms
-    within a file, so that a search reads few folders and of these few row groups. A bucket is dealt to several tasks by
-    row, so that no term is a large part of one. Documents are told apart by ``row``, also where ids are null or reused.
+    within a file, so that a search reads few folders and of these few row groups. Spark splits large buckets, whatever
+    their terms, into tasks of its advisory size. Documents are told apart by ``row``, also where ids are null or reused.
     """
     spark = docs.sparkSession
     found = term_rows(numbered(docs, id_col, text_col), vocabulary).withColumn("bucket", F.when(F.col("term").isNull(), SUMS).otherwise(bucket_of(F.col("term"))))
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
     path = new_path(spark, "postings")
-    dealt = found.repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(salts))).sortWithinPartitions("bucket", "term", "row")
+    dealt = found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "row")
     dealt.write.partitionBy("bucket").parquet(path)
     # Named columns come first, that of the folders last.
     table = spark.read.schema(dealt.schema).parquet(path)

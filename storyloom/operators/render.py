@@ -92,23 +92,44 @@ def render_plan(table: DataFrame, requests: DataFrame, config: DataFrame, batch_
     style = style.when(F.col("route") == "design", voices.design_description(of("description"), F.col("instruct")))
     style = style.when(F.col("route") == "custom", voices.batch_instruct(F.col("instruct"), of("character_style"), of("default_style")))
     told = placed.select(*by, "item", "id", "speaker", "text", style.alias("instruct"), of("voice").alias("voice"), of("adapter_id").alias("adapter"))
-    return told.join(plan, ["book_id", "item"])
+    where = plan.select(F.col("book_id").alias("b"), F.col("item").alias("i"), "sub_no", "idx", "n_chars")
+    return told.join(where, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("item") == F.col("i"))).drop("b", "i")
 
 
-def rendered(plan: DataFrame, speech: Speech = spoken) -> DataFrame:
-    """(book_id, batch, item, id, ok, error, dur_ms, audio_path) of every planned item, by one call of the speech model for
-    each sub-batch.
+def performed(plan: DataFrame, speech: Speech = spoken) -> DataFrame:
+    """(book_id, batch, item, id, speaker, ok, error, dur_ms, mp3_bytes) of every planned item, by one call of the speech
+    model for each sub-batch.
 
     Sub-batches are dealt to tasks by voice, the calls of a voice over several tasks, and sorted by it, so a task loads
     each of its voices once. A call that raises, or gives another number of results, fails the items of its own sub-batch
     only. Items of an adapter voice without adapter fail before the model is called, audio without duration fails after.
     """
     bad = (F.col("route") == "lora") & (T.text_of(F.col("adapter")) == "")
-    t = plan.join(called(plan.filter(~bad), speech), ["book_id", "item"], "left")
+    made = called(plan.filter(~bad), speech).withColumnRenamed("book_id", "b").withColumnRenamed("item", "i")
+    t = plan.join(made, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("item") == F.col("i")), "left")
     error = F.when(bad, "No adapter").when(F.col("call_error").isNotNull(), F.col("call_error")).when(F.coalesce("dur_ms", F.lit(0)) == 0, "Audio has 0 duration")
-    t = t.withColumn("error", error).withColumn("ok", F.col("error").isNull())
-    named = timeline.file_names(t, "mp3_bytes")
-    return named.select("book_id", "batch", "item", "id", "ok", "error", "dur_ms", F.when(F.col("ok"), F.concat(F.lit("voicelines/"), "file_name")).alias("audio_path"))
+    return t.select("book_id", "batch", "item", "id", "speaker", error.isNull().alias("ok"), error.alias("error"), "dur_ms", "mp3_bytes")
+
+
+def named(results: DataFrame) -> DataFrame:
+    """Results with the path of the audio that was made."""
+    files = timeline.file_names(results, "mp3_bytes")
+    return files.select("book_id", "batch", "item", "id", "ok", "error", "dur_ms", F.when(F.col("ok"), F.concat(F.lit("voicelines/"), "file_name")).alias("audio_path"))
+
+
+def rendered(plan: DataFrame, speech: Speech = spoken) -> DataFrame:
+    """(book_id, batch, item, id, ok, error, dur_ms, audio_path) of every planned item; see ``performed``."""
+    return named(performed(plan, speech))
+
+
+def settled(results: DataFrame, table: DataFrame) -> DataFrame:
+    """As ``named``, against the chunks as they are after the calls: audio has the name of the speaker of now, and what was
+    made for a place that is gone has failed."""
+    now = table.select(F.col("book_id").alias("b"), F.col("id").alias("i"), F.col("speaker").alias("s"))
+    t = results.join(now, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("id") == F.col("i")), "left")
+    gone = F.col("i").isNull() & F.col("ok")
+    t = t.withColumn("error", F.when(gone, "Index out of range after reload").otherwise(F.col("error")))
+    return named(t.withColumn("ok", F.col("ok") & ~gone).withColumn("speaker", F.coalesce("s", "speaker")))
 
 
 def render_status(table: DataFrame, results: DataFrame) -> DataFrame:

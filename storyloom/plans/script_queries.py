@@ -12,7 +12,7 @@ from storyloom.functions import text as T
 from storyloom.operators import chunks, dataset, render, script, timeline, voices
 from storyloom.operators.models import answered
 from storyloom.operators.ranks import ranked
-from storyloom.plans import loop_queries, loop_sql, project_queries, project_sql, script_sql, tables
+from storyloom.plans import loop_queries, loop_sql, project_queries, project_sql, script_sql, stream_queries, stream_sql, tables
 from storyloom.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,8 +304,8 @@ ALL = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*ALL, *project_queries.ALL, *loop_queries.ALL)}
+    return {f.__name__: f for f in (*ALL, *project_queries.ALL, *loop_queries.ALL, *stream_queries.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return script_sql.oracle_sql() | project_sql.oracle_sql() | loop_sql.oracle_sql()
+    return script_sql.oracle_sql() | project_sql.oracle_sql() | loop_sql.oracle_sql() | stream_sql.oracle_sql()

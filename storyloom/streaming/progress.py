@@ -18,9 +18,10 @@ def tail(log: DataFrame, lines: int = KEPT_LINES) -> DataFrame:
     return log.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= lines).drop("rn")
 
 
-def stream_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines of JSON files as they arrive in a folder."""
-    return spark.readStream.schema(LOG).json(path)
+def stream_log(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Log lines of JSON files as they arrive in a folder, at most so many ``files`` a batch."""
+    read = spark.readStream.schema(LOG)
+    return (read.option("maxFilesPerTrigger", files) if files else read).json(path)
 
 
 def counts(log: DataFrame) -> DataFrame:

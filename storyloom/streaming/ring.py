@@ -63,6 +63,9 @@ def run_tails(spark: SparkSession, source: str, checkpoint: str, sink: str, kept
         if not exists(spark, f"{path}/_SUCCESS"):
             batch.write.mode("overwrite").parquet(path)
 
+    if ttl_ms:
+        # A stream with a time to live would go on with empty batches and never be at its end.
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     log = stream_log(spark, source, files)
     found = tails(log, kept, ttl_ms).writeStream.outputMode("update").foreachBatch(save)
     return found.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -199,9 +199,10 @@ def rare_meetings(open_: DataFrame, percent: int) -> DataFrame:
     ``open_`` has id, n, s1, s2, component and items. Shingles are ranked by how many of these classes have them, those
     that one class has alone first. By the prefix principle of set joins, two linked sets share one of the first
     n - ceil(percent n / 100) + 1 shingles of each, and from the first shared one on, both have as many left as they must
-    share. So what all pages of a template have in common makes no pair unless the pages are linked. Only shingles of
-    several components make pairs, and members of the largest of these are not paired with each other. Both sides of
-    the joins by shingle are plain tables, so that Spark can split a shingle that very many classes have.
+    share; the joins take this as a condition on sizes (see ``size_sides``), so what all pages of a template have in common
+    makes no pair unless the pages are near the limit. Only shingles of several components make pairs, and members of the
+    largest of these are not paired with each other. Both sides of the joins are plain tables, so that Spark can split a
+    shingle that very many classes have.
     """
     rows = open_.select("id", F.explode("items").alias("token"))
     often = saved(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shingles")
@@ -214,18 +215,44 @@ def rare_meetings(open_: DataFrame, percent: int) -> DataFrame:
     sizes = spots.groupBy("token", F.col("q.component").alias("component")).agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.count("*").alias("k"))
     mixed = saved(mixed.filter("k > 1").drop("k"), "mixed")
-    spots = saved(spots.join(mixed, "token"), "mixed_prefixes")
-    outside = spots.filter(F.col("q.component") != F.col("largest")).select("token", F.col("q").alias("p"), F.col("left").alias("p_left"))
-    p, q = F.col("p"), F.col("q")
-    found = outside.join(spots, "token").filter(
-        (p["component"] != q["component"])
-        & ((q["component"] == F.col("largest")) | (p["id"] < q["id"]))
-        & (F.least("p_left", "left") * (100 + percent) >= (p["n"] + q["n"]) * percent)
-        & alike(percent)
-    )
+    spots = saved(spots.join(mixed, "token").withColumn("top", F.expr(f"left * {100 + percent} div {percent} - q.n")), "mixed_prefixes")
+    found = None
+    for wide, narrow in size_sides(spots, percent):
+        pairs = wide.join(narrow, ["token", "size"]).filter(
+            (F.col("p.component") != F.col("q.component"))
+            & (F.least("p_left", "left") * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent)
+            & alike(percent)
+        )
+        found = pairs if found is None else found.unionByName(pairs)
     return found.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
+def size_step(n: str) -> str:
+    """SQL of how many low bits sizes are rounded by: nine significant ones stay."""
+    return f"greatest(length(bin({n})) - 9, 0)"
+
+
+def size_sides(spots: DataFrame, percent: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Both sides of the joins of ``rare_meetings``, by token and size: of two linked sets that first share the token, the
+    larger has room for a partner of the smaller one's size, and the smaller for one at least as large as itself.
+
+    ``top`` is the largest partner that what is left from the token on allows. So pages that have a template in common
+    and are too far apart meet at no size, however many there are. Rounded sizes only add candidates. Members of a token's
+    largest component are not on both sides of one join.
+    """
+    low = f"(q.n * {percent} + 99) div 100"
+    rounded = lambda n: f"shiftleft(shiftright({n}, {size_step(n)}), {size_step(n)})"
+    room = spots.withColumn("low", F.expr(low)).withColumn("high", F.least("q.n", "top")).filter("low <= high")
+    step = f"shiftleft(1L, {size_step('low')})"
+    sizes = F.expr(f"array_distinct(transform(concat(sequence(low, high, {step}), array(high)), m -> {rounded('m')}))")
+    wide = room.select("token", F.col("q").alias("p"), F.col("left").alias("p_left"), (F.col("q.component") == F.col("largest")).alias("in_largest"), F.explode(sizes).alias("size"))
+    narrow = spots.filter("top >= q.n").select("token", "q", "left", (F.col("q.component") == F.col("largest")).alias("largest_too"), F.expr(rounded("q.n")).alias("size"))
+    return [
+        (wide.filter("NOT in_largest").drop("in_largest"), narrow.drop("largest_too")),
+        (wide.filter("in_largest").drop("in_largest"), narrow.filter("NOT largest_too").drop("largest_too")),
+    ]
+
+
 def nearest(keys: DataFrame, percent: int) -> DataFrame:
     """(id, near): every class that meets others in a table, with those classes shown to it that are nearest by sketch and
     may be linked. A table shows one of its classes, chosen by a hash of its own, to all of them."""
@@ -321,7 +348,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sk, leaders = judged(docs, id_col, text_col, percent)
     first = leaders.select("lead.id", "lead.k").unionByName(sk.filter("n = 0").select("id", "k")).distinct()
-    first = first.select(F.col("id").alias("first_id"), F.col("k").alias("first_k"))
-    keyed = docs.withColumn("__text_key", text_key(F.col(id_col), F.col(text_col)))
-    kept = keyed.join(first, F.col(id_col).eqNullSafe(F.col("first_id")) & (F.col("__text_key") == F.col("first_k")), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_key"]).drop("__text_key")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), text_key(F.col(id_col), F.col(text_col)).alias("j"))
+    kept = rows.join(first, F.col("i").eqNullSafe(F.col("id")) & (F.col("j") == F.col("k")), "left_semi")
+    return kept.dropDuplicates(["i", "j"]).select("row.*")

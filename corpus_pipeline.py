@@ -8,6 +8,7 @@ the quality rules. Empty tables give empty results at every stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.llm import decontam, hilbert, mixing, neardup, oracle, quality
 from storyloom.llm.shared import saved
@@ -15,6 +16,9 @@ from storyloom.llm.shared import saved
 #: Share of the entropy of equal source weights that the mixture has at least.
 ENTROPY = 0.9
 
+#: Columns of the table that the stages are for.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 #: Similarity of near-duplicates, in percent of the union of their shingles.
 PERCENT = 80
 
@@ -40,9 +44,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row, with the other columns of documents; columns of any other name end here."""
+    """Shard and slot of every row, with the other columns of documents; columns of any other name in the struct ``other``,
+    which is there only if there are any."""
     placed = hilbert.hilbert_shards(docs, whole_rows=True)
-    return placed.select(*[c for c in placed.columns if c != "row"], "row.text", "row.lang", "row.source", "row.n_chars")
+    known = [c for c in COLUMNS if c != "doc_id"]
+    extra = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in COLUMNS]
+    other = [F.struct(*extra).alias("other")] if extra else []
+    return placed.select(*[c for c in placed.columns if c != "row"], *[f"row.{c}" for c in known], *other)
 
 
 STAGES = [

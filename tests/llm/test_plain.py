@@ -88,7 +88,28 @@ def test_pages_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
     assert many <= 2.2 * few and many < 400 * 5
 
 
-@pytest.mark.parametrize("percent", [60, 95])
+@pytest.mark.parametrize("own", [10, 15, 20, 25, 30])
+def test_pages_of_one_template_are_not_joined_in_pairs(spark, monkeypatch, own):
+    """Rows that the joins make, not those that are left of them; pages differ in length, and only their middle is theirs."""
+    joined, real = [], neardup.size_sides
+
+    def sides(spots, percent):
+        out = real(spots, percent)
+        joined.append(sum(a.join(b, ["token", "size"]).count() for a, b in out))
+        return out
+
+    monkeypatch.setattr(neardup, "size_sides", sides)
+    page = lambda i: " ".join([f"c{k}" for k in range(70)] + [f"u{i}_{k}" for k in range(own + i % 3)] + [f"c{k}" for k in range(70, 140)])
+    sizes = []
+    for n in (150, 300):
+        joined.clear()
+        got = neardup.near_duplicates(spark.createDataFrame([(i, page(i)) for i in range(n)], "doc_id long, text string"))
+        assert got.filter("kept").count() == n
+        sizes.append(sum(joined))
+    assert sizes[1] <= 2.2 * sizes[0] + 300
+
+
+@pytest.mark.parametrize("percent", [60, 70, 80, 85, 95])
 def test_near_duplicates_at_other_similarities(spark, percent):
     rng = random.Random(percent)
     rows = []

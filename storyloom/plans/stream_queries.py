@@ -1,9 +1,11 @@
-"""Queries that run a stream over the tables to its end. Each takes (spark, sf_dir) and reads whole tables."""
+"""Queries over logs of many steps, of which some run a stream to its end. Each takes (spark, sf_dir) and reads whole
+tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storyloom.operators import edits
 from storyloom.plans import project_queries, tables
 from storyloom.sources.scratch import new_path, saved
 from storyloom.streaming import ring
@@ -42,4 +44,9 @@ def log_ring(spark, sf):
     return ring.latest(spark, sink)
 
 
-ALL = (render_stream, render_failures, log_ring)
+def edits_replayed(spark, sf):
+    """The chunk lists of all books after a log of edits of each."""
+    return edits.replayed(tables.listed(spark, sf), tables.edit_log(spark, sf))
+
+
+ALL = (edits_replayed, render_stream, render_failures, log_ring)

@@ -90,6 +90,21 @@ def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script.prompt_chunks(books(spark, sf_dir), 1000)
 
 
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 edits of every book: of all kinds, some at places that do not exist."""
+    seq = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("seq")
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), seq)
+    kinds = F.array(*[F.lit(x) for x in ("insert", "delete", "restore", "update", "undo", "paint")])
+    n = F.col("seq").cast("string")
+    some = lambda hit, key, value: F.when(hit, F.map_from_arrays(F.array(F.lit(key)), F.array(value))).otherwise(F.create_map().cast("map<string,string>"))
+    given = F.map_concat(some(F.expr("seq % 2 = 1"), "text", F.concat(F.lit("edit "), n)), some(F.expr("seq % 4 = 2"), "instruct", F.lit(None).cast("string")), some(F.expr("seq % 3 = 0"), "speaker", F.concat(F.lit("S"), n)))
+    return t.select(
+        "book_id", "seq", F.get(kinds, F.expr("cast((book_id + seq * seq) % 6 AS int)")).alias("op"), F.expr("(book_id * 3 + seq * 7) % 19 - 1").alias("at"),
+        F.lit("R").alias("speaker"), F.concat(F.lit("restored "), n).alias("text"), F.lit(None).cast("string").alias("instruct"), F.lit("done").alias("status"),
+        F.concat(F.lit("r/"), n).alias("audio_path"), given.alias("fields"),
+    )
+
+
 def digest_model(prompt: str, attempt: int) -> str:
     """A stand-in for a language model whose answer follows from the whole prompt: it raises, has no array, or has one or
     two entries, by the digits of a hash."""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import text as T
-from storyloom.operators import fold
+from storyloom.operators import fold, packing, scans
+
+#: Order of the entries of a book; repeated places go by what is there.
+ORDER = ("pos", "n", "text", "speaker", "instruct")
 
 MAX_CHUNK = 500
 MAX_NARRATION = 800
@@ -24,17 +29,17 @@ def packed(entries: DataFrame, hard: Column, cap: int) -> DataFrame:
     """Runs without a ``hard`` break, cut into groups of at most ``cap`` characters with single spaces between texts.
 
     One shuffle by book: windows find the runs, and a fold over the lengths of a run finds the groups. Gives book_id,
-    pos of the first entry, n_entries, speaker, instruct and text.
+    pos of the first entry, n_entries, speaker, instruct and text, and ``first``, that entry, by which groups are in order.
     """
-    order = Window.partitionBy("book_id").orderBy("pos")
-    runs = entries.withColumn("hard", F.coalesce(hard, F.lit(True)).cast("int")).withColumn("run", F.sum("hard").over(order))
-    item = F.struct("pos", F.length("text").alias("n"), "text", "speaker", "instruct")
+    order = Window.partitionBy("book_id").orderBy(*ORDER)
+    runs = entries.withColumn("hard", F.coalesce(hard, F.lit(True)).cast("int")).withColumn("run", F.sum("hard").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct(*ORDER)
     arrays = runs.groupBy("book_id", "run").agg(F.array_sort(F.collect_list(item)).alias("items"))
     arrays = arrays.withColumn("starts", fold.capped_starts(F.transform("items", lambda x: x["n"]), cap))
     parts = arrays.select("book_id", F.explode(fold.groups(F.col("items"), F.col("starts"))).alias("g"))
     return parts.select(
         "book_id", F.col("g")[0]["pos"].alias("pos"), F.size("g").alias("n_entries"), F.col("g")[0]["speaker"].alias("speaker"),
-        F.col("g")[0]["instruct"].alias("instruct"), F.array_join(F.transform("g", lambda x: x["text"]), " ").alias("text"),
+        F.col("g")[0]["instruct"].alias("instruct"), F.array_join(F.transform("g", lambda x: x["text"]), " ").alias("text"), F.col("g")[0].alias("first"),
     )
 
 
@@ -43,27 +48,57 @@ def clean(entries: DataFrame) -> DataFrame:
     return entries.select("book_id", "pos", T.resolved_speaker(F.col("speaker"), kind).alias("speaker"), T.text_of(F.col("text")).alias("text"), T.text_of(F.col("instruct")).alias("instruct"))
 
 
+def with_kinds(entries: DataFrame) -> DataFrame:
+    """Clean entries with their length ``n``, with ``st``, whether they are structural, and ``open``, whether narration may
+    be joined to them."""
+    e = clean(entries).withColumn("n", F.length("text")).withColumn("st", T.is_structural(F.col("text")))
+    return e.withColumn("open", (F.col("speaker") == T.NARRATOR) & ~T.is_section_break(F.col("text")))
+
+
+#: Whether an entry begins a group of chunks, or of narration, by a function that gives columns of the entry before.
+def chunk_break(before: Callable[[str], Column]) -> Column:
+    return before("pos").isNull() | (before("speaker") != F.col("speaker")) | (before("instruct") != F.col("instruct")) | before("st") | F.col("st")
+
+
+def narration_break(before: Callable[[str], Column]) -> Column:
+    return before("pos").isNull() | ~F.col("open") | ~before("open") | (before("instruct") != F.col("instruct"))
+
+
+def in_book(c: str) -> Column:
+    return F.lag(c).over(Window.partitionBy("book_id").orderBy(*ORDER))
+
+
 def render_chunks(entries: DataFrame, cap: int = MAX_CHUNK) -> DataFrame:
     """Neighbouring entries of one speaker and instruct, neither structural, joined up to ``cap`` characters."""
-    e, w = clean(entries), Window.partitionBy("book_id").orderBy("pos")
-    e = e.withColumn("st", T.is_structural(F.col("text")))
-    before = lambda c: F.lag(c).over(w)
-    hard = before("pos").isNull() | (before("speaker") != F.col("speaker")) | (before("instruct") != F.col("instruct")) | before("st") | F.col("st")
-    return numbered(packed(e, hard, cap))
+    return numbered(packed(with_kinds(entries), chunk_break(in_book), cap))
+
+
+def long_render_chunks(entries: DataFrame, cap: int = MAX_CHUNK, range_rows: int = scans.RANGE_ROWS) -> DataFrame:
+    """As ``render_chunks``, for books and runs of any length: no task holds more than a range of entries or of chunks."""
+    grouped = long_packed(with_kinds(entries), chunk_break, cap, range_rows)
+    placed = scans.dealt(grouped, "book_id", "first", range_rows=range_rows)
+    return scans.running(placed, ["book_id"], F.lit(1).cast("long"), "n").withColumn("id", F.col("n") - 1).drop("n", "first", "place", "range")
+
+
+def long_packed(kinds: DataFrame, breaks: Callable[[Callable[[str], Column]], Column], cap: int, range_rows: int) -> DataFrame:
+    placed = scans.dealt(kinds, "book_id", *ORDER, range_rows=range_rows)
+    told = scans.earlier(placed, ["book_id"], F.struct("pos", "speaker", "instruct", "st", "open"), "before")
+    return packing.packed(told, breaks(lambda c: F.col(f"before.v.{c}")), cap)
+
+
+def long_merged_narration(entries: DataFrame, cap: int = MAX_NARRATION, range_rows: int = scans.RANGE_ROWS) -> DataFrame:
+    """As ``merged_narration``, for books and runs of any length."""
+    return long_packed(with_kinds(entries), narration_break, cap, range_rows).drop("first")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``id`` from 0 in the order of pos, per book."""
-    return rows.withColumn("id", (F.row_number().over(Window.partitionBy("book_id").orderBy("pos")) - 1).cast("long"))
+    """``id`` from 0 in the order of the first entries, per book."""
+    return rows.withColumn("id", (F.row_number().over(Window.partitionBy("book_id").orderBy("first")) - 1).cast("long")).drop("first")
 
 
 def merged_narration(entries: DataFrame, cap: int = MAX_NARRATION) -> DataFrame:
     """Neighbouring narrator entries of one instruct, none a section break, joined up to ``cap`` characters."""
-    e, w = clean(entries), Window.partitionBy("book_id").orderBy("pos")
-    e = e.withColumn("open", (F.col("speaker") == T.NARRATOR) & ~T.is_section_break(F.col("text")))
-    before = lambda c: F.lag(c).over(w)
-    hard = before("pos").isNull() | ~F.col("open") | ~before("open") | (before("instruct") != F.col("instruct"))
-    return packed(e, hard, cap)
+    return packed(with_kinds(entries), narration_break(in_book), cap).drop("first")
 
 
 def prompt_chunks(books: DataFrame, cap: int = MAX_PROMPT, text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import text as T
+from storyloom.operators import scans
 
 PAUSE_MS = 500
 SAME_SPEAKER_PAUSE_MS = 250
@@ -24,6 +25,21 @@ def timeline(rendered: DataFrame) -> DataFrame:
     return paused.withColumn("end_ms", end.cast("long")).withColumn("start_ms", F.col("end_ms") - F.col("dur_ms"))
 
 
+def long_timeline(rendered: DataFrame, range_rows: int = scans.RANGE_ROWS) -> DataFrame:
+    """As ``timeline``, for books of any length: sums and the last speaker are carried from range to range."""
+    there = rendered.filter(F.col("dur_ms").isNotNull())
+    t = scans.earlier(scans.dealt(there, "book_id", "id", range_rows=range_rows), ["book_id"], F.col("speaker"), "before")
+    pause = F.when(F.col("before").isNull(), 0).when(F.col("before.v").eqNullSafe(F.col("speaker")), SAME_SPEAKER_PAUSE_MS).otherwise(PAUSE_MS)
+    t = scans.running(t.withColumn("pause_ms", pause.cast("long")), ["book_id"], F.col("pause_ms") + F.col("dur_ms"), "end_ms").drop("before")
+    return t.withColumn("start_ms", F.col("end_ms") - F.col("dur_ms"))
+
+
+def long_tracks(line: DataFrame) -> DataFrame:
+    """As ``tracks``, of a ``long_timeline``: the end of each track is carried from range to range."""
+    t = scans.earlier(line, ["book_id", "speaker"], F.col("end_ms"), "before")
+    return t.withColumn("gap_ms", F.col("start_ms") - F.coalesce("before.v", F.lit(0))).drop("before")
+
+
 def tracks(line: DataFrame) -> DataFrame:
     """Silence before each chunk on its speaker's own track."""
     own = Window.partitionBy("book_id", "speaker").orderBy("id")

@@ -11,9 +11,10 @@ MOJIBAKE = (
     ("â€˜", "'"),
     ("â€œ", '"'),
     ("â€\x9d", '"'),
+    ("â€?", '"'),
     ("â€”", "—"),
     ("â€“", "–"),
-    ("â€¦", "..."),
+    ("â€¦", "…"),
 )
 
 #: Tags whose blocks are no answer, those that may stay open, and the form of a code fence.

@@ -110,7 +110,7 @@ SELECT book_id, changes, added, removed, failed, coalesce(merges, 0) AS merges,
         "book_files": "SELECT rtrim(string_agg(text, chr(10) ORDER BY turn), chr(10)) AS text FROM conversations GROUP BY conv_id",
         "jsonl_files": "SELECT conv_id || '_' || turn || '.wav' AS audio_filepath, text FROM conversations",
         "jsonl_count": "SELECT count(*)::BIGINT AS n FROM conversations",
-        "log_appended": "SELECT event_type AS task, event_id AS seq, props AS line FROM events WHERE event_type IN ('click', 'view', 'error')",
+        "log_appended": "SELECT event_type AS task, event_id AS seq, props AS line FROM events",
         "script_listing": "SELECT n_name || '.json' AS name, n_name AS script, n_regionkey = 1 AS has_voice_config FROM nation",
         "prompt_files": "SELECT p_partkey, trim(p_name) AS system, trim(p_type) AS user FROM part",
         "requested_samples": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations)

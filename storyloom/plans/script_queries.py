@@ -12,7 +12,7 @@ from storyloom.functions import text as T
 from storyloom.operators import chunks, dataset, render, script, timeline, voices
 from storyloom.operators.models import answered
 from storyloom.operators.ranks import ranked
-from storyloom.plans import loop_queries, loop_sql, project_queries, project_sql, script_sql, stream_queries, stream_sql, tables
+from storyloom.plans import loop_queries, loop_sql, project_queries, project_sql, range_queries, range_sql, script_sql, stream_queries, stream_sql, tables
 from storyloom.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,8 @@ def text_predicates(spark, sf):
 def mojibake_fixed(spark, sf):
     e = tables.table(spark, sf, "documents")
     bad = F.col("text")
-    for seen, meant in (("e th", "â€™"), ("n th", "â€”"), ("e de", "â€¦")):
-        bad = F.replace(bad, F.lit(seen), F.lit(meant))
+    for word, (seen, _) in zip(("e th", "n th", "e de", "d th", "t th", "s de", "r th", "a de"), T.MOJIBAKE, strict=True):
+        bad = F.replace(bad, F.lit(word), F.lit(seen))
     return e.select("doc_id", T.without_mojibake(bad).alias("text"))
 
 
@@ -304,8 +304,8 @@ ALL = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*ALL, *project_queries.ALL, *loop_queries.ALL, *stream_queries.ALL)}
+    return {f.__name__: f for f in (*ALL, *project_queries.ALL, *loop_queries.ALL, *stream_queries.ALL, *range_queries.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return script_sql.oracle_sql() | project_sql.oracle_sql() | loop_sql.oracle_sql() | stream_sql.oracle_sql()
+    return script_sql.oracle_sql() | project_sql.oracle_sql() | loop_sql.oracle_sql() | stream_sql.oracle_sql() | range_sql.oracle_sql()

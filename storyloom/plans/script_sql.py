@@ -21,6 +21,13 @@ def norm(x: str) -> str:
     return strip(rf"regexp_replace(regexp_replace(lower({x}), '[^\pL\pM\pN_\s\x0b]', '', 'g'), '[\s\x0b]+', ' ', 'g')")
 
 
+def meant(x: str) -> str:
+    """What is to come of the words that the query breaks."""
+    for word, to in (("e th", "''"), ("n th", "''"), ("e de", '"'), ("d th", '"'), ("t th", '"'), ("s de", "—"), ("r th", "–"), ("a de", "…")):
+        x = f"replace({x}, '{word}', '{to}')"
+    return x
+
+
 def words(x: str) -> str:
     return f"CASE WHEN {norm(x)} = '' THEN 0 ELSE len(string_split({norm(x)}, ' ')) END"
 
@@ -154,7 +161,7 @@ SELECT q.book_id, q.chunk_no, coalesce(string_agg(f.speaker, ', ' ORDER BY f.spe
 SELECT c_custkey, {STEM.format("name")} AS stem, lower(regexp_replace({strip(PLAIN)}, '\s+', '_', 'g')) AS project FROM n""",
         "text_predicates": f"""WITH {ENTRIES} SELECT book_id, pos, {structural("text")} AS structural, {section("text")} AS section_break,
 CASE WHEN instruct <> '' THEN '[' || instruct || '] ' ELSE '' END || CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS preview FROM entries""",
-        "mojibake_fixed": "SELECT doc_id, replace(replace(replace(text, 'e th', ''''), 'n th', '—'), 'e de', '...') AS text FROM documents",
+        "mojibake_fixed": f"SELECT doc_id, {meant('text')} AS text FROM documents",
         "review_batches": tail(25, 2, True),
         "generation_context": tail(5, 3, False),
         "entry_diff": f"WITH {SIDES} SELECT book_id, batch_no, n_original, n_corrected, text_changed, speaker_changed, instruct_changed FROM stats",

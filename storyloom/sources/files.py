@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions.text import pretty_entries, strip
+from storyloom.operators.ranks import ranked
 
 ENTRY = "speaker string, type string, text string, instruct string"
 SEPARATOR = "---SEPARATOR---"
@@ -49,11 +52,25 @@ def count_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length, modified) of files under a folder, newest first; contents are not read."""
+    """(path, name, length, modified) of files under a folder, newest first; contents are not read. Spark's
+    reader leaves out empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
 
 
+def folder_of(path: Column, root: str) -> Column:
+    """The folder below ``root`` that a path is in, null for files of the root itself."""
+    rel = F.regexp_replace(path, "^.*/" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    return F.when(rel.contains("/"), F.regexp_replace(rel, "/[^/]*$", ""))
+
+
+def list_folders(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(folder, n_files, bytes, rank): folders of any depth below ``root`` that have files, ascending by name."""
+    there = list_files(spark, root, pattern).withColumn("folder", folder_of(F.col("path"), root)).filter(F.col("folder").isNotNull())
+    found = there.groupBy("folder").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+    return ranked(found, "folder").withColumn("rank", F.col("rank") + 1).drop("total")
+
+
 def saved_scripts(files: DataFrame) -> DataFrame:
     """Scripts among listed files, by name, with whether a voice configuration lies beside them."""
     config = files.filter(F.endswith("name", F.lit(".voice_config.json"))).select(F.regexp_replace("name", r"\.voice_config\.json$", "").alias("script"), F.lit(True).alias("has_voice_config"))
@@ -68,23 +85,11 @@ def prompt_parts(value: Column) -> Column:
     return F.when(F.size(parts) == 2, F.struct(strip(parts[0]).alias("system"), strip(F.get(parts, F.lit(1))).alias("user"))).otherwise(bad)
 
 
-def metadata_depth(files: DataFrame, root: str) -> DataFrame:
-    """metadata.jsonl files at the root of an unpacked dataset or one folder below it."""
-    rel = F.regexp_replace(F.col("path"), "^.*" + root.rstrip("/") + "/", "")
-    return files.filter((F.col("name") == "metadata.jsonl") & (F.size(F.split(rel, "/")) <= 2))
-
-
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """One object per line, non-ASCII as it is; whole files appear only when their task is committed."""
     rows.write.mode("overwrite").json(path)
 
 
-def write_scripts(entries: DataFrame, path: str) -> None:
-    """One partition folder per script, entries as ordered rows; replaces the scripts that ``entries`` holds."""
-    ordered = entries.repartition("script_name").sortWithinPartitions("script_name", "pos")
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("script_name").parquet(path)
-
-
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

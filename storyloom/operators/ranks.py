@@ -9,14 +9,17 @@ from pyspark.sql.window import Window
 from storyloom.sources.scratch import saved
 
 
-def ranked(rows: DataFrame, *order) -> DataFrame:
+def ranked(rows: DataFrame, *order, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``rank`` (from 0, in the order of the columns) and ``total``.
 
-    Rows are dealt by ranges of the order and written with their place in the range; a table of one count per range
-    gives the places of the ranges. Rows that are equal in all columns of the order get neighbouring ranks.
+    Rows are dealt by ranges of the order, so many ``ranges`` or as many as Spark deals to by default, and written with
+    their place in the range; a table of one count per range gives the places of the ranges. Rows that are equal in all
+    columns of the order get neighbouring ranks, by their places in the input, so that ranges may part them.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    placed = saved(placed, "ranked")
+    told = rows.withColumn("place", F.monotonically_increasing_id())
+    sort = [*order, "place"]
+    placed = (told.repartitionByRange(ranges, *sort) if ranges else told.repartitionByRange(*sort)).sortWithinPartitions(*sort)
+    placed = saved(placed.withColumn("place", F.monotonically_increasing_id()), "ranked")
     mask = F.lit((1 << 33) - 1)
     placed = placed.withColumn("range", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND(mask))
     counts = placed.groupBy("range").agg(F.count("*").alias("n"))

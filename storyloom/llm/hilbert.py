@@ -11,6 +11,9 @@ from storyloom.operators.ranks import ranked
 #: Bits of every dimension.
 BITS = 5
 
+#: Bytes of text that a range of whole rows has, about.
+RANGE_BYTES = 64 << 20
+
 
 def category(value: Column, bits: int = BITS) -> Column:
     """A cell number for a string: equal values share a cell, so a filter on the value names one cell. Null is ''."""
@@ -91,7 +94,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     )
     cells = [F.get("cell", F.lit(k)) for k in range(len(categories) + 1)]
     slim = slim.withColumn("hilbert", hilbert_index(cells)).drop("cell")
-    placed = ranked(slim, "hilbert", "text_crc32", "size", "id")
+    ranges = None
+    if whole_rows:
+        # Texts go with their rows, so there are as many ranges as their bytes ask for.
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = docs.agg(F.coalesce(F.sum(size_of(text)), F.lit(0))).first()[0]
+        ranges = max(least, -(-total // RANGE_BYTES))
+    placed = ranked(slim, "hilbert", "text_crc32", "size", "id", ranges=ranges)
     shard = F.expr(f"rank * {shards} div greatest(total, 1)")
     start = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     placed = placed.withColumn("shard", shard).withColumn("slot", F.col("rank") - start)

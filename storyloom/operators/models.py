@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,17 +64,19 @@ def spoken(route: str, key: str) -> Call:
     return call
 
 
-def sub_batch_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one sub-batch after the other, of frames that are sorted by it and may end within one."""
-    held: list[pd.DataFrame] = []
+def whole_sub_batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames of whole sub-batches, and where these begin and end, of frames that are sorted by ``call`` and may end within
+    one."""
+    held = None
     for frame in frames:
-        for call, part in frame.groupby("call", sort=False):
-            if held and held[0]["call"].iloc[0] != call:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held, ignore_index=True)
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        calls = frame["call"].to_numpy()
+        edges = [0, *(np.flatnonzero(calls[1:] != calls[:-1]) + 1).tolist()]
+        held = frame.iloc[edges[-1] :].reset_index(drop=True)
+        if len(edges) > 1:
+            yield frame.iloc[: edges[-1]], edges
+    if held is not None and len(held):
+        yield held, [0, len(held)]
 
 
 def called(plan: DataFrame, speech: Speech) -> DataFrame:
@@ -85,20 +88,25 @@ def called(plan: DataFrame, speech: Speech) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voice, call = None, None
-        for lines in sub_batch_rows(frames):
-            out = lines[["book_id", "item"]].assign(dur_ms=None, mp3_bytes=None, call_error=None)
-            try:
-                if (mine := (lines["route"].iloc[0], lines["key"].iloc[0])) != voice:
-                    voice, call = None, speech(*mine)
-                    voice = mine
-                made = call(lines[list(LINE)])
-                if made is None or len(made) != len(lines):
-                    raise ValueError(f"{len(lines)} lines gave {0 if made is None else len(made)} results")
-                for c in ("dur_ms", "mp3_bytes"):
-                    out[c] = made[c].to_numpy()
-            except Exception as e:  # a model may fail in any way
-                out["call_error"] = f"Batch error: {e}"
-            yield out
+        for frame, edges in whole_sub_batches(frames):
+            found = {"dur_ms": [], "mp3_bytes": [], "call_error": []}
+            lines = frame[list(LINE)]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                n = end - begin
+                try:
+                    if (mine := (frame["route"].iat[begin], frame["key"].iat[begin])) != voice:
+                        voice, call = None, speech(*mine)
+                        voice = mine
+                    made = call(lines.iloc[begin:end].reset_index(drop=True))
+                    if made is None or len(made) != n:
+                        raise ValueError(f"{n} lines gave {0 if made is None else len(made)} results")
+                    new = {c: [None if pd.isna(x) else int(x) for x in made[c]] for c in ("dur_ms", "mp3_bytes")} | {"call_error": [None] * n}
+                except Exception as e:  # a model may fail in any way
+                    new = {"dur_ms": [None] * n, "mp3_bytes": [None] * n, "call_error": [f"Batch error: {e}"] * n}
+                for c, values in new.items():
+                    found[c] += values
+            sizes = {c: pd.array(found[c], dtype="Int64") for c in ("dur_ms", "mp3_bytes")}
+            yield pd.DataFrame({"book_id": frame["book_id"], "item": frame["item"], **sizes, "call_error": found["call_error"]})
 
     return dealt.select("book_id", "item", "route", "key", "call", *LINE).mapInPandas(run, fields)
 

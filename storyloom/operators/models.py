@@ -64,6 +64,10 @@ def spoken(route: str, key: str) -> Call:
     return call
 
 
+class Unvoiced(Exception):
+    """A voice that no call can be made for."""
+
+
 def whole_sub_batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
     """Frames of whole sub-batches, and where these begin and end, of frames that are sorted by ``call`` and may end within
     one."""
@@ -80,11 +84,11 @@ def whole_sub_batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataF
 
 
 def called(plan: DataFrame, speech: Speech) -> DataFrame:
-    """(book_id, item, dur_ms, mp3_bytes, call_error) of planned items; see ``render.rendered``. What a task holds is one
+    """(book_id, batch, item, id, speaker, dur_ms, mp3_bytes, call_error) of planned items; see ``render.performed``. What a task holds is one
     sub-batch, which the plan bounds, and an Arrow batch of rows."""
     own = F.to_json(F.struct("book_id", "batch", "route", "key", "sub_no"), {"ignoreNullFields": "false"})
     dealt = plan.withColumn("call", own).repartition("route", "key", F.pmod(F.xxhash64("call"), F.lit(SPREAD))).sortWithinPartitions("route", "key", "call", "idx")
-    fields = T.StructType([plan.schema["book_id"], *T.StructType.fromDDL("item long, dur_ms long, mp3_bytes long, call_error string").fields])
+    fields = T.StructType([plan.schema["book_id"], *T.StructType.fromDDL("batch long, item long, id long, speaker string, dur_ms long, mp3_bytes long, call_error string").fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voice, call = None, None
@@ -94,6 +98,8 @@ def called(plan: DataFrame, speech: Speech) -> DataFrame:
             for begin, end in zip(edges, edges[1:], strict=False):
                 n = end - begin
                 try:
+                    if frame["route"].iat[begin] == "lora" and not frame["adapter"].iat[begin]:
+                        raise Unvoiced("No adapter")
                     if (mine := (frame["route"].iat[begin], frame["key"].iat[begin])) != voice:
                         voice, call = None, speech(*mine)
                         voice = mine
@@ -102,13 +108,14 @@ def called(plan: DataFrame, speech: Speech) -> DataFrame:
                         raise ValueError(f"{n} lines gave {0 if made is None else len(made)} results")
                     new = {c: [None if pd.isna(x) else int(x) for x in made[c]] for c in ("dur_ms", "mp3_bytes")} | {"call_error": [None] * n}
                 except Exception as e:  # a model may fail in any way
-                    new = {"dur_ms": [None] * n, "mp3_bytes": [None] * n, "call_error": [f"Batch error: {e}"] * n}
+                    error = str(e) if isinstance(e, Unvoiced) else f"Batch error: {e}"
+                    new = {"dur_ms": [None] * n, "mp3_bytes": [None] * n, "call_error": [error] * n}
                 for c, values in new.items():
                     found[c] += values
             sizes = {c: pd.array(found[c], dtype="Int64") for c in ("dur_ms", "mp3_bytes")}
-            yield pd.DataFrame({"book_id": frame["book_id"], "item": frame["item"], **sizes, "call_error": found["call_error"]})
+            yield frame[["book_id", "batch", "item", "id", "speaker"]].assign(**sizes, call_error=found["call_error"])
 
-    return dealt.select("book_id", "item", "route", "key", "call", *LINE).mapInPandas(run, fields)
+    return dealt.select("book_id", "batch", "item", "id", "route", "key", "call", *LINE).mapInPandas(run, fields)
 
 
 def answered(responses: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:

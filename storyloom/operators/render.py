@@ -104,10 +104,8 @@ def performed(plan: DataFrame, speech: Speech = spoken) -> DataFrame:
     each of its voices once. A call that raises, or gives another number of results, fails the items of its own sub-batch
     only. Items of an adapter voice without adapter fail before the model is called, audio without duration fails after.
     """
-    bad = (F.col("route") == "lora") & (T.text_of(F.col("adapter")) == "")
-    made = called(plan.filter(~bad), speech).withColumnRenamed("book_id", "b").withColumnRenamed("item", "i")
-    t = plan.join(made, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("item") == F.col("i")), "left")
-    error = F.when(bad, "No adapter").when(F.col("call_error").isNotNull(), F.col("call_error")).when(F.coalesce("dur_ms", F.lit(0)) == 0, "Audio has 0 duration")
+    t = called(plan, speech)
+    error = F.when(F.col("call_error").isNotNull(), F.col("call_error")).when(F.coalesce("dur_ms", F.lit(0)) == 0, "Audio has 0 duration")
     return t.select("book_id", "batch", "item", "id", "speaker", error.isNull().alias("ok"), error.alias("error"), "dur_ms", "mp3_bytes")
 
 

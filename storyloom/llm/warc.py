@@ -11,8 +11,11 @@ chain of records reaches; a magic inside a payload is never a successor on the c
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,9 @@ BREAK = GAP + MAGIC
 #: Bytes of payload planned for one file; a record is never split.
 FILE_BYTES = 8 << 20
 
+#: Broken archives that an error names.
+NAMED = 5
+
 #: Bytes of the cells by which the rows of a record with several rows are found.
 CELL = 1 << 16
 
@@ -243,15 +249,16 @@ def chain(table: pa.Table) -> pa.Table:
     return table.take(pa.array(order[on[:n]])).drop_columns(["entry"])
 
 
-def archive_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, range, value): what lies between two places where a record could begin, in order within a byte range."""
-    lines = spark.read.option("lineSep", BREAK.decode()).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path)
+def archive_rows(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(file, range, value): what lies between two places where a record could begin, in order within a byte range.
+    A compressed file that is damaged ends there, or is an error with ``whole``."""
+    lines = spark.read.option("lineSep", BREAK.decode()).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(not whole).lower()).text(path)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("value"))
 
 
-def placed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def placed(spark: SparkSession, path: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(candidates with places in their file, byte ranges with the place ``base`` of their first row and the file's size)."""
-    found = saved(archive_rows(spark, path).mapInArrow(candidates, CANDIDATE_DDL), "candidates")
+    found = saved(archive_rows(spark, path, whole).mapInArrow(candidates, CANDIDATE_DDL), "candidates")
     ranges = found.filter("at is null").select("file", "range", F.col("next").alias("bytes"))
     by = Window.partitionBy("file")
     base = F.sum("bytes").over(by.orderBy("range")) - F.col("bytes")
@@ -263,10 +270,13 @@ def placed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def entries(found: DataFrame) -> DataFrame:
     """(file, at): where the chain from offset 0 enters each byte range that has a record, by pointer jumping.
 
-    A jump leads from any candidate to where its chain leaves the range; jumps double in length in every round, so the
-    rounds grow with the logarithm of the ranges of a file.
+    A range can only be entered at offset 0 or where the chains of some range lead, so jumps are kept for these places
+    alone: a few for each range, however many candidates it has. A jump leads to where a chain leaves the range; jumps
+    double in length in every round, so the rounds grow with the logarithm of the ranges of a file.
     """
-    jumps = found.select("file", "at", F.col("exit").alias("to"))
+    begins = found.filter("at = 0").select("file", "at")
+    enterable = found.select("file", F.col("exit").alias("at")).unionByName(begins).distinct()
+    jumps = saved(found.select("file", "at", F.col("exit").alias("to")).join(enterable, ["file", "at"], "left_semi"), "jumps")
     spots = jumps.select("file", F.col("at").alias("to"))
     reach = saved(jumps.filter("at = 0").select("file", "at"), "reached")
     while True:
@@ -278,16 +288,16 @@ def entries(found: DataFrame) -> DataFrame:
         jumps = saved(jumps.join(jumps.select("file", F.col("at").alias("to"), F.col("to").alias("beyond")), ["file", "to"]).select("file", "at", F.col("beyond").alias("to")), "jumps")
 
 
-def chained(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def chained(spark: SparkSession, path: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records that the chains reach and that end as they should, byte ranges)."""
-    found, ranges = placed(spark, path)
+    found, ranges = placed(spark, path, whole)
     first = entries(found).withColumnRenamed("at", "entry")
     home = found.select("file", "range", F.col("at").alias("entry")).join(first, ["file", "entry"])
     reached = found.join(home, ["file", "range"]).groupBy("file", "range").applyInArrow(chain, CANDIDATE_DDL)
     starts = ranges.filter("base > 0").select("file", (F.col("base") - len(MAGIC)).alias("next"))
     ends = found.select("file", F.col("at").alias("next")).unionByName(starts).unionByName(ranges.select("file", F.col("size").alias("next"))).distinct()
-    whole = reached.filter("closed").unionByName(reached.filter("not closed").join(ends, ["file", "next"], "left_semi"))
-    return saved(whole, "records"), ranges
+    ended = reached.filter("closed").unionByName(reached.filter("not closed").join(ends, ["file", "next"], "left_semi"))
+    return saved(ended, "records"), ranges
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +335,14 @@ def facts_of_several(spark: SparkSession, path: str, ranges: DataFrame, several:
     return whole.mapInArrow(gathered, "file string, at long, body long, payload_bytes long, digest string, sound boolean")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def stops(found: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(file, at, size) of files whose chain of records stops, at ``at``, before their end."""
+    reached = found.groupBy("file").agg(F.max("next").alias("at"))
+    files = ranges.select("file", "size").distinct().join(reached, "file", "left")
+    return files.select("file", F.coalesce("at", F.lit(0)).cast("long").alias("at"), "size").filter("at <> size")
+
+
+def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """One row per record of the archives under ``path``: file, at, next, kind, id, refers_to, record_id, refers_to_id,
     payload_bytes, digest, sound, url, begin, end (the payload's bytes in the file).
 
@@ -334,10 +351,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     stored; those of a revisit are what its headers say. Plain files are read by byte ranges. Files whose names end in
     .gz, of one member or one for each record, are streamed, each by one task; their offsets are those of the
     decompressed bytes. A task holds one row at a time and the small rows of its range's candidates; a record that holds
-    what looks like the begin of others is put together by a shuffle. An archive that breaks off keeps its records up to
-    the break, see ``breaks``; an empty one has none.
+    what looks like the begin of others is put together by a shuffle. An archive that breaks off or is damaged keeps its
+    records up to there, see ``breaks``; with ``whole`` it is an error that names some of the files. An empty archive has
+    no records; a folder of empty ones gives an empty table.
     """
-    found, ranges = chained(spark, path)
+    found, ranges = chained(spark, path, whole)
+    if whole and (broken := stops(found, ranges).limit(NAMED).collect()):
+        raise ValueError("archives break off: " + ", ".join(f"{r.file} at {r['at']} of {r['size']}" for r in broken))
     several = found.filter("several")
     out = found.filter("not several")
     if not several.isEmpty():
@@ -347,17 +367,38 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("begin", F.col("begin") + F.col("body")).select(*RECORD)
 
 
+def not_empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The compressed files that hold anything or cannot be opened, from their contents; only the first byte is inflated."""
+    for batch in batches:
+        bad = []
+        for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            try:
+                if not gzip.open(io.BytesIO(data.as_buffer())).read(1):
+                    continue
+            except (OSError, EOFError, zlib.error):
+                pass
+            bad.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["file"])
+
+
 def breaks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, size) of the archives under ``path`` whose chain of records stops, at ``at``, before the file's end."""
+    """(file, at, size) of the archives under ``path`` whose chain of records stops, at ``at``, before the file's end.
+
+    ``size`` is what could be read, in bytes after decompression; null where a damaged file gave nothing at all, which is
+    found by listing the files and opening those without any row.
+    """
     found, ranges = chained(spark, path)
-    reached = found.groupBy("file").agg(F.max("next").alias("at"))
-    files = ranges.select("file", "size").distinct().join(reached, "file", "left")
-    return files.select("file", F.coalesce("at", F.lit(0)).cast("long").alias("at"), "size").filter("at <> size")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0")
+    silent = files.select(F.col("_metadata.file_path").alias("file"), "content").join(ranges.select("file").distinct(), "file", "left_anti")
+    unread = silent.mapInArrow(not_empty, "file string").select("file", F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("size"))
+    return stops(found, ranges).unionByName(unread)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back."""
+    """Writes ``pages`` to archives in the shared folder and reads them back, one row a page; archives that do not come
+    back whole are an error. An empty table gives an empty one; very long texts are records like any other, up to Spark's
+    2 GB for a value."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path, **columns)
-    return read(spark, path)
+    return read(spark, path, whole=True)

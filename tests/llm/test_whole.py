@@ -1,7 +1,12 @@
 """Whole jobs: no participant, document or record is left out because of its size, its key or its neighbours."""
 
+import gzip
+import itertools
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from storyloom.llm import chat, neardup, warc
 
 
@@ -106,3 +111,45 @@ def test_other_archives(spark, tmp_path):
     got = sorted((r["at"], r.kind, r.record_id, r.id, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}").collect())
     assert got == [(0, "warcinfo", "<urn:uuid:1-2>", None, 4), (len(old), "response", "<urn:uuid:3>", None, 3)]
     assert [(r["at"], r.size) for r in warc.breaks(spark, f"file://{tmp_path}").collect()] == [(len(old + odd), len(old + odd + broken + odd))]
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_a_damaged_archive_is_told(spark, tmp_path, n):
+    """Records in one compressed file whose middle is overwritten: the plain reading keeps what comes before, which is
+    nothing in a file that is read at once, the strict one and ``breaks`` tell; a whole and an empty file pass both."""
+    rng = random.Random(6)
+    record = lambda k: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 90\r\n\r\n%b\r\n\r\n" % (k, rng.randbytes(45).hex().encode())
+    packed = gzip.compress(b"".join(record(k) for k in range(n)))
+    (tmp_path / "whole.warc.gz").write_bytes(packed)
+    (tmp_path / "empty.warc.gz").write_bytes(gzip.compress(b""))
+    assert warc.read(spark, f"file://{tmp_path}", whole=True).count() == n
+    half = len(packed) // 2
+    (tmp_path / "damaged.warc.gz").write_bytes(packed[:half] + bytes(60) + packed[half + 60 :])
+    counts = {k: len(list(g)) for k, g in itertools.groupby(sorted(r.file.rsplit("/", 1)[1] for r in warc.read(spark, f"file://{tmp_path}").collect()))}
+    assert counts["whole.warc.gz"] == n and counts.get("damaged.warc.gz", 0) < n
+    assert [r.file.rsplit("/", 1)[1] for r in warc.breaks(spark, f"file://{tmp_path}").collect()] == ["damaged.warc.gz"]
+    with pytest.raises(Exception, match="damaged.warc.gz"):
+        warc.read(spark, f"file://{tmp_path}", whole=True).count()
+    (tmp_path / "damaged.warc.gz").write_bytes(gzip.compress(gzip.decompress(packed)[:-9]))
+    with pytest.raises(ValueError, match="damaged.warc.gz"):
+        warc.read(spark, f"file://{tmp_path}", whole=True)
+
+
+def test_jumps_are_kept_for_entered_places_alone(spark, tmp_path, monkeypatch):
+    """Payloads full of whole records: candidates are many, places where a chain leaves a byte range are few."""
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(i, "u", inner * 40) for i in range(60)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("html", F.concat("html", F.col("page_id").cast("string"))).coalesce(1), f"file://{tmp_path}/one", file_bytes=1 << 30, compression="none")
+    kept = {}
+    true_saved = warc.saved
+    monkeypatch.setattr(warc, "saved", lambda df, label: kept.setdefault((label, len(kept)), true_saved(df, label)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        assert sorted(r.id for r in warc.read(spark, f"file://{tmp_path}/one").collect()) == list(range(60))
+        rows_of = lambda name: [t.count() for (label, _), t in kept.items() if label == name]
+        assert rows_of("candidates")[0] > 2000 and rows_of("ranges")[0] >= 8
+        assert max(rows_of("jumps")) <= 3 * rows_of("ranges")[0] + 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -22,6 +22,15 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
 ROUNDS = 30
+
+#: Languages that are tried at a time, and the margin of bounds for the rounding of sums.
+STEP = 32
+SLACK = 1e-9
+
+#: Likelihoods of one document that are held while it is worked on; of more, those of STEP languages are made again when
+#: they are asked for, with the same results.
+HELD = 1 << 20
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -88,25 +97,30 @@ def has_letter(text: str | None) -> bool:
     return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
 
 
+def log_row(table: pa.Table) -> pa.Table:
+    """One language's log probabilities of all buckets, as the bytes of float32 values, from its counts."""
+    counts = np.full(BUCKETS, SMOOTHING)
+    counts[table.column("bucket").to_numpy()] += table.column("n").to_numpy()
+    return pa.table({"lang": table.column("lang")[:1], "logp": pa.array([np.log(counts / counts.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
 def learn(labelled: DataFrame, lang_col: str, text_col: str, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages in order, log probabilities [language, bucket]) from all rows of ``labelled`` with both values.
 
-    Counts are added up per task before the shuffle; at most max_languages * BUCKETS sums come to the driver. More
-    labels than ``max_languages`` are an error, as leaving out some would give their texts a wrong language.
+    Counts are added up per task before the shuffle, and one task a language makes its row of the table from at most
+    BUCKETS sums; the driver gets these rows, 128 KB each, as bytes. More labels than ``max_languages`` are an error, as
+    leaving out some would give their texts a wrong language.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
     langs = sorted(r.lang for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
     if len(langs) > max_languages:
         raise ValueError(f"more than {max_languages} languages are labelled; raise max_languages, at 128 KB of memory each")
-    if not langs:
-        return [], np.zeros((0, BUCKETS), np.float32)
+    logp = np.full((len(langs), BUCKETS), -np.log(BUCKETS), np.float32)
     counts = rows.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((len(langs), BUCKETS), SMOOTHING)
-    got = counts.toArrow()
     place = {x: k for k, x in enumerate(langs)}
-    where = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
-    np.add.at(table, (where, got.column("bucket").to_numpy().astype(np.int64)), got.column("n").to_numpy())
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    for r in counts.groupBy("lang").applyInArrow(log_row, "lang string, logp binary").collect() if langs else []:
+        logp[place[r.lang]] = np.frombuffer(r.logp, np.float32)
+    return langs, logp
 
 
 def proportions(likely: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -123,23 +137,52 @@ def proportions(likely: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, fl
     return share, float(weights @ np.log(likely @ share))
 
 
+def best_addition(likely, weights: np.ndarray, now: np.ndarray, ratio: np.ndarray, rest: np.ndarray) -> int:
+    """The language of ``rest`` that adds most to the mean log likelihood when a tenth of the document is given to it.
+
+    As log(1 + x) <= x, a language adds at most a ninth of its ``ratio``, the mean of its likelihood over that of the
+    mixture ``now``. Languages are tried by descending ratio, STEP at a time, until none that is left can add as much.
+    """
+    order = rest[np.argsort(-ratio[rest], kind="stable")]
+    most, found = -np.inf, []
+    base = float(weights @ np.log(0.9 * now))
+    for k in range(0, len(order), STEP):
+        tried = order[k : k + STEP]
+        if base + ratio[tried[0]] / 9 < most - SLACK:
+            break
+        gains = weights @ np.log(0.9 * now[:, None] + 0.1 * likely(tried))
+        found += zip((-gains).tolist(), tried.tolist(), strict=True)
+        most = max(most, float(gains.max()))
+    return min(found)[1]
+
+
 def mixture(buckets: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """(set of languages, proportions) of one document by penalised likelihood, grown greedily from the best language."""
+    """(set of languages, proportions) of one document by penalised likelihood, grown greedily from the best language.
+
+    The mean log likelihood is concave in the proportions, so no proportions over the chosen languages and one more can
+    raise it by more than the largest of their ratios less one (see ``best_addition``). Where that is within the penalty
+    the search ends without trying any. Memory grows with the distinct n-grams times STEP, not times the languages.
+    """
     spots, n = np.unique(buckets, return_counts=True)
     total = n.sum()
     weights = n / total
-    table = logp[:, spots].T.astype(np.float64)
-    single = weights @ table
-    table = np.exp(table - table.max(axis=1, keepdims=True))
+    sub = logp[:, spots]
+    top = sub.max(axis=0).astype(np.float64)
+    blocks = [np.arange(k, min(k + STEP, len(sub))) for k in range(0, len(sub), STEP)]
+    made = lambda ks: np.exp(sub[ks].astype(np.float64) - top).T
+    table = made(np.arange(len(sub))) if sub.size <= HELD else None
+    likely = made if table is None else lambda ks: table[:, ks]
+    single = np.concatenate([sub[ks].astype(np.float64) @ weights for ks in blocks])
     chosen = [int(single.argmax())]
-    share, best = proportions(table[:, chosen], weights)
+    share, best = proportions(likely(chosen), weights)
     penalty = 0.5 * np.log(total) / total
-    while len(chosen) < logp.shape[0]:
-        rest = [k for k in range(logp.shape[0]) if k not in chosen]
-        now = (table[:, chosen] * share).sum(axis=1)
-        gains = [float(weights @ np.log(0.9 * now + 0.1 * table[:, k])) for k in rest]
-        k = rest[int(np.argmax(gains))]
-        new_share, value = proportions(table[:, [*chosen, k]], weights)
+    while len(chosen) < len(sub):
+        now = likely(chosen) @ share
+        ratio = np.concatenate([(weights / now) @ likely(ks) for ks in blocks])
+        if ratio.max() - 1 <= penalty - SLACK:
+            break
+        k = best_addition(likely, weights, now, ratio, np.setdiff1d(np.arange(len(sub)), chosen))
+        new_share, value = proportions(likely([*chosen, k]), weights)
         if value - best <= penalty:
             break
         chosen, share, best = [*chosen, k], new_share, value
@@ -170,7 +213,8 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
     Learns from ``labelled``, whose labels are ``max_languages`` at most. A text that is null or has no letter is ``und``
     with score 0, as is every text if nothing was learned; any other text gets a learned language, however short it is.
-    Null ids stay null, repeated rows give equal results, other columns are not read.
+    Null ids stay null, repeated rows give equal results, other columns are not read; empty tables give empty ones. Very
+    long texts count whole; their n-grams are made a piece at a time and held together, eight bytes each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, lang_col, text_col, max_languages))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _written: list[str] = []
+_block: ContextVar[list[str]] = ContextVar("block", default=_written)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,18 +30,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _block.get().append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> int:
+    """Deletes the folders in ``paths``, takes them from the list, and gives their number."""
+    n = len(paths)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def remove_written(spark: SparkSession) -> int:
     """Deletes all that this process wrote to the shared folder so far, and gives the number of tables. To be called once
     the results that read them are stored."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return remove(spark, _written)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What this thread writes to the shared folder in the block is deleted when the block ends, also by an error; results
+    that read it have to be stored within. Blocks may be nested."""
+    mine: list[str] = []
+    outer = _block.set(mine)
+    try:
+        yield
+    finally:
+        _block.reset(outer)
+        remove(spark, mine)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

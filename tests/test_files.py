@@ -5,9 +5,10 @@ import os
 import wave
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from storyloom.sources import archives, audio, files
+from storyloom.sources import archives, audio, files, scratch
 
 
 def test_archives_round_trip(spark, tmp_path):
@@ -83,3 +84,19 @@ def test_prompt_files_of_other_than_two_parts(spark):
         assert "exactly two parts" in str(e)
     else:
         raise AssertionError("no error")
+
+
+def test_tables_of_a_block_are_deleted_with_it(spark):
+    rows = spark.range(3)
+    outside = scratch.saved(rows, "outside")
+    with pytest.raises(RuntimeError), scratch.temporary(spark):
+        scratch.saved(rows, "one")
+        with scratch.temporary(spark):
+            scratch.saved(rows, "inner")
+        kept = scratch.new_path(spark, "two")
+        rows.write.parquet(kept)
+        assert scratch.exists(spark, kept)
+        raise RuntimeError
+    assert not scratch.exists(spark, kept) and outside.count() == 3
+    left = os.listdir(scratch.shared_dir(spark).removeprefix("file://"))
+    assert not [x for x in left if x.startswith(("one-", "inner-", "two-"))]

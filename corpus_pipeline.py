@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontam, hilbert, mixing, neardup, oracle, quality
-from storyloom.llm.shared import saved
+from storyloom.sources.scratch import exists, new_path, temporary
 
 #: Share of the entropy of equal source weights that the mixture has at least.
 ENTROPY = 0.9
@@ -64,9 +64,20 @@ STAGES = [
 ORACLE_SQL = oracle.pipeline(ENTROPY, PERCENT)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over the documents of ``sf_dir``.
+
+    The rows of every stage but the last are kept in ``folder``, by default a new one in the shared folder; what a stage
+    wrote besides is deleted once its rows are stored. A run that is given the folder of one that broke off takes the
+    stages that were finished from there, so a folder belongs to one ``sf_dir`` and one form of the stages. The result
+    reads tables in the shared folder, which ``scratch.remove_written`` deletes when it is stored.
+    """
+    folder = folder or new_path(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k}-{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            with temporary(spark):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

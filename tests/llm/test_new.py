@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from storyloom.llm import codes, exact, neardup, search
+from storyloom.llm import codes, exact, neardup, search, shared
 from tests.llm.test_operators import CLASH, corpus
 
 MORE = ("first_id", "first_k", "__text_key", "i", "j", "k", "h", "bits", "may", "place", "best", "item", "term", "tf", "bucket", "score", "v", "x", "label", "code", "other")
@@ -206,3 +207,37 @@ def test_columns_of_any_name_go_through_the_pipeline(spark, tmp_path):
             assert docs.columns == before.columns
     extra = [c for c in before.columns if c not in corpus_pipeline.COLUMNS]
     assert docs.select("other.*").columns == extra and set(docs.select("other.first_id").distinct().collect()) == {(7,)}
+
+
+def test_a_pipeline_goes_on_after_its_last_finished_stage(spark, tmp_path, monkeypatch):
+    """Broken off in the third stage: finished stages are not made again, the rows are those of a whole run, and nothing
+    but the stages' rows is left."""
+    rng = random.Random(8)
+    words = "the of and a to in is that it was for on are as with river stone lamp winter paper".split()
+    text = lambda: " ".join(rng.choice(words) + str(rng.randrange(60)) * (k % 3 == 0) for k in range(120)) + "."
+    rows = [(i, text(), "en", f"s{i % 3}", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q", rows[3][1])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared_folder = shared.shared_dir(spark).removeprefix("file://")
+    want = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    calls, stages = [], list(corpus_pipeline.STAGES)
+
+    def counting(name, stage, fails):
+        def call(*args):
+            calls.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return stage(*args)
+
+        return name, call
+
+    folder = f"file://{tmp_path}/stages"
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counting(n, f, n == "decontamination") for n, f in stages])
+    before = set(os.listdir(shared_folder))
+    with pytest.raises(RuntimeError, match="decontamination"):
+        corpus_pipeline.run(spark, str(tmp_path), folder)
+    assert set(os.listdir(shared_folder)) == before
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counting(n, f, False) for n, f in stages])
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path), folder).collect())) == want
+    assert len(want) > 20
+    assert calls == ["quality_rules", "near_duplicates", "decontamination", "decontamination", "source_mixing", "sharding"]

@@ -2,12 +2,15 @@
 
 Within a book edits follow one another, as each counts places in the list that the ones before left. So a book's edits
 are replayed in one task, over the places, speakers and edited fields only; texts of the chunks stay where they are and
-are joined to the final places. The list is held in blocks, so an edit costs about the square root of its length.
+are joined to the final places. A task goes through the sorted rows of its books as a stream and holds one book. The list
+is held in blocks, so an edit costs about the square root of its length.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +21,11 @@ from storyloom.operators.chunks import COLUMNS, FIELDS
 OPS = ("insert", "delete", "restore", "update", "undo")
 BLOCK = 1024
 
+#: Rows that are given on at once.
+ROWS = 4096
+
 FINAL = "id long, origin long, speaker string, has_text boolean, text string, has_instruct boolean, instruct string, has_status boolean, has_audio boolean, status string, audio_path string"
+ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 class Places:
@@ -100,6 +107,43 @@ def replay(elements: list[Element], edits: list[dict]) -> list[Element]:
     return list(places)
 
 
+def final_row(book, place: int, x: Element) -> tuple:
+    v = x.values
+    return book, place, x.origin, v["speaker"], "text" in v, v.get("text"), "instruct" in v, v.get("instruct"), "status" in v, "audio_path" in v, v.get("status"), v.get("audio_path")
+
+
+def replays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The final places of books, of rows that are sorted by book: first its chunks (kind 0), then its edits (kind 1)."""
+    kinds, begun, book, start, steps, out = None, False, None, [], [], []
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def finished() -> Iterator[pa.RecordBatch]:
+        for i, x in enumerate(replay(start, steps) if begun else ()):
+            out.append(final_row(book, i, x))
+            if len(out) == ROWS:
+                yield given(out)
+                out.clear()
+
+    for batch in batches:
+        if kinds is None:
+            kinds = pa.schema([batch.schema.field("book_id"), *[(name, ARROW[kind]) for name, kind in map(str.split, FINAL.split(","))]])
+        names = batch.schema.names
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            e = dict(zip(names, row, strict=True))
+            if not begun or e["book_id"] != book:
+                yield from finished()
+                begun, book, start, steps = True, e["book_id"], [], []
+            if e["kind"]:
+                steps.append(e)
+            else:
+                start.append(Element(e["id"], e["speaker"]))
+    yield from finished()
+    if out:
+        yield given(out)
+
+
 def replayed(chunks: DataFrame, log: DataFrame) -> DataFrame:
     """The chunk lists after all edits of a ``log``, in the order of ``seq`` within each book.
 
@@ -116,24 +160,11 @@ def replayed(chunks: DataFrame, log: DataFrame) -> DataFrame:
     told = log.select("book_id", "seq", "op", F.col("at").cast("long").alias("at"), *COLUMNS[2:], *[c(f) for f in FIELDS for c in (given, value)])
     books = log.select(F.col("book_id").alias("b")).distinct()
     edited = chunks.join(books, same, "left_semi")
-    fields = T.StructType([chunks.schema["book_id"], *T.StructType.fromDDL(FINAL).fields])
-    plain = lambda v: None if v is None or v is pd.NA or v != v else v
-
-    def run(key: tuple, there: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
-        there = there.sort_values("id")
-        start = [Element(int(i), plain(s)) for i, s in zip(there["id"], there["speaker"], strict=True)]
-        steps = [{k: plain(v) for k, v in e.items()} for e in edits.sort_values(["seq", "at"]).to_dict("records")]
-        for e in steps:
-            e["at"] = None if e["at"] is None else int(e["at"])
-        rows = []
-        for i, x in enumerate(replay(start, steps)):
-            v = x.values
-            rows.append((plain(key[0]), i, x.origin, v["speaker"], "text" in v, v.get("text"), "instruct" in v, v.get("instruct"), "status" in v, "audio_path" in v, v.get("status"), v.get("audio_path")))
-        out = pd.DataFrame(rows, columns=[f.name for f in fields])
-        return out.astype({"origin": "Int64", "id": "int64", fields[0].name: "Int64" if isinstance(fields[0].dataType, T.LongType) else object})
-
-    slim = edited.select("book_id", "id", "speaker")
-    final = slim.groupBy("book_id").cogroup(told.groupBy("book_id")).applyInPandas(run, fields)
+    slim = edited.select("book_id", F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), "speaker")
+    both = slim.unionByName(told.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition("book_id").sortWithinPartitions("book_id", "kind", "id", F.asc_nulls_last("seq"), F.asc_nulls_last("at")).drop("seq")
+    fields = T.StructType([dealt.schema["book_id"], *T.StructType.fromDDL(FINAL).fields])
+    final = dealt.mapInArrow(replays, fields)
     old = edited.select(F.col("book_id").alias("b"), F.col("id").alias("i"), F.struct(*COLUMNS[2:]).alias("old"))
     t = final.join(old, same & (F.col("origin") == F.col("i")), "left")
     pick = lambda flag, c: F.when(F.col(flag), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c)

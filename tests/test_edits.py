@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -82,3 +83,18 @@ def test_empty(spark):
     none, log = spark.createDataFrame([], CHUNK), spark.createDataFrame([], LOG)
     rows = spark.createDataFrame([(1, 0, "A", "t", "", "done", None)], CHUNK)
     assert edits.replayed(none, log).count() == 0 and list(map(tuple, edits.replayed(rows, log).collect())) == list(map(tuple, rows.collect()))
+
+
+def test_books_are_a_stream_of_rows(spark, monkeypatch):
+    rows, log = spark.createDataFrame([(1, 0, "A", "t", "", "done", None)], CHUNK), spark.createDataFrame([], LOG)
+    assert "CoGroups" not in edits.replayed(rows, log)._jdf.queryExecution().toString()
+    monkeypatch.setattr(edits, "ROWS", 3)
+    kinds = pa.schema([("book_id", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("speaker", pa.string()), ("op", pa.string()), ("at", pa.int64())])
+    there = [(b, 0, i, f"S{i}", None, None) for b, n in ((None, 4), (1, 1), (2, 7)) for i in range(n)]
+    told = sorted([*there, (2, 1, None, None, "delete", 5), (2, 1, None, None, "insert", 0)], key=lambda r: (r[0] or 0, r[1]))
+    made = lambda part: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
+    got = list(edits.replays(iter([made(told[:6]), made(told[6:9]), made(told[9:])])))
+    assert [len(b) for b in got] == [3, 3, 3, 3]
+    flat = [(r["book_id"], r["id"], r["origin"], r["speaker"]) for b in got for r in b.to_pylist()]
+    left = [(0, "S0"), (None, "S0"), *[(i, f"S{i}") for i in (1, 2, 3, 4, 6)]]
+    assert flat == [(None, i, i, f"S{i}") for i in range(4)] + [(1, 0, 0, "S0")] + [(2, i, *x) for i, x in enumerate(left)]

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 
-from storyloom.operators import render
+from storyloom.operators import models, render
 from storyloom.streaming import progress, ring
 from storyloom.streaming.render_jobs import REQUEST, RenderJob
 
@@ -139,3 +139,31 @@ def test_the_ring_with_a_time_to_live(spark, tmp_path):
     (source / "1.json").write_text(json.dumps({"task": "a", "seq": 2, "line": "y"}))
     ring.run_tails(spark, str(source), f"{sink}-check", sink, kept=2, ttl_ms=1).awaitTermination()
     assert shown(spark, sink) == {"a": (1, [(2, "y")])}
+
+
+def test_calls_of_lists_and_of_frames_are_alike(table, config, spark):
+    asked = spark.createDataFrame([(b, k, i) for b in (1, 2) for k, i in enumerate([5, 9, 8, 7, 1, 12, 14])], REQUEST)
+    plan = render.render_plan(table, asked, config, 3)
+
+    def lists(route, key):
+        @models.by_lists
+        def call(lines):
+            assert set(map(type, lines.values())) == {list}
+            n = [len(t) for t in lines["text"]]
+            if 8 in n:
+                raise RuntimeError("eight")
+            return {"dur_ms": [x * 60 for x in n], "mp3_bytes": [2000 if x != 15 else None for x in n][: len(n) - (9 in n)]}
+
+        return call
+
+    def frames(route, key):
+        def call(lines):
+            n = lines["text"].str.len()
+            if (n == 8).any():
+                raise RuntimeError("eight")
+            return pd.DataFrame({"dur_ms": n * 60, "mp3_bytes": pd.Series(2000, index=n.index).where(n != 15)})[: len(n) - (n == 9).any()]
+
+        return call
+
+    a, b = ({(r.book_id, r.item): tuple(r) for r in render.performed(plan, m).collect()} for m in (lists, frames))
+    assert a == b and {r[6] is None for r in a.values()} == {True, False} and any("results" in (r[6] or "") for r in a.values())

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from storyloom.functions import text as T
 from storyloom.operators import chunks, fold, timeline, voices
-from storyloom.operators.models import Speech, called, spoken
+from storyloom.operators.models import LINE, Speech, called, spoken
 
 MIN_SIZE, RATIO, MAX_CHARS = 4, 5.0, 3000
 NEW_TOKENS = 2048
@@ -20,13 +20,14 @@ def item_limit(estimate: Column, manual: Column) -> Column:
     return F.least(F.nullif(estimate, F.lit(0)), F.nullif(manual, F.lit(0)))
 
 
-def sub_batches(chunks: DataFrame, *by: str, min_size: int = MIN_SIZE, ratio: float = RATIO, max_chars: int = MAX_CHARS, max_items: int | None = None, enabled: bool = True) -> DataFrame:
-    """Chunks (``by``..., id, text) in order of length, cut into sub-batches: ``sub_no`` and ``idx`` in the sorted batch.
+def sub_batches(chunks: DataFrame, *by: str, min_size: int = MIN_SIZE, ratio: float = RATIO, max_chars: int = MAX_CHARS, max_items: int | None = None, enabled: bool = True, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks (``by``..., id, text) in order of length, cut into sub-batches: ``sub_no`` and ``idx`` in the sorted batch,
+    with the columns that are to stay ``beside`` them.
 
     A chunk opens a new sub-batch when the open one has ``max_items``, or would exceed ``max_chars``, or has
     ``min_size`` and the chunk is more than ``ratio`` times as long as its first. Batches are of bounded size.
     """
-    item = F.struct(F.length(F.coalesce("text", F.lit(""))).alias("n"), "id")
+    item = F.struct(F.length(F.coalesce("text", F.lit(""))).alias("n"), "id", *[F.col(c).alias(f"_{c}") for c in beside])
     arrays = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     sizes = F.transform("items", lambda x: x["n"])
 
@@ -37,7 +38,7 @@ def sub_batches(chunks: DataFrame, *by: str, min_size: int = MIN_SIZE, ratio: fl
     starts = fold.group_starts(sizes, begins, lambda total, x: total + x, lambda x: x) if enabled else F.array(F.lit(0))
     cut = arrays.select(*by, "items", starts.alias("starts"))
     parts = cut.select(*by, F.posexplode(fold.groups(F.col("items"), F.col("starts"))).alias("sub_no", "g"))
-    return parts.select(*by, "sub_no", F.posexplode("g").alias("idx", "x")).select(*by, "sub_no", "idx", "x.id", F.col("x.n").alias("n_chars"))
+    return parts.select(*by, "sub_no", F.posexplode("g").alias("idx", "x")).select(*by, "sub_no", "idx", "x.id", F.col("x.n").alias("n_chars"), *[F.col(f"x._{c}").alias(c) for c in beside])
 
 
 def sub_batch_figures(plan: DataFrame, *by: str) -> DataFrame:
@@ -87,13 +88,12 @@ def render_plan(table: DataFrame, requests: DataFrame, config: DataFrame, batch_
     apart = F.when(F.col("route") == "design", F.concat(F.col("key"), F.lit(":"), F.col("place").cast("string"))).otherwise(F.col("key"))
     placed = placed.withColumn("batch", F.expr(f"place div {batch_size}")).withColumn("item", F.col("place").cast("long")).withColumn("key", apart)
     by = ("book_id", "batch", "route", "key")
-    plan = sub_batches(placed.select(*by, F.col("item").alias("id"), "text"), *by, **limits).select("book_id", F.col("id").alias("item"), "sub_no", "idx", "n_chars")
     style = F.when(F.col("route") == "lora", voices.lora_instruct(F.col("instruct"), of("character_style"), of("default_style")))
     style = style.when(F.col("route") == "design", voices.design_description(of("description"), F.col("instruct")))
     style = style.when(F.col("route") == "custom", voices.batch_instruct(F.col("instruct"), of("character_style"), of("default_style")))
-    told = placed.select(*by, "item", "id", "speaker", "text", style.alias("instruct"), of("voice").alias("voice"), of("adapter_id").alias("adapter"))
-    where = plan.select(F.col("book_id").alias("b"), F.col("item").alias("i"), "sub_no", "idx", "n_chars")
-    return told.join(where, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("item") == F.col("i"))).drop("b", "i")
+    told = placed.select(*by, F.col("item").alias("id"), F.col("id").alias("chunk"), "speaker", "text", style.alias("instruct"), of("voice").alias("voice"), of("adapter_id").alias("adapter"))
+    plan = sub_batches(told, *by, **limits, beside=("chunk", *LINE))
+    return plan.select(*by, F.col("id").alias("item"), F.col("chunk").alias("id"), "speaker", "text", "instruct", "voice", "adapter", "sub_no", "idx", "n_chars")
 
 
 def performed(plan: DataFrame, speech: Speech = spoken) -> DataFrame:

@@ -167,3 +167,9 @@ def test_calls_of_lists_and_of_frames_are_alike(table, config, spark):
 
     a, b = ({(r.book_id, r.item): tuple(r) for r in render.performed(plan, m).collect()} for m in (lists, frames))
     assert a == b and {r[6] is None for r in a.values()} == {True, False} and any("results" in (r[6] or "") for r in a.values())
+
+
+def test_a_plan_reads_the_chunks_once(spark, table, config):
+    asked = spark.createDataFrame([(1, 0, 1)], REQUEST)
+    plan = render.render_plan(table, asked, config, 3, by_voice=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2

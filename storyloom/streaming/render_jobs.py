@@ -1,6 +1,6 @@
 """Rendering as a stream: a log of requests is read batch after batch, and every batch leaves statuses in another log.
 
-A batch marks its chunks, calls the speech model, reads the chunks again and writes what became of them. Each step is a
+A batch plans its calls, marks its chunks, calls the speech model, reads the chunks again and writes what became of them. Each step is a
 table of its own in a folder that has the number of the batch, and is not made again once it is whole; so a batch that is
 repeated after a failure goes on where it stopped, and no line that a finished step has rendered is rendered twice.
 """
@@ -21,6 +21,7 @@ from storyloom.operators.models import Speech, spoken
 from storyloom.sources.scratch import exists
 
 REQUEST = "book_id long, req_pos long, id long"
+PLAN = "book_id long, batch long, route string, key string, item long, id long, speaker string, text string, instruct string, voice string, adapter string, sub_no int, idx int"
 STATUS = "book_id long, id long, item long, status string, audio_path string, error string"
 RESULT = "book_id long, batch long, item long, id long, speaker string, ok boolean, error string, dur_ms long, mp3_bytes long"
 
@@ -58,18 +59,20 @@ class RenderJob:
         """All steps of one batch of requests (book_id, req_pos, id)."""
         nothing = F.lit(None).cast("string")
 
+        def plan() -> DataFrame:
+            return render.render_plan(self.table(), requests, self.config(), self.batch_size, self.by_voice, **self.limits)
+
         def mark() -> DataFrame:
-            plan = render.render_plan(self.table(), requests, self.config(), self.batch_size, self.by_voice, **self.limits)
-            return plan.select("book_id", "id", "item", F.lit("generating").alias("status"), nothing.alias("audio_path"), nothing.alias("error"))
+            return planned.select("book_id", "id", "item", F.lit("generating").alias("status"), nothing.alias("audio_path"), nothing.alias("error"))
 
         def perform() -> DataFrame:
-            plan = render.render_plan(self.table(), requests, self.config(), self.batch_size, self.by_voice, **self.limits)
-            return render.performed(plan, self.speech)
+            return render.performed(planned, self.speech)
 
         def finish() -> DataFrame:
             end = render.settled(results, self.after())
             return end.select("book_id", "id", "item", F.when(F.col("ok"), "done").otherwise("error").alias("status"), "audio_path", "error")
 
+        planned = self.once("planned", number, PLAN, plan)
         self.once(MARKED, number, STATUS, mark)
         results = self.once("results", number, RESULT, perform)
         self.once(FINISHED, number, STATUS, finish)

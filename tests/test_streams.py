@@ -173,3 +173,10 @@ def test_a_plan_reads_the_chunks_once(spark, table, config):
     asked = spark.createDataFrame([(1, 0, 1)], REQUEST)
     plan = render.render_plan(table, asked, config, 3, by_voice=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+def test_a_batch_is_planned_once(spark, table, config, tmp_path, monkeypatch):
+    plans, plan = [], render.render_plan
+    monkeypatch.setattr(render, "render_plan", lambda *a, **b: plans.append(1) or plan(*a, **b))
+    RenderJob(spark, f"file://{tmp_path}/log", lambda: table, lambda: config).handle(spark.createDataFrame([(1, 0, 1)], REQUEST), 0)
+    assert len(plans) == 1

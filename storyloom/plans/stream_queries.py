@@ -12,16 +12,20 @@ from storyloom.streaming import ring
 from storyloom.streaming.render_jobs import RenderJob
 
 
+#: Batches of requests, and files of each: a task writes one of these.
+BATCHES, FILES = 3, 16
+
+
 def render_job(spark, sf):
-    """Requests of all books through the stream, three files, one a batch. After the first reading of the chunks, every
+    """Requests of all books through the stream in three batches, books whole in a file. After the first reading of the chunks, every
     fourth book has lost those from place 20 on."""
     config, want = project_queries.render_requests(spark, sf)
     requests, log = new_path(spark, "requests"), new_path(spark, "render-log")
-    want.repartition(3, "book_id").write.json(requests)
+    want.repartition(BATCHES * FILES, "book_id").write.json(requests)
     before = saved(tables.listed(spark, sf), "chunks")
     after = before.filter("NOT (book_id % 4 = 0 AND id >= 20)")
     job = RenderJob(spark, log, lambda: before, lambda: config, tables.faulty_speech, 12, True, {"max_items": 5}, reload=lambda: after)
-    job.start(requests, f"{log}/checkpoint").awaitTermination()
+    job.start(requests, f"{log}/checkpoint", FILES).awaitTermination()
     return job
 
 

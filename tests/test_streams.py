@@ -7,8 +7,11 @@ from collections import defaultdict
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from storyloom.operators import models, render
+from storyloom.plans import stream_queries
+from storyloom.sources import scratch
 from storyloom.streaming import progress, ring
 from storyloom.streaming.render_jobs import REQUEST, RenderJob
 
@@ -180,3 +183,12 @@ def test_a_batch_is_planned_once(spark, table, config, tmp_path, monkeypatch):
     monkeypatch.setattr(render, "render_plan", lambda *a, **b: plans.append(1) or plan(*a, **b))
     RenderJob(spark, f"file://{tmp_path}/log", lambda: table, lambda: config).handle(spark.createDataFrame([(1, 0, 1)], REQUEST), 0)
     assert len(plans) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_requests_of_a_batch_are_many_files(spark):
+    job = stream_queries.render_job(spark, "/root/testdata/sf0.001")
+    path = next(p for p in reversed(scratch._written) if "/requests-" in p)
+    files = spark.read.schema(REQUEST).json(path).select("book_id", F.input_file_name().alias("f")).distinct()
+    assert files.select("f").distinct().count() > 3 * stream_queries.BATCHES and files.groupBy("book_id").count().filter("count > 1").count() == 0
+    assert job.statuses().select("number").distinct().count() == stream_queries.BATCHES

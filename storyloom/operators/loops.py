@@ -31,6 +31,9 @@ LanguageModel = Callable[[str, int], str]
 #: Part numbers of one job. Fewer lose less when a run is broken off, more need fewer jobs.
 EVERY = 64
 
+#: Parts that a task turns into Python's own values, and gives on, at once. An Arrow batch has up to thousands.
+ROWS = 32
+
 ENTRIES = "array<struct<speaker:string,text:string,instruct:string>>"
 STATE = f"struct<names:array<string>,tail:{ENTRIES}>"
 MADE = f"prompt string, attempt int, outcome string, entries {ENTRIES}"
@@ -115,26 +118,27 @@ class Review:
         return F.slice(last, F.greatest(F.lit(1), F.size(last) - (SHOWN_IN_REVIEW - 1)), F.lit(SHOWN_IN_REVIEW))
 
 
+def stepped(batches: Iterator[pa.RecordBatch], plan: Generation | Review) -> Iterator[pa.RecordBatch]:
+    """What the model makes of rows that are sorted by book and part; no more than ROWS of them are held at a time."""
+    started, book, names, tail = False, None, set(), []
+    for batch in (whole.slice(begin, ROWS) for whole in batches for begin in range(0, whole.num_rows, ROWS)):
+        kind = pa.schema([("book_id", batch.schema.field("book_id").type), ("no", pa.int64()), ("prompt", pa.string()), ("attempt", pa.int32()), ("outcome", pa.string()), ("entries", ENTRY_TYPE)])
+        out = []
+        for row in batch.to_pylist():
+            if not started or row["book_id"] != book:
+                state = row["state"] or {}
+                started, book, names, tail = True, row["book_id"], set(state.get("names") or ()), list(state.get("tail") or ())
+            prompt, attempt, outcome, entries, tail = plan.step(row, names, tail)
+            names |= {e["speaker"] for e in entries if e["speaker"] and e["speaker"] != NARRATOR}
+            out.append({"book_id": book, "no": row["no"], "prompt": prompt, "attempt": attempt, "outcome": outcome, "entries": entries})
+        yield pa.RecordBatch.from_pylist(out, kind)
+
+
 def walked(rows: DataFrame, plan: Generation | Review) -> DataFrame:
     """(book_id, no, prompt, attempt, outcome, entries) of rows (book_id, no, ``state`` in a book's first, payload)."""
     dealt = rows.repartition("book_id").sortWithinPartitions("book_id", "no").select("book_id", "no", "state", *plan.payload)
     fields = T.StructType([dealt.schema["book_id"], T.StructField("no", T.LongType()), *T.StructType.fromDDL(MADE).fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, book, names, tail = False, None, set(), []
-        for batch in batches:
-            kind = pa.schema([("book_id", batch.schema.field("book_id").type), ("no", pa.int64()), ("prompt", pa.string()), ("attempt", pa.int32()), ("outcome", pa.string()), ("entries", ENTRY_TYPE)])
-            out = []
-            for row in batch.to_pylist():
-                if not started or row["book_id"] != book:
-                    state = row["state"] or {}
-                    started, book, names, tail = True, row["book_id"], set(state.get("names") or ()), list(state.get("tail") or ())
-                prompt, attempt, outcome, entries, tail = plan.step(row, names, tail)
-                names |= {e["speaker"] for e in entries if e["speaker"] and e["speaker"] != NARRATOR}
-                out.append({"book_id": book, "no": row["no"], "prompt": prompt, "attempt": attempt, "outcome": outcome, "entries": entries})
-            yield pa.RecordBatch.from_pylist(out, kind)
-
-    return dealt.mapInArrow(run, fields)
+    return dealt.mapInArrow(lambda batches: stepped(batches, plan), fields)
 
 
 def next_state(state: DataFrame, made: DataFrame, plan: Generation | Review) -> DataFrame:

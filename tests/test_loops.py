@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,17 @@ def test_responses_are_read_alike_in_a_task_and_as_columns(spark):
     texts = ['[{"speaker": "A", "text": "x"}]', "<think>[</think>```json\n[{\"speaker\": 1}]```", "<thinking>open [", None, "", "no", '[{"text": "a"} {"text": "b"}', "```\n[]\n```", ' \x1c[{"speaker": null, "extra": 2}]']
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", jsonfix.entries_of(F.col("t"))["entries"].alias("e")).collect()
     assert {r.i: [e.asDict() for e in r.e] for r in got} == {i: jsonfix.entries_in(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("review", [False, True])
+def test_a_task_gives_on_what_it_made_before_it_goes_on(review):
+    calls, n = [], 5 * loops.ROWS + 3
+    model = lambda prompt, attempt: calls.append(1) or '[{"speaker": "A", "text": "x"}]'
+    plan = loops.Review(model, REVIEW) if review else loops.Generation(model, TEMPLATE)
+    payload = {"n": pa.array([n] * n), "batch": pa.array([[{"speaker": "A", "text": "x", "instruct": ""}]] * n)} if review else {"label": pa.array(["l"] * n), "text": pa.array(["t"] * n)}
+    batch = pa.RecordBatch.from_pydict({"book_id": pa.array([1] * n), "no": pa.array(range(n)), "state": pa.nulls(n), **payload})
+    seen = 0
+    for made in loops.stepped(iter([batch]), plan):
+        seen += made.num_rows
+        assert made.num_rows <= loops.ROWS and len(calls) == seen
+    assert seen == n

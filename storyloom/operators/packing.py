@@ -2,15 +2,19 @@
 
 What a range of items makes of the open group it begins with is a function of that group's length alone, so it is a small
 array; functions of neighbouring ranges are composed by doubling. Each range then knows the length it really begins with,
-and finds its groups by itself. Texts meet their groups at the end.
+and finds its groups by itself. All this is done over lengths. Texts meet the places where groups begin at the end, and are
+dealt once for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from storyloom.operators.scans import running
@@ -69,30 +73,52 @@ def entered(effects: DataFrame, cap: int) -> DataFrame:
     return t.select("range", "i").join(ends, "i", "left").select("range", F.coalesce("opened", F.lit(cap + 1)).alias("opened"))
 
 
-def packed(placed: DataFrame, hard: Column, cap: int) -> DataFrame:
+def begun(lengths: DataFrame, cap: int) -> DataFrame:
+    """(range, place, book_id) of the entries that begin groups, of ``lengths`` (range, place, book_id, n, hard)."""
+    slim = saved(lengths, "lengths")
+    own = [slim.schema[c] for c in ("range", "place", "book_id")]
+
+    def column(items: pa.Table, name: str) -> np.ndarray:
+        return items[name].to_numpy()
+
+    def effect_of(items: pa.Table) -> pa.Table:
+        items = items.sort_by("place")
+        f = effect(column(items, "n"), column(items, "hard").astype(bool), cap)
+        return pa.table({"range": items["range"][:1], "f": pa.array([f.tolist()], pa.list_(pa.int32()))})
+
+    def starts_of(items: pa.Table) -> pa.Table:
+        items = items.sort_by("place")
+        flags = starts(column(items, "n"), column(items, "hard").astype(bool), cap, int(column(items, "opened")[0]))
+        return items.select(["range", "place", "book_id"]).filter(pa.array(flags))
+
+    known = entered(slim.select("range", "place", "n", "hard").groupBy("range").applyInArrow(effect_of, "range long, f array<int>"), cap)
+    return saved(slim.join(F.broadcast(known), "range").groupBy("range").applyInArrow(starts_of, T.StructType(own)), "starts")
+
+
+def packed(placed: DataFrame, hard: Callable[[DataFrame], DataFrame], cap: int, numbered: bool = False) -> DataFrame:
     """Groups of neighbouring entries of at most ``cap`` characters with single spaces between texts, none across a
-    ``hard`` entry, which begins a group. ``placed`` comes from ``scans.dealt``; gives book_id, pos of the first entry,
-    n_entries, speaker, instruct, text and first, as the packing of whole runs does.
+    ``hard`` entry, which begins a group. ``placed`` comes from ``scans.dealt`` by book_id first and has lengths ``n``;
+    ``hard`` adds that column to the rows without their texts. Gives book_id, pos of the first entry, n_entries, speaker,
+    instruct and text, and if ``numbered`` the ``id`` of each group in its book.
     """
-    slim = saved(placed.select("range", "place", F.length("text").cast("long").alias("n"), F.coalesce(hard, F.lit(True)).alias("hard")), "lengths")
-
-    def effect_of(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("place")
-        return pd.DataFrame({"range": items["range"].iloc[:1], "f": [effect(items["n"].to_numpy(), items["hard"].to_numpy(bool), cap).tolist()]})
-
-    def starts_of(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("place")
-        flags = starts(items["n"].to_numpy(), items["hard"].to_numpy(bool), cap, int(items["opened"].iloc[0]))
-        return pd.DataFrame({"place": items["place"], "start": flags.astype(int)})
-
-    begun = entered(slim.groupBy("range").applyInPandas(effect_of, "range long, f array<int>"), cap)
-    flags = slim.join(begun, "range").groupBy("range").applyInPandas(starts_of, "place long, start int")
-    t = running(placed.join(flags, "place"), [], F.col("start"), "group")
-    e = F.struct("place", "book_id", "pos", "n", "text", "speaker", "instruct")
-    g = t.groupBy("group").agg(F.array_sort(F.collect_list(e)).alias("es"))
+    told = hard(placed.drop("text"))
+    first = begun(told.select("range", "place", "book_id", F.col("n").cast("long").alias("n"), F.coalesce("hard", F.lit(True)).alias("hard")), cap)
+    one = F.lit(1).cast("long")
+    first = running(first, ["book_id"], one, "id") if numbered else first.withColumn("id", one)
+    # Entries before the first begin of their range belong to the last range before that has one.
+    ends = placed.select("range").distinct().join(first.groupBy("range").agg(F.min("place").alias("from")), "range", "left")
+    earlier = F.last(F.when(F.col("from").isNotNull(), F.col("range")), True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    homes = F.broadcast(ends.select("range", "from", earlier.alias("earlier")))
+    e = F.struct("place", "book_id", "pos", "text", "speaker", "instruct")
+    home = F.when(F.col("place") >= F.col("from"), F.col("range")).otherwise(F.col("earlier"))
+    rows = placed.join(homes, "range").select(home.alias("home"), "place", F.lit(1).alias("kind"), e.alias("e"))
+    marks = first.select(F.col("range").alias("home"), "place", F.lit(0).alias("kind"), F.struct("place", "id").alias("g"))
+    upto = Window.partitionBy("home").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    t = rows.unionByName(marks, allowMissingColumns=True).withColumn("g", F.last("g", True).over(upto)).filter("kind = 1")
+    g = t.groupBy("home", "g").agg(F.array_sort(F.collect_list("e")).alias("es"))
     first = F.col("es")[0]
     return g.select(
         first["book_id"].alias("book_id"), first["pos"].alias("pos"), F.size("es").alias("n_entries"), first["speaker"].alias("speaker"),
         first["instruct"].alias("instruct"), F.array_join(F.transform("es", lambda x: x["text"]), " ").alias("text"),
-        F.struct(*[first[c].alias(c) for c in ("pos", "n", "text", "speaker", "instruct")]).alias("first"),
+        *([(F.col("g.id") - 1).alias("id")] if numbered else []),
     )

@@ -52,3 +52,16 @@ def earlier(placed: DataFrame, keys: list[str], value: Column, name: str) -> Dat
     before = ends.withColumn("_b", F.lag("_e").over(Window.partitionBy(*keys).orderBy("range"))).drop("_e")
     here = F.lag("_v").over(Window.partitionBy(*own).orderBy("place"))
     return joined(t.withColumn("_h", here), before, own).withColumn(name, F.coalesce("_h", "_b")).drop("_v", "_h", "_b")
+
+
+def preceding(placed: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """As ``earlier``, for rows that are dealt by ``key`` first: the row before in the whole order is that of the key, or
+    the key has none. So one row crosses from each range to the next, and rows are dealt once, by range."""
+    t = placed.withColumn("_v", F.struct(F.col(key).alias("k"), value.alias("v")))
+    ends = t.groupBy("range").agg(F.max_by("_v", "place").alias("_e"))
+    # Only one row of each range is in one task.
+    before = ends.select("range", F.lag("_e").over(Window.orderBy("range")).alias("_b"))
+    here = F.lag("_v").over(Window.partitionBy("range").orderBy("place"))
+    found = t.withColumn("_h", here).join(before, "range").withColumn("_p", F.coalesce("_h", "_b"))
+    same = F.col("_p").isNotNull() & F.col("_p.k").eqNullSafe(F.col(key))
+    return found.withColumn(name, F.when(same, F.struct(F.col("_p.v").alias("v")))).drop("_v", "_h", "_b", "_p")

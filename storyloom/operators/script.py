@@ -75,20 +75,22 @@ def render_chunks(entries: DataFrame, cap: int = MAX_CHUNK) -> DataFrame:
 
 def long_render_chunks(entries: DataFrame, cap: int = MAX_CHUNK, range_rows: int = scans.RANGE_ROWS) -> DataFrame:
     """As ``render_chunks``, for books and runs of any length: no task holds more than a range of entries or of chunks."""
-    grouped = long_packed(with_kinds(entries), chunk_break, cap, range_rows)
-    placed = scans.dealt(grouped, "book_id", "first", range_rows=range_rows)
-    return scans.running(placed, ["book_id"], F.lit(1).cast("long"), "n").withColumn("id", F.col("n") - 1).drop("n", "first", "place", "range")
+    return long_packed(with_kinds(entries), chunk_break, cap, range_rows, True)
 
 
-def long_packed(kinds: DataFrame, breaks: Callable[[Callable[[str], Column]], Column], cap: int, range_rows: int) -> DataFrame:
+def long_packed(kinds: DataFrame, breaks: Callable[[Callable[[str], Column]], Column], cap: int, range_rows: int, numbered: bool = False) -> DataFrame:
     placed = scans.dealt(kinds, "book_id", *ORDER, range_rows=range_rows)
-    told = scans.earlier(placed, ["book_id"], F.struct("pos", "speaker", "instruct", "st", "open"), "before")
-    return packing.packed(told, breaks(lambda c: F.col(f"before.v.{c}")), cap)
+
+    def hard(rows: DataFrame) -> DataFrame:
+        told = scans.preceding(rows, "book_id", F.struct("pos", "speaker", "instruct", "st", "open"), "before")
+        return told.withColumn("hard", breaks(lambda c: F.col(f"before.v.{c}")))
+
+    return packing.packed(placed, hard, cap, numbered)
 
 
 def long_merged_narration(entries: DataFrame, cap: int = MAX_NARRATION, range_rows: int = scans.RANGE_ROWS) -> DataFrame:
     """As ``merged_narration``, for books and runs of any length."""
-    return long_packed(with_kinds(entries), narration_break, cap, range_rows).drop("first")
+    return long_packed(with_kinds(entries), narration_break, cap, range_rows)
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import packing, scans, script, timeline
+from storyloom.sources import scratch
 
 ENTRY = "book_id long, pos long, speaker string, text string, instruct string"
 
@@ -92,3 +93,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], ENTRY)
     assert script.long_render_chunks(none).count() == 0 and script.long_merged_narration(none).count() == 0
     assert timeline.long_timeline(spark.createDataFrame([], "book_id long, id long, speaker string, text string, dur_ms long")).count() == 0
+
+
+def test_texts_are_dealt_once_to_ranges_and_once_to_groups(spark):
+    df = spark.createDataFrame(entries(4), ENTRY)
+    for long in (script.long_render_chunks, script.long_merged_narration):
+        before = len(scratch._written)
+        plan = long(df, range_rows=60)._jdf.queryExecution().optimizedPlan().toString()
+        written = [p for p in scratch._written[before:] if "/dealt-" in p or "/ranked-" in p]
+        assert len(written) == 1 and not any("Join" in line and "place" in line.split("Join")[1] for line in plan.splitlines())
+
+
+def test_the_row_before_in_the_whole_order(spark):
+    df = spark.createDataFrame([(k, i, None if i % 5 == 0 else i) for k, n in (("x", 25), (None, 17), ("y", 1)) for i in range(n)], "k string, i long, v long")
+    placed = scans.dealt(df, "k", "i", range_rows=4)
+    a, b = (rows(f.select("k", "i", "e")) for f in (scans.preceding(placed, "k", F.col("v"), "e"), scans.earlier(placed, ["k"], F.col("v"), "e")))
+    assert a == b and placed.select("range").distinct().count() > 6

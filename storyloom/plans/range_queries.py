@@ -66,7 +66,7 @@ def wav_durations(spark, sf):
 
 
 def archive_members(spark, sf):
-    """Documents of each source as an archive of texts, written as files and read again."""
+    """Documents of each source as archives of texts, written as files and read again."""
     d = tables.table(spark, sf, "documents").withColumn("name", F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     path = new_path(spark, "archives")
     # A file for each archive: Spark's text sink takes the bytes as one base64 line.

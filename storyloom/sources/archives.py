@@ -1,4 +1,5 @@
-"""ZIP archives: their members as rows, and rows as archives. Spark reads and writes the files; an archive is one row."""
+"""ZIP archives: their members as rows, and rows as archives. Spark reads and writes the files; an archive is one row.
+A key with much content has several archives, so that none outgrows a row and tasks share the work."""
 
 from __future__ import annotations
 
@@ -7,13 +8,21 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.operators.scans import joined
+
 #: The time that members of written archives have, so that equal contents are equal archives.
 EPOCH = (1980, 1, 1, 0, 0, 0)
 MEMBER = "path string, name string, length long, content binary, error string"
+MEMBER_TYPE = pa.schema([("path", pa.string()), ("name", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+
+#: Bytes of content that an archive of ``archives`` holds, about, and members and bytes of these that are given on at once.
+VOLUME = 1 << 25
+MEMBERS, MEMBER_BYTES = 1000, 1 << 22
 
 
 def members(spark: SparkSession, path: str, pattern: str = "*.zip", ending: str = "") -> DataFrame:
@@ -29,26 +38,36 @@ def members(spark: SparkSession, path: str, pattern: str = "*.zip", ending: str
 def unpacked(found: DataFrame, ending: str = "") -> DataFrame:
     """As ``members``, of archives (path, content) that are rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                row = {"path": path, "name": None, "length": None, "content": None, "error": None}
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile as e:
-                    yield pd.DataFrame([row | {"error": str(e)}]).astype({"length": "Int64"})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for path, content in ((p.as_py(), c.as_py()) for batch in batches for p, c in zip(batch["path"], batch["content"], strict=True)):
+            row = {"path": path, "name": None, "length": None, "content": None, "error": None}
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile as e:
+                yield row | {"error": str(e)}
+                continue
+            for info in archive.infolist():
+                if info.is_dir() or not info.filename.endswith(ending):
                     continue
-                for info in archive.infolist():
-                    if info.is_dir() or not info.filename.endswith(ending):
-                        continue
-                    one = row | {"name": info.filename, "length": info.file_size}
-                    try:
-                        one["content"] = archive.read(info)
-                    except Exception as e:  # what a damaged member raises depends on the damage
-                        one["error"] = f"{type(e).__name__}: {e}"
-                    yield pd.DataFrame([one]).astype({"length": "Int64"})
+                one = row | {"name": info.filename, "length": info.file_size}
+                try:
+                    one["content"] = archive.read(info)
+                except Exception as e:  # what a damaged member raises depends on the damage
+                    one["error"] = f"{type(e).__name__}: {e}"
+                yield one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for one in each(batches):
+            out.append(one)
+            size += len(one["content"] or b"")
+            if len(out) >= MEMBERS or size >= MEMBER_BYTES:
+                yield pa.RecordBatch.from_pylist(out, MEMBER_TYPE)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, MEMBER_TYPE)
 
-    return found.select("path", "content").mapInPandas(run, MEMBER)
+    return found.select("path", "content").mapInArrow(run, MEMBER)
 
 
 def metadata(files: DataFrame) -> DataFrame:
@@ -58,9 +77,10 @@ def metadata(files: DataFrame) -> DataFrame:
     return there.select("path", "name", F.posexplode(lines).alias("line_no", "line")).filter(F.trim("line") != "")
 
 
-def archives(files: DataFrame, key: str) -> DataFrame:
-    """(``key``, archive): a ZIP of the files (``key``, name, content) of each key, members in order of their names. One
-    key's files are put together by one task."""
+def archives(files: DataFrame, key: str, volume: int = VOLUME) -> DataFrame:
+    """(``key``, archive): a ZIP of the files (``key``, name, content) of each key, members in order of their names. A key
+    with more than ``volume`` bytes of content has so many more archives, its files dealt by their names; each archive is
+    put together by one task."""
     fields = T.StructType([files.schema[key], T.StructField("archive", T.BinaryType())])
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -70,4 +90,9 @@ def archives(files: DataFrame, key: str) -> DataFrame:
                 z.writestr(zipfile.ZipInfo(name, EPOCH), content or b"", zipfile.ZIP_DEFLATED)
         return pd.DataFrame({key: group[key].iloc[:1].to_numpy(), "archive": [out.getvalue()]})
 
-    return files.select(key, "name", F.col("content").cast("binary").alias("content")).groupBy(key).applyInPandas(pack, fields)
+    told = files.select(key, "name", F.col("content").cast("binary").alias("content"))
+    sizes = told.groupBy(key).agg(F.ceil(F.sum(F.octet_length("content")) / volume).alias("volumes")).filter("volumes > 1")
+    # Each of these keys has more than a volume, so they are few.
+    dealt = joined(told, F.broadcast(sizes), [key])
+    dealt = dealt.withColumn("volume", F.pmod(F.xxhash64("name"), F.coalesce("volumes", F.lit(1)))).drop("volumes")
+    return dealt.groupBy(key, "volume").applyInPandas(pack, fields)

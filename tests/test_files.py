@@ -100,3 +100,13 @@ def test_tables_of_a_block_are_deleted_with_it(spark):
     assert not scratch.exists(spark, kept) and outside.count() == 3
     left = os.listdir(scratch.shared_dir(spark).removeprefix("file://"))
     assert not [x for x in left if x.startswith(("one-", "inner-", "two-"))]
+
+
+def test_a_key_with_much_content_has_several_archives(spark):
+    rows = [(k, f"{i:03}.txt", "x" * (i % 7 * 100)) for k, n in (("a", 200), ("b", 3), (None, 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, name string, content string").repartition(3)
+    made = archives.archives(df, "k", volume=2000)
+    n = {k: sum(r.k == k for r in made.select("k").collect()) for k in ("a", "b", None)}
+    assert n["b"] == 1 and n["a"] > n[None] > 5 and max(len(bytes(r.archive)) for r in made.collect()) < 20_000
+    found = archives.unpacked(made.select(F.coalesce("k", F.lit("-")).alias("path"), F.col("archive").alias("content")))
+    assert sorted((r.path, r.name, bytes(r.content).decode()) for r in found.collect()) == sorted((k or "-", *x) for k, *x in rows)

@@ -12,6 +12,9 @@ from storyloom.operators import scans
 PAUSE_MS = 500
 SAME_SPEAKER_PAUSE_MS = 250
 
+#: Characters of a text that its label shows.
+SHOWN_IN_LABEL = 80
+
 
 def timeline(rendered: DataFrame) -> DataFrame:
     """start_ms and end_ms: after all earlier chunks and pauses; none before the first, 250 ms after the same speaker,
@@ -61,10 +64,15 @@ def track_list(line: DataFrame) -> DataFrame:
     return got.select("book_id", F.concat(F.array_join(F.transform("fs", lambda x: x["f"]), "\n"), F.lit("\n")).alias("content"))
 
 
+def for_labels(rendered: DataFrame) -> DataFrame:
+    """Rendered chunks with no more of their texts than labels show, for timelines of which nothing else is made."""
+    return rendered.withColumn("text", F.substring("text", 1, SHOWN_IN_LABEL))
+
+
 def label_lines(line: DataFrame) -> DataFrame:
     """One tab-separated label per chunk: start and end in seconds, [speaker] and the first 80 characters."""
     secs = lambda c: F.format_string("%d.%06d", F.expr(f"{c} div 1000"), F.expr(f"({c} % 1000) * 1000"))
-    label = F.concat(secs("start_ms"), F.lit("\t"), secs("end_ms"), F.lit("\t["), "speaker", F.lit("] "), F.substring(T.text_of(F.col("text")), 1, 80))
+    label = F.concat(secs("start_ms"), F.lit("\t"), secs("end_ms"), F.lit("\t["), "speaker", F.lit("] "), F.substring(T.text_of(F.col("text")), 1, SHOWN_IN_LABEL))
     return line.select("book_id", "id", label.alias("label"))
 
 

@@ -115,7 +115,7 @@ def dataset_metadata(spark, sf):
 
 
 def export_files(spark, sf):
-    return projects.export_files(timeline.timeline(tables.rendered(tables.entries(spark, sf))))
+    return projects.export_files(timeline.timeline(timeline.for_labels(tables.rendered(tables.entries(spark, sf)))))
 
 
 def config_defaults(spark, sf):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import packing, scans, script, timeline
+from storyloom.operators import packing, projects, scans, script, timeline
 from storyloom.sources import scratch
 
 ENTRY = "book_id long, pos long, speaker string, text string, instruct string"
@@ -109,3 +109,12 @@ def test_the_row_before_in_the_whole_order(spark):
     placed = scans.dealt(df, "k", "i", range_rows=4)
     a, b = (rows(f.select("k", "i", "e")) for f in (scans.preceding(placed, "k", F.col("v"), "e"), scans.earlier(placed, ["k"], F.col("v"), "e")))
     assert a == b and placed.select("range").distinct().count() > 6
+
+
+def test_an_export_deals_no_more_text_than_its_labels_show(spark):
+    spoken = [(1, i, "A", "é" * n, 100) for i, n in enumerate((0, 79, 80, 81, 500))] + [(2, 0, "B", None, 100)]
+    df = spark.createDataFrame(spoken, "book_id long, id long, speaker string, text string, dur_ms long")
+    cut = timeline.for_labels(df)
+    assert max(len(r.text or "") for r in cut.collect()) == 80
+    a, b = (rows(projects.export_files(timeline.timeline(t))) for t in (cut, df))
+    assert a == b and len(a) == 6

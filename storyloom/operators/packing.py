@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -74,7 +74,8 @@ def entered(effects: DataFrame, cap: int) -> DataFrame:
 
 
 def begun(lengths: DataFrame, cap: int) -> DataFrame:
-    """(range, place, book_id) of the entries that begin groups, of ``lengths`` (range, place, book_id, n, hard)."""
+    """(range, place, book_id) of the entries that begin groups, of ``lengths`` (range, place, book_id, n, hard, alone),
+    without those that are ``alone``."""
     slim = saved(lengths, "lengths")
     own = [slim.schema[c] for c in ("range", "place", "book_id")]
 
@@ -89,20 +90,26 @@ def begun(lengths: DataFrame, cap: int) -> DataFrame:
     def starts_of(items: pa.Table) -> pa.Table:
         items = items.sort_by("place")
         flags = starts(column(items, "n"), column(items, "hard").astype(bool), cap, int(column(items, "opened")[0]))
-        return items.select(["range", "place", "book_id"]).filter(pa.array(flags))
+        return items.select(["range", "place", "book_id"]).filter(pa.array(flags & ~column(items, "alone").astype(bool)))
 
     known = entered(slim.select("range", "place", "n", "hard").groupBy("range").applyInArrow(effect_of, "range long, f array<int>"), cap)
     return saved(slim.join(F.broadcast(known), "range").groupBy("range").applyInArrow(starts_of, T.StructType(own)), "starts")
 
 
-def packed(placed: DataFrame, hard: Callable[[DataFrame], DataFrame], cap: int, numbered: bool = False) -> DataFrame:
+def packed(placed: DataFrame, hard: Callable[[DataFrame], DataFrame], cap: int, numbered: bool = False, alone: Column | None = None) -> DataFrame:
     """Groups of neighbouring entries of at most ``cap`` characters with single spaces between texts, none across a
     ``hard`` entry, which begins a group. ``placed`` comes from ``scans.dealt`` by book_id first and has lengths ``n``;
     ``hard`` adds that column to the rows without their texts. Gives book_id, pos of the first entry, n_entries, speaker,
     instruct and text, and if ``numbered`` the ``id`` of each group in its book.
+
+    ``alone`` tells, by an entry itself, that it and the one after it are ``hard``. Such an entry is a group as it is, so
+    its text is not dealt again. Not with ``numbered``, as a number comes from all groups before.
     """
+    if numbered and alone is not None:
+        raise ValueError("groups are numbered only if no entry is told to be alone")
     told = hard(placed.drop("text"))
-    first = begun(told.select("range", "place", "book_id", F.col("n").cast("long").alias("n"), F.coalesce("hard", F.lit(True)).alias("hard")), cap)
+    apart = F.lit(False) if alone is None else F.coalesce(alone, F.lit(False))
+    first = begun(told.select("range", "place", "book_id", F.col("n").cast("long").alias("n"), F.coalesce("hard", F.lit(True)).alias("hard"), apart.alias("alone")), cap)
     one = F.lit(1).cast("long")
     first = running(first, ["book_id"], one, "id") if numbered else first.withColumn("id", one)
     # Entries before the first begin of their range belong to the last range before that has one.
@@ -111,14 +118,17 @@ def packed(placed: DataFrame, hard: Callable[[DataFrame], DataFrame], cap: int,
     homes = F.broadcast(ends.select("range", "from", earlier.alias("earlier")))
     e = F.struct("place", "book_id", "pos", "text", "speaker", "instruct")
     home = F.when(F.col("place") >= F.col("from"), F.col("range")).otherwise(F.col("earlier"))
-    rows = placed.join(homes, "range").select(home.alias("home"), "place", F.lit(1).alias("kind"), e.alias("e"))
+    rows = placed.filter(~apart).join(homes, "range").select(home.alias("home"), "place", F.lit(1).alias("kind"), e.alias("e"))
     marks = first.select(F.col("range").alias("home"), "place", F.lit(0).alias("kind"), F.struct("place", "id").alias("g"))
     upto = Window.partitionBy("home").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
     t = rows.unionByName(marks, allowMissingColumns=True).withColumn("g", F.last("g", True).over(upto)).filter("kind = 1")
     g = t.groupBy("home", "g").agg(F.array_sort(F.collect_list("e")).alias("es"))
     first = F.col("es")[0]
-    return g.select(
+    groups = g.select(
         first["book_id"].alias("book_id"), first["pos"].alias("pos"), F.size("es").alias("n_entries"), first["speaker"].alias("speaker"),
         first["instruct"].alias("instruct"), F.array_join(F.transform("es", lambda x: x["text"]), " ").alias("text"),
         *([(F.col("g.id") - 1).alias("id")] if numbered else []),
     )
+    if alone is None:
+        return groups
+    return groups.unionByName(placed.filter(apart).select("book_id", "pos", F.lit(1).alias("n_entries"), "speaker", "instruct", "text"))

@@ -78,19 +78,19 @@ def long_render_chunks(entries: DataFrame, cap: int = MAX_CHUNK, range_rows: int
     return long_packed(with_kinds(entries), chunk_break, cap, range_rows, True)
 
 
-def long_packed(kinds: DataFrame, breaks: Callable[[Callable[[str], Column]], Column], cap: int, range_rows: int, numbered: bool = False) -> DataFrame:
+def long_packed(kinds: DataFrame, breaks: Callable[[Callable[[str], Column]], Column], cap: int, range_rows: int, numbered: bool = False, alone: Column | None = None) -> DataFrame:
     placed = scans.dealt(kinds, "book_id", *ORDER, range_rows=range_rows)
 
     def hard(rows: DataFrame) -> DataFrame:
         told = scans.preceding(rows, "book_id", F.struct("pos", "speaker", "instruct", "st", "open"), "before")
         return told.withColumn("hard", breaks(lambda c: F.col(f"before.v.{c}")))
 
-    return packing.packed(placed, hard, cap, numbered)
+    return packing.packed(placed, hard, cap, numbered, alone)
 
 
 def long_merged_narration(entries: DataFrame, cap: int = MAX_NARRATION, range_rows: int = scans.RANGE_ROWS) -> DataFrame:
-    """As ``merged_narration``, for books and runs of any length."""
-    return long_packed(with_kinds(entries), narration_break, cap, range_rows)
+    """As ``merged_narration``, for books and runs of any length. Entries that are not open are never joined to others."""
+    return long_packed(with_kinds(entries), narration_break, cap, range_rows, alone=~F.col("open"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -104,6 +104,21 @@ def test_texts_are_dealt_once_to_ranges_and_once_to_groups(spark):
         assert len(written) == 1 and not any("Join" in line and "place" in line.split("Join")[1] for line in plan.splitlines())
 
 
+@pytest.mark.parametrize(("speech", "narration"), [(40, 40), (40, 1), (0, 40), (40, 0)])
+def test_entries_that_are_never_joined_are_not_dealt_to_groups(spark, speech, narration):
+    # Stretches of either kind are longer than a range, and some places are repeated.
+    kinds = [who for _ in range(3) for who, n in (("A", speech), ("NARRATOR", narration)) for _ in range(n)]
+    told = [(b, i - i % 9 // 8, who, f"{'y' * (i * 7 % 90)} told.", "") for b in (1, None) for i, who in enumerate(kinds)]
+    df = spark.createDataFrame(told, ENTRY).repartition(3)
+    got, want = script.long_merged_narration(df, range_rows=6), script.merged_narration(df)
+    assert rows(got.select(*want.columns)) == rows(want)
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
+    dealt, alone = (plan.children().apply(i).toString() for i in range(2))
+    assert not any(step in alone for step in ("Window", "Aggregate", "Join", "Repartition", "Sort"))
+    assert [sum("Filter" in line and "NOT open" in line for line in side.splitlines()) for side in (dealt, alone)] == [1, 1]
+
+
 def test_the_row_before_in_the_whole_order(spark):
     df = spark.createDataFrame([(k, i, None if i % 5 == 0 else i) for k, n in (("x", 25), (None, 17), ("y", 1)) for i in range(n)], "k string, i long, v long")
     placed = scans.dealt(df, "k", "i", range_rows=4)
